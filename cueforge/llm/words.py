@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text handled together; keeps the temporary arrays small whatever the batch size.
