@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, neardup, quality, substrings
+from . import bpe, decontaminate, langid, lm, neardup, pages, quality, substrings, tokenfiles, unigram
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+    "op4_language_id": langid.op4_language_id,
+    "op5_html_extraction": pages.op5_html_extraction,
+    "op6_token_files": tokenfiles.op6_token_files,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_token_counts": unigram.op8_token_counts,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 ORACLE = {
