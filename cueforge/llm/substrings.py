@@ -43,7 +43,17 @@ def _windows(batch, text, width, at_least):
     return hashes[at], row[at], at - first[row[at]]
 
 
+def _own_hashes(hashes, row, ids):
+    """Each row's different hashes with the row's id."""
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), ids.take(pa.array(row[new]))], names=["h", "id"])
+
+
 def anchors(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(h, id): hashes of the windows at cover positions of each text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def find(batches):
@@ -52,65 +62,67 @@ def anchors(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
         for batch in W.slices(batches, text):
             hashes, row, at = _windows(batch, text, width - PERIOD + 1, width)
             keep = cover[at % PERIOD]
-            rows = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), batch.column(id_col).take(rows), batch.column("_a").take(rows), batch.column("_b").take(rows), pa.array(at[keep], pa.int32())],
-                names=["h", id_col, "_a", "_b", "at"],
-            )
+            yield _own_hashes(hashes[keep], row[keep], batch.column(id_col))
 
-    return docs.select(id_col, "_a", "_b", text).mapInArrow(find, f"h bigint, {id_col} {id_type}, _a bigint, _b bigint, at int")
+    return docs.select(id_col, text).mapInArrow(find, f"h bigint, id {id_type}")
 
 
-def _starts(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """Hashes of the windows around shared anchors; `at` lists a row's shared anchors."""
+def _listed(lists, hashes, row):
+    """Whether each hash is in its row's list."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    of = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    salt = W.U64(0xC2B2AE3D27D4EB4F)
+    return np.isin(W.mix(hashes + row.astype(np.uint64) * salt), W.mix(values + of.astype(np.uint64) * salt))
+
+
+def _around(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(h, id): hashes of the whole windows around the shared anchors of each text, which `shared` lists."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def extend(batches):
         for batch in W.slices(batches, text):
-            hashes, row, at = _windows(batch, text, width, width)
-            lists = batch.column("at")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            small, of, at = _windows(batch, text, width - PERIOD + 1, width)
+            hit = _listed(batch.column("shared"), small, of)
+            of, at = of[hit], at[hit]
+            hashes, row, _ = _windows(batch, text, width, width)
             # windows that hold the anchor start at most PERIOD - 1 words before it
             base = np.searchsorted(row, np.arange(batch.num_rows + 1))
             change = np.zeros(len(row) + 1, np.int64)
-            np.add.at(change, base[of] + np.maximum(flat - (PERIOD - 1), 0), 1)
-            np.add.at(change, np.minimum(base[of] + flat + 1, base[of + 1]), -1)
-            keep = np.flatnonzero(np.cumsum(change)[:-1] > 0)
-            rows = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), batch.column(id_col).take(rows), batch.column("_a").take(rows), batch.column("_b").take(rows), pa.array(at[keep], pa.int32())],
-                names=["h", id_col, "_a", "_b", "at"],
-            )
+            np.add.at(change, base[of] + np.maximum(at - (PERIOD - 1), 0), 1)
+            np.add.at(change, np.minimum(base[of] + at + 1, base[of + 1]), -1)
+            keep = np.cumsum(change)[:-1] > 0
+            yield _own_hashes(hashes[keep], row[keep], batch.column(id_col))
 
-    return docs.select(id_col, "_a", "_b", text, "at").mapInArrow(extend, f"h bigint, {id_col} {id_type}, _a bigint, _b bigint, at int")
+    return docs.select(id_col, text, "shared").mapInArrow(extend, f"h bigint, id {id_type}")
 
 
-def _shared(found: DataFrame, id_col: str) -> DataFrame:
+def _shared(found: DataFrame) -> DataFrame:
     """The first document of each hash that two documents have."""
-    ends = found.groupBy("h").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last"))
+    ends = found.groupBy("h").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
     return ends.where(F.col("_first") < F.col("_last")).select("h", "_first")
 
 
 def with_removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows with `is_copy` (an earlier document has the same text) and `removed`: starts of the windows that go, as word positions."""
+    """The rows with `is_copy` (an earlier document has the same text) and `removed`: hashes of the document's windows that go."""
     if width < 2 * PERIOD - 12:
         raise ValueError(f"windows of {width} words leave no room for anchors of period {PERIOD}")
     docs = docs.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
-    ids = docs.select("_a", "_b", id_col).where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
+    own = docs.where(F.col(id_col).isNotNull())
+    ids = own.where(F.col(text).isNotNull()).select("_a", "_b", id_col)
     first = ids.groupBy("_a", "_b").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where(F.col("_first") < F.col("_last"))
-    copies = ids.distinct().join(first, ["_a", "_b"]).where(F.col(id_col) > F.col("_first")).select(id_col, "_a", "_b")
-    key = [id_col, "_a", "_b"]
-    own = docs.where(F.col(id_col).isNotNull()).select(*key, text)
-    singles = own.join(copies, key, "left_anti")
+    copies = ids.join(first, ["_a", "_b"]).where(F.col(id_col) > F.col("_first"))
+    copies = copies.groupBy(id_col).agg(F.collect_set(F.struct("_a", "_b")).alias("_copies"))
+    # everything that needs the texts is joined by id alone, so one exchange of the texts serves all
+    is_copy = F.coalesce(F.array_contains("_copies", F.struct("_a", "_b")), F.lit(False))
+    singles = own.join(copies, id_col, "left").where(~is_copy).select(id_col, text)
     found = anchors(singles, id_col, text, width)
-    near = found.join(_shared(found, id_col), "h").groupBy(*key).agg(F.collect_set("at").alias("at"))
-    around = _starts(singles.join(near, key), id_col, text, width)
-    gone = around.join(_shared(around, id_col), "h").where(F.col(id_col) > F.col("_first"))
-    removed = gone.groupBy(*key).agg(F.collect_set("at").alias("removed"))
-    marked = copies.withColumn("is_copy", F.lit(True))
-    out = docs.drop("removed", "is_copy").join(removed, key, "left").join(marked, key, "left")
-    return out.withColumn("is_copy", F.coalesce("is_copy", F.lit(False))).drop("_a", "_b")
+    near = found.join(_shared(found), "h").groupBy(F.col("id").alias(id_col)).agg(F.collect_set("h").alias("shared"))
+    around = _around(singles.join(near, id_col), id_col, text, width)
+    gone = around.join(_shared(around), "h").where(F.col("id") > F.col("_first"))
+    removed = gone.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("h").alias("removed"))
+    judged = own.drop("removed", "is_copy").join(copies, id_col, "left").join(removed, id_col, "left").withColumn("is_copy", is_copy)
+    rest = docs.where(F.col(id_col).isNull()).drop("removed", "is_copy").withColumns({"is_copy": F.lit(False), "removed": F.lit(None).cast("array<bigint>")})
+    return judged.drop("_a", "_b", "_copies").unionByName(rest.drop("_a", "_b"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -125,12 +137,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
             data, offsets = W.text_bytes(batch.column(text))
             starts, ends, first = W.find_words(data, offsets)
             n_words = np.diff(first)
-            lists = batch.column("removed")
-            at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            of = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            hashes, of, at = _windows(batch, text, width, width)
+            hit = _listed(batch.column("removed"), hashes, of)
             change = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(change, first[of] + at, 1)
-            np.add.at(change, first[of] + at + width, -1)
+            np.add.at(change, first[of[hit]] + at[hit], 1)
+            np.add.at(change, first[of[hit]] + at[hit] + width, -1)
             copy = batch.column("is_copy").to_numpy(zero_copy_only=False).astype(bool) & (n_words >= width)
             keep = (np.cumsum(change)[:-1] == 0) & ~np.repeat(copy, n_words)
             at = np.flatnonzero(keep)
