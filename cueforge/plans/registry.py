@@ -1,7 +1,14 @@
 """Registered queries and their DuckDB twins."""
 
+from __future__ import annotations
+
+from cueforge.plans import cue_queries
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (cue_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
 
 
 def flagship(spark, sf_dir):
