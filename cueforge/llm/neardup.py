@@ -6,13 +6,15 @@ bands of 4 rows with probability 3e-6. Pairs that share a band are compared by t
 first (SIG_LEAST of 96 one-byte minima; a pair at 0.8 falls below it with probability under 1e-7), and
 what is left on the full sets.
 
-Documents with equal sets form one class, of which only the smallest document goes on. In a band's
-bucket, members are first compared with the bucket's smallest document, each with its most similar
-one; linked documents then form components by alternating large-star and small-star. After that only
-members of different components in the same bucket are compared: all of them in buckets of at most SMALL
-members, and in larger ones slice by slice of the centres, with the components renewed in between,
-until no such pair is left. No pair is skipped but those already in one component, and no bucket's
-pairs are all made.
+Documents with equal sets form one class, of which only the smallest document goes on. In a bucket (documents with
+a band in common), every member is compared with one centre, the member that shares most bands with others; in
+buckets of at most SMALL members all are compared. Linked documents form components by alternating large-star and
+small-star. What is left are pairs x, y of different components that met in a bucket but not each other. If they are
+linked and x isn't linked with the centre c, then x and y share a shingle that c lacks, or their whole overlap lies in
+c and fits into the overlap of both with c, which only happens where y is smaller than c. So members of such buckets get
+new buckets, one for each shingle outside the centre, and one for the second case, and the comparison starts again
+there, until no bucket holds two components. Every round compares members with centres only, so its work follows the
+number of members, not of pairs, and no pair is given up.
 
 Null and empty texts have empty sets and link with nothing. Rows without an id keep a null component.
 Rows that share an id are one document with the union of their links, each row returned.
@@ -33,8 +35,10 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 SIG_LEAST = 52
-#: Largest bucket whose members are all compared at once, and the centres of a slice of a larger one.
-SMALL = 64
+#: Largest bucket whose members are all compared with each other.
+SMALL = 8
+#: Rounds of new buckets; what is open after them is compared pair by pair.
+ROUNDS = 12
 
 
 def _sets(batch, text, width):
@@ -115,25 +119,28 @@ def _shingle_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFr
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree on SIG_LEAST minima or more, with `agree`."""
-    schema = pairs.schema.simpleString()[7:-1]
+    """The pairs with `alike`: whether their signatures agree on SIG_LEAST minima or more."""
+    schema = pairs.drop("sig_a", "sig_b").schema.simpleString()[7:-1]
 
     def compare(batches):
         for batch in batches:
             n = batch.num_rows
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, BANDS * ROWS) for c in ("sig_a", "sig_b"))
-            agree = (a == b).sum(axis=1)
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(agree, pa.int32())], names=[*batch.schema.names, "agree"])
-            yield out.filter(pa.array(agree >= SIG_LEAST))
+            alike = pa.array((a == b).sum(axis=1) >= SIG_LEAST)
+            names = [c for c in batch.schema.names if c not in ("sig_a", "sig_b")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), alike], names=[*names, "alike"])
 
-    return pairs.mapInArrow(compare, f"{schema},agree int").drop("sig_a", "sig_b")
+    return pairs.mapInArrow(compare, f"{schema},alike boolean")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that reach the similarity on their full sets."""
-    b = sets.select(F.col("u").alias("v"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("shingles", "sb"))
-    return pairs.select("u", "v").join(b, "v").join(sets, "u").where(100 * both >= percent * (F.size("shingles") + F.size("sb") - both)).select("u", "v")
+def _compared(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v, n, nv, both, linked, outside) of distinct pairs: overlap on the full sets, whether they are linked, and u's shingles that v lacks."""
+    pairs = pairs.join(sig.select("u", F.col("sig").alias("sig_a")), "u").join(sig.select(F.col("u").alias("v"), F.col("sig").alias("sig_b")), "v")
+    b = sets.select(F.col("u").alias("v"), F.col("shingles").alias("sv"))
+    found = _agreeing(pairs).join(sets, "u").join(b, "v").withColumn("outside", F.array_except("shingles", "sv"))
+    found = found.withColumns({"n": F.size("shingles"), "nv": F.size("sv")}).withColumn("both", F.col("n") - F.size("outside"))
+    linked = F.col("alike") & (100 * F.col("both") >= percent * (F.col("n") + F.col("nv") - F.col("both")))
+    return found.select("u", "v", "n", "nv", "both", linked.alias("linked"), "outside")
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -149,44 +156,48 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     same = member.where(F.col(id_col) > F.col("u")).select(F.col(id_col).alias("a"), F.col("u").alias("b")).distinct()
     sig = classes.select("u", "sig")
     buckets = classes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("u", "n")).alias("c")).where("m > 1")
-    buckets = stored(buckets.join(sizes, "key").select("key", "u", "n", "m", "c"), "buckets")
-    near = 100 * F.least("n", "nv") >= percent * F.greatest("n", "nv")
-
-    def checked(pairs: DataFrame, one_each: bool) -> DataFrame:
-        pairs = pairs.join(sig.select("u", F.col("sig").alias("sig_a")), "u").join(sig.select(F.col("u").alias("v"), F.col("sig").alias("sig_b")), "v")
-        pairs = _agreeing(pairs)
-        if one_each:
-            pairs = pairs.groupBy("v").agg(F.max_by("u", F.struct("agree", "u")).alias("u"))
-        pairs = stored(pairs.select("u", "v"), "pairs")
-        wanted = pairs.select("u").union(pairs.select("v")).distinct()
-        texts = docs.where(F.col(id_col).isNotNull()).join(wanted.withColumnRenamed("u", id_col), id_col, "left_semi")
-        return stored(_confirmed(pairs, stored(_shingle_sets(texts, id_col, text, width), "sets"), percent), "links")
-
-    star = buckets.where(F.col("u") > F.col("c.u")).select(F.col("c.u").alias("u"), F.col("u").alias("v"), "n", F.col("c.n").alias("nv"))
-    links = checked(star.where(near).select("u", "v").distinct(), True)
-    roots = components(links)
-
-    part, parts = 0, 1
-    while part < parts:
-        labels = roots.select("u", F.col("v").alias("root"))
-        labelled = buckets.join(labels, "u", "left").withColumn("root", F.coalesce("root", "u"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = stored(labelled.join(mixed, "key").select("key", "u", "n", "m", "root"), "open")
-        largest = open_.agg(F.max("m")).first()[0]
-        if largest is None:
+    several = lambda d: d.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = stored(buckets.join(several(buckets), "key"), "buckets")
+    texts = docs.where(F.col(id_col).isNotNull()).join(buckets.select(F.col("u").alias(id_col)).distinct(), id_col, "left_semi")
+    sets = stored(_shingle_sets(texts, id_col, text, width), "sets")
+    roots = links = None
+    for round_ in range(ROUNDS + 1):
+        small = SMALL if round_ < ROUNDS else 1 << 62
+        score = buckets.groupBy("u").agg(F.sum("m").alias("score"))
+        ranked = buckets.join(score, "u")
+        centres = ranked.groupBy("key").agg(F.max_by(F.struct("u", "n"), F.struct("score", "u")).alias("c"))
+        large = buckets.where(F.col("m") > small).join(centres, "key").where(F.col("u") != F.col("c.u")).select("u", F.col("c.u").alias("v"))
+        few = buckets.where(F.col("m") <= small).select("key", "u", "n")
+        mates = few.select("key", F.col("u").alias("v"), F.col("n").alias("nv"))
+        close = 100 * F.least("n", "nv") >= percent * F.greatest("n", "nv")
+        direct = few.join(mates, "key").where((F.col("u") < F.col("v")) & close).select("u", "v")
+        if roots is not None:
+            root = roots.select("u", F.col("v").alias("ru"))
+            direct = direct.join(root, "u", "left").join(root.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v", "left")
+            direct = direct.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+        wanted = large.withColumn("spread", F.lit(True)).union(direct.withColumn("spread", F.lit(False)))
+        wanted = wanted.groupBy("u", "v").agg(F.max("spread").alias("spread"))
+        seen = stored(_compared(wanted, sig, sets, percent).join(wanted, ["u", "v"]), "seen")
+        fresh = seen.where("linked").select("u", "v")
+        links = fresh if links is None else links.union(fresh)
+        roots = components(fresh if roots is None else roots.select("u", "v").union(fresh))
+        if round_ == ROUNDS:
+            break
+        # centres whose members, the centre too, aren't all of one component
+        root = roots.select("u", F.col("v").alias("ru"))
+        spread = seen.where("spread").join(root, "u", "left").join(root.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v", "left")
+        spread = spread.withColumns({"ru": F.coalesce("ru", "u"), "rv": F.coalesce("rv", "v")})
+        open_ = spread.groupBy("v").agg(F.count_if(F.col("ru") != F.col("rv")).alias("k"), F.count("*").alias("m"), F.min("n").alias("least")).where("k > 0 and m > 1")
+        spread = spread.join(open_.select("v", "least"), "v")
+        whole = percent / (100 + percent)
+        # an overlap inside the centre: possible only for members that could hold it
+        inner = (F.col("both") >= whole * (F.col("n") + F.col("least")) - 1) & ((F.col("nv") > F.col("least")) & ~(F.col("linked") & (F.col("n") >= F.col("nv"))))
+        tokens = F.concat(F.col("outside"), F.when(inner, F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+        keys = spread.select("u", F.col("n").cast("long").alias("n"), "ru", F.explode(tokens).alias("t"), "v").withColumn("key", F.xxhash64("v", "t"))
+        mixed = keys.groupBy("key").agg(F.min("ru").alias("r0"), F.max("ru").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("key", "m")
+        buckets = stored(keys.select("key", "u", "n").join(mixed, "key"), "buckets")
+        if buckets.isEmpty():
             break
-        parts = -(-largest // SMALL)
-        slices = F.ceil(F.col("m") / SMALL)
-        centres = open_.where(F.pmod(F.xxhash64("u"), slices) == part).select("key", "u", "n", "root")
-        others = open_.select("key", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-        pairs = centres.join(others, "key").where((F.col("root") != F.col("rv")) & near)
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = checked(pairs, False)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            roots = components(roots.select("u", "v").union(fresh))
-        part += 1
 
     # an id that has several sets ties its classes together
     edges = same.select(F.col("a").alias("u"), F.col("b").alias("v")).union(roots.select("u", "v"))
