@@ -317,13 +317,13 @@ def word_step_deltas(spark, sf_dir):
 @query(
     "WITH " + B.CUES_SQL + r""", t AS (SELECT video, pos, start_ms / 1000 AS s, end_ms / 1000 AS e, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS j FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM cues)),
     c AS (SELECT *, sum(length(word)) OVER (PARTITION BY video, pos ORDER BY j) AS d, sum(length(word)) OVER (PARTITION BY video, pos) AS n FROM t)
-    SELECT video, pos AS seg, j AS pos, word, round(s + (e - s) * (d - length(word)) / n, 5) AS w_start, round(s + (e - s) * d / n, 5) AS w_end FROM c"""
+    SELECT video, pos AS seg, j AS pos, word, round(s + (e - s) * (d - length(word)) / n + 1e-7, 5) AS w_start, round(s + (e - s) * d / n + 1e-7, 5) AS w_end FROM c"""
 )
 def synthesized_words(spark, sf_dir):
     """Word times in proportion to their lengths."""
     t = B.cues(spark, sf_dir).select("video", F.col("pos").alias("seg"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.posexplode(X.white_split(F.col("text"))).alias("pos", "word"))
     out = W.synthesized(t.withColumn("pos", F.col("pos").cast("long")), ["video", "seg"])
-    return out.select("video", "seg", "pos", "word", F.round("w_start", 5).alias("w_start"), F.round("w_end", 5).alias("w_end"))
+    return out.select("video", "seg", "pos", "word", F.round(F.col("w_start") + 1e-7, 5).alias("w_start"), F.round(F.col("w_end") + 1e-7, 5).alias("w_end"))
 
 
 @query(
