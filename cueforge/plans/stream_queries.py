@@ -86,4 +86,4 @@ def event_windows(spark, sf_dir):
 def event_sessions(spark, sf_dir):
     """V12, sessions."""
     out = V.event_windows(B.table(spark, sf_dir, "events"), "session")
-    return out.select("user_id", F.unix_micros("w.start").alias("start_us"), "n", F.round("total", 3).alias("total"))
+    return out.select("user_id", F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n", F.round("total", 3).alias("total"))

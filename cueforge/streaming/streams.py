@@ -179,12 +179,12 @@ def matching(events: DataFrame, prefix: str | None = None, **equal) -> DataFrame
 
 def once_each(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """An at-least-once feed without repeats."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def daily_usage(usage: DataFrame, late: str = "1 day") -> DataFrame:
     """The ledger of each user and day."""
-    rows = usage.where(F.col("cost_usd").isNotNull() | (F.col("prompt_tokens") + F.col("completion_tokens") > 0)).withWatermark("ts", late)
+    rows = usage.where(F.col("cost_usd").isNotNull() | (F.col("prompt_tokens") + F.col("completion_tokens") > 0)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     sums = rows.groupBy(F.window("ts", "1 day"), "user_id").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("cost_usd").alias("cost_usd"), F.sum("requests").alias("requests"))
     return sums.select("user_id", F.to_date("window.start").alias("day"), "prompt_tokens", "completion_tokens", "cost_usd", "requests")
 
