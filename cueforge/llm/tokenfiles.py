@@ -32,8 +32,8 @@ BLOCKS, LANES = 32, 64
 PRECISION = 18
 LOW = np.uint64(1) << np.uint64(31)
 END_ID = 1
-#: Words a worker keeps between batches.
-KNOWN_WORDS = 500_000
+#: Words a worker keeps between batches; beyond that, those used once go first.
+KNOWN_WORDS = 1_000_000
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -153,24 +153,52 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.mark_id, token = max(self.model.get_added_tokens_decoder().items())
+        self.mark = token.content.encode()
+        self.between = b" " + self.mark + b" "
         self.forget()
 
     def forget(self):
         self.index: dict[bytes, int] = {}
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def shrink(self):
+        """Forget words used no more often than the usual word, half of them at least."""
+        n = len(self.index)
+        keep = self.uses[:n] > max(1, np.median(self.uses[:n]))
+        starts = np.append(0, self.ends[: n - 1])[keep]
+        lengths = self.ends[:n][keep] - starts
+        ids, ends, uses = self.ids[W.ragged(starts, lengths)], np.cumsum(lengths), self.uses[:n][keep]
+        kept = [w for w, k in zip(self.index, keep.tolist(), strict=True) if k]
+        self.forget()
+        self.index = dict(zip(kept, range(len(kept)), strict=True))
+        room = lambda x: np.concatenate([x, np.zeros(1 << 16, x.dtype)])
+        self.ids, self.ends, self.uses = room(ids), room(ends), room(uses)
 
     def learn(self, fresh: list[bytes]):
+        """Encode new words, many in one text: a special token between two of them shows where each ends."""
         if not fresh:
             return
-        rows = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        odd = [w for w in fresh if self.mark in w]
+        plain = [w for w in fresh if self.mark not in w] if odd else fresh
+        rows = self.model.encode_batch_fast([self.between.join(plain[k : k + 1000]).decode() for k in range(0, len(plain), 1000)], add_special_tokens=False)
+        parts, counts = [], []
+        for row in rows:
+            ids = np.array(row.ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            parts.append(np.delete(ids, ends))
+            counts.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
+        for w in odd:
+            parts.append(np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
+            counts.append(np.array([len(parts[-1])]))
+        new, counts, fresh = np.concatenate(parts), np.concatenate(counts), plain + odd if odd else fresh
         n, k = len(self.index), len(fresh)
         used = int(self.ends[n - 1]) if n else 0
-        new = np.fromiter((i for r in rows for i in r), np.uint32, int(counts.sum()))
         if used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new)), np.uint32)])
         if n + k > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), k), np.int64)])
+            more = max(len(self.ends), k)
+            self.ends, self.uses = np.concatenate([self.ends, np.zeros(more, np.int64)]), np.concatenate([self.uses, np.zeros(more, np.int64)])
         self.ids[used : used + len(new)] = new
         self.ends[n : n + k] = used + np.cumsum(counts)
         self.index.update(zip(fresh, range(n, n + k), strict=True))
@@ -178,15 +206,17 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another with the end id of each text, how many each text has)."""
         if len(self.index) > KNOWN_WORDS:
-            self.forget()
+            self.shrink()
         found, sizes = [], []
         for text in texts:
-            parts = text.split()
+            # the tokenizer lower-cases, but not the special tokens that it looks for first
+            parts = text.split() if b"<|" in text else text.lower().split()
             found += parts
             sizes.append(len(parts))
         index = self.index
         self.learn([w for w in dict.fromkeys(found) if w not in index])
         at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+        self.uses[: len(index)] += np.bincount(at, minlength=len(index))
         starts = np.where(at > 0, self.ends[at - 1], 0)
         lengths = self.ends[at] - starts
         bounds = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(sizes))]
@@ -226,7 +256,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, to: str, id_col: str = "doc_
             )
 
         part = None
-        for batch in W.slices(batches, text):
+        for batch in W.slices(batches, text, 1 << 21):
             part = batch.column("part").slice(0, 1)
             column = pa.compute.fill_null(batch.column(text).cast(pa.binary()), b"")
             found, lengths = _word_ids(tokenizer_path).encode(column.to_pylist())
