@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import keeping_columns
 
 WIDTH = 13
 #: Share of a document's words that has to lie in matches, as one in SHARE.
@@ -205,7 +206,7 @@ def judged(docs: DataFrame, bench: DataFrame, text: str = "text", share: int = S
 
 def clean_rows(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with their own columns only."""
-    return judged(docs, bench, text).where(~F.col("contaminated")).select(*docs.columns)
+    return keeping_columns(docs, [text], lambda d: judged(d, bench, text).where(~F.col("contaminated")))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -167,6 +167,7 @@ def subtrees(page: str) -> set[int]:
     root = parse(page)
     mains = _mains(root)
     inside = sum(m.size for m in mains)
+    whole = mains[0] is root
     found, todo = set(), [(root, False)]
     while todo:
         node, in_main = todo.pop()
@@ -175,7 +176,7 @@ def subtrees(page: str) -> set[int]:
             if isinstance(child, Node):
                 todo.append((child, in_main))
         if node.size and node.tag in BLOCKS and node.tag not in ("html", "body", "article", "main"):
-            if not (in_main and (node.tag in PROSE or 2 * node.size >= inside)):
+            if not (in_main and ((node.tag in PROSE and not whole) or 2 * node.size >= inside)):
                 found.add(node.digest)
     return found
 
@@ -187,6 +188,7 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
     root = parse(page)
     mains = _mains(root)
     inside = sum(m.size for m in mains)
+    whole = mains[0] is root
     blocks, now = [], []
 
     def end():
@@ -207,7 +209,7 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
         elif node.gone:
             if node.tag in BLOCKS:
                 end()
-        elif templates and node.digest in templates and node.tag in BLOCKS and not (node.tag in PROSE or 2 * node.size >= inside):
+        elif templates and node.digest in templates and node.tag in BLOCKS and not ((node.tag in PROSE and not whole) or 2 * node.size >= inside):
             end()
         else:
             if node.tag in BLOCKS:

@@ -16,6 +16,8 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import keeping_columns
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
@@ -135,7 +137,7 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def kept_rows(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with their own columns only."""
-    return judged(df, text).where(F.col("rejected_by").isNull()).select(*df.columns)
+    return keeping_columns(df, [text], lambda d: judged(d, text).where(F.col("rejected_by").isNull()))
 
 
 #: The same rows in DuckDB SQL; {docs} is the table to judge.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +24,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keeping_columns(df: DataFrame, needed: list[str], work) -> DataFrame:
+    """work(df), with all of df's columns as they were: those besides `needed` go by other names meanwhile, so no operator's column can replace them."""
+    others = [c for c in df.columns if c not in needed]
+    out = work(df.withColumnsRenamed({c: f"__own_{c}" for c in others}))
+    return out.select(*[F.col(f"__own_{c}").alias(c) if c in others else F.col(c) for c in df.columns])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import keeping_columns
 
 WIDTH = 50
 # A perfect difference set modulo 31.
@@ -76,13 +77,13 @@ def _listed(lists, hashes, row):
 
 
 def _around(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(h, id): hashes of the whole windows around the shared anchors of each text, which `shared` lists."""
+    """(h, id): hashes of the whole windows around the shared anchors of each text, which `__shared` lists."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def extend(batches):
         for batch in W.slices(batches, text):
             small, of, at = _windows(batch, text, width - PERIOD + 1, width)
-            hit = _listed(batch.column("shared"), small, of)
+            hit = _listed(batch.column("__shared"), small, of)
             of, at = of[hit], at[hit]
             hashes, row, _ = _windows(batch, text, width, width)
             # windows that hold the anchor start at most PERIOD - 1 words before it
@@ -93,7 +94,7 @@ def _around(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
             keep = np.cumsum(change)[:-1] > 0
             yield _own_hashes(hashes[keep], row[keep], batch.column(id_col))
 
-    return docs.select(id_col, text, "shared").mapInArrow(extend, f"h bigint, id {id_type}")
+    return docs.select(id_col, text, "__shared").mapInArrow(extend, f"h bigint, id {id_type}")
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -103,33 +104,33 @@ def _shared(found: DataFrame) -> DataFrame:
 
 
 def with_removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows with `is_copy` (an earlier document has the same text) and `removed`: hashes of the document's windows that go."""
+    """The rows with `__is_copy` (an earlier document has the same text) and `__removed`: hashes of the document's windows that go."""
     if width < 2 * PERIOD - 12:
         raise ValueError(f"windows of {width} words leave no room for anchors of period {PERIOD}")
-    docs = docs.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+    docs = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), text)})
     own = docs.where(F.col(id_col).isNotNull())
-    ids = own.where(F.col(text).isNotNull()).select("_a", "_b", id_col)
-    first = ids.groupBy("_a", "_b").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where(F.col("_first") < F.col("_last"))
-    copies = ids.join(first, ["_a", "_b"]).where(F.col(id_col) > F.col("_first"))
-    copies = copies.groupBy(id_col).agg(F.collect_set(F.struct("_a", "_b")).alias("_copies"))
+    ids = own.where(F.col(text).isNotNull()).select("__a", "__b", id_col)
+    first = ids.groupBy("__a", "__b").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where(F.col("_first") < F.col("_last"))
+    copies = ids.join(first, ["__a", "__b"]).where(F.col(id_col) > F.col("_first"))
+    copies = copies.groupBy(id_col).agg(F.collect_set(F.struct("__a", "__b")).alias("__copies"))
     # everything that needs the texts is joined by id alone, so one exchange of the texts serves all
-    is_copy = F.coalesce(F.array_contains("_copies", F.struct("_a", "_b")), F.lit(False))
+    is_copy = F.coalesce(F.array_contains("__copies", F.struct("__a", "__b")), F.lit(False))
     singles = own.join(copies, id_col, "left").where(~is_copy).select(id_col, text)
     found = anchors(singles, id_col, text, width)
-    near = found.join(_shared(found), "h").groupBy(F.col("id").alias(id_col)).agg(F.collect_set("h").alias("shared"))
+    near = found.join(_shared(found), "h").groupBy(F.col("id").alias(id_col)).agg(F.collect_set("h").alias("__shared"))
     around = _around(singles.join(near, id_col), id_col, text, width)
     gone = around.join(_shared(around), "h").where(F.col("id") > F.col("_first"))
-    removed = gone.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("h").alias("removed"))
-    judged = own.drop("removed", "is_copy").join(copies, id_col, "left").join(removed, id_col, "left").withColumn("is_copy", is_copy)
-    rest = docs.where(F.col(id_col).isNull()).drop("removed", "is_copy").withColumns({"is_copy": F.lit(False), "removed": F.lit(None).cast("array<bigint>")})
-    return judged.drop("_a", "_b", "_copies").unionByName(rest.drop("_a", "_b"))
+    removed = gone.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("h").alias("__removed"))
+    judged = own.drop("__removed", "__is_copy").join(copies, id_col, "left").join(removed, id_col, "left").withColumn("__is_copy", is_copy)
+    rest = docs.where(F.col(id_col).isNull()).drop("__removed", "__is_copy").withColumns({"__is_copy": F.lit(False), "__removed": F.lit(None).cast("array<bigint>")})
+    return judged.drop("__a", "__b", "__copies").unionByName(rest.drop("__a", "__b"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows with `kept_text` (kept words joined by one space), `n_words` and `n_removed`."""
     found = with_removals(docs, id_col, text, width)
     kept = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    found = found.select(*kept, "is_copy", "removed")
+    found = found.select(*kept, "__is_copy", "__removed")
     schema = found.select(*kept).schema.simpleString()[7:-1]
 
     def cut(batches):
@@ -138,11 +139,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
             starts, ends, first = W.find_words(data, offsets)
             n_words = np.diff(first)
             hashes, of, at = _windows(batch, text, width, width)
-            hit = _listed(batch.column("removed"), hashes, of)
+            hit = _listed(batch.column("__removed"), hashes, of)
             change = np.zeros(len(starts) + 1, np.int64)
             np.add.at(change, first[of[hit]] + at[hit], 1)
             np.add.at(change, first[of[hit]] + at[hit] + width, -1)
-            copy = batch.column("is_copy").to_numpy(zero_copy_only=False).astype(bool) & (n_words >= width)
+            copy = batch.column("__is_copy").to_numpy(zero_copy_only=False).astype(bool) & (n_words >= width)
             keep = (np.cumsum(change)[:-1] == 0) & ~np.repeat(copy, n_words)
             at = np.flatnonzero(keep)
             n_kept = np.diff(np.searchsorted(at, first))
@@ -168,9 +169,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
 
 def deduplicated_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with what is left of their texts; a text that loses nothing stays as it is, and one that loses everything goes."""
-    out = deduplicated(docs, id_col, text).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(text))
-    return out.select(*[left.alias(c) if c == text else F.col(c) for c in docs.columns])
+
+    def work(d):
+        out = deduplicated(d, id_col, text).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+        return out.withColumn(text, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(text)))
+
+    return keeping_columns(docs, [id_col, text], work)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

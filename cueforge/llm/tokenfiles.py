@@ -91,17 +91,21 @@ def pack(ids: np.ndarray) -> bytes:
         q = x // f
         state = np.where(on, (q << np.uint64(PRECISION)) + (x - q * f) + c, x)
     blocks = [words[:, b * LANES : (b + 1) * LANES][given[:, b * LANES : (b + 1) * LANES]].astype("<u4").tobytes() for b in range(BLOCKS)]
-    head = struct.pack("<4sIIII", b"RANS", n, len(symbols), len(table), PRECISION)
+    states = state.astype("<u8").tobytes()
+    head = struct.pack("<4sIIIII", b"RANS", n, len(symbols), len(table), PRECISION, zlib.crc32(table + states))
     checkpoints = np.array([[len(b), zlib.crc32(b)] for b in blocks], "<u4").tobytes()
-    return head + table + checkpoints + state.astype("<u8").tobytes() + b"".join(blocks)
+    return head + table + checkpoints + states + b"".join(blocks)
 
 
 def unpack(raw: bytes) -> np.ndarray:
     """The segment's ids; raises ValueError if a block's checksum is wrong."""
-    magic, n, n_symbols, table_len, precision = struct.unpack_from("<4sIIII", raw)
+    magic, n, n_symbols, table_len, precision, crc = struct.unpack_from("<4sIIIII", raw)
     if magic != b"RANS":
         raise ValueError("not a segment")
-    at = struct.calcsize("<4sIIII")
+    at = struct.calcsize("<4sIIIII")
+    states = at + table_len + 8 * BLOCKS
+    if zlib.crc32(raw[at : at + table_len] + raw[states : states + 8 * BLOCKS * LANES]) != crc:
+        raise ValueError("the checksum of a segment's table is wrong")
     table = np.frombuffer(zlib.decompress(raw[at : at + table_len]), "<u4").astype(np.int64)
     symbols, freq = np.cumsum(table[:n_symbols]), table[n_symbols:]
     at += table_len
