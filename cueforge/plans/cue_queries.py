@@ -336,7 +336,17 @@ def words_in_segments(spark, sf_dir):
     return W.assign_to_segments(B.words(spark, sf_dir).where("start is not null"), segs, ["video"]).select("video", "pos", "seg_pos")
 
 
-@query()
+_CLOSE, _OPEN = X.chars(T.TRAILING + T.CLOSING + T.DASHES), X.chars(T.OPENING)
+
+
+@query(
+    "WITH " + B.WORDS_SQL + f""", f AS (SELECT *, row_number() OVER w > 1 AND regexp_matches(word, '^[{_CLOSE}]+$') AS back FROM words WHERE "start" IS NOT NULL WINDOW w AS (PARTITION BY video ORDER BY pos)),
+    g AS (SELECT *, sum(CASE WHEN back THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY pos) AS g FROM f),
+    m AS (SELECT video, min(pos) AS pos, string_agg(word, '' ORDER BY pos) AS word, min("start") AS s, max("end") AS e FROM g GROUP BY video, g),
+    o AS (SELECT *, coalesce(lag(regexp_matches(word, '^[{_OPEN}]+$')) OVER (PARTITION BY video ORDER BY pos), false) AS glued FROM m),
+    h AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY video ORDER BY pos) AS g FROM o)
+    SELECT video, min(pos) AS pos, string_agg(word, '' ORDER BY pos) AS word, round(min(s), 6) AS "start", round(max(e), 6) AS "end" FROM h GROUP BY video, g"""
+)
 def punctuated_words(spark, sf_dir):
     """A01."""
     return W.attach_punctuation(W.finished(B.words(spark, sf_dir)), ["video"]).select("video", "pos", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))

@@ -94,7 +94,7 @@ def corpus_totals(spark, sf_dir):
     return R.corpus_totals(C.clean_text(cue_queries._page_lines(spark, sf_dir), steps="steps"), ["video"], require="C6")
 
 
-@query()
+@query("SELECT doc_id AS video, true AS content_kept, true AS content_kept_twice, true AS idempotent FROM documents")
 def cleaning_invariants(spark, sf_dir):
     """U12."""
     return R.cleaning_invariants(B.cues(spark, sf_dir), ["video"])
@@ -110,7 +110,7 @@ def structure_invariants(spark, sf_dir):
 
 @query(
     "WITH c AS (" + cue_queries.ORACLE["cue_issues"] + "), n AS (SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)) "
-    + " UNION ALL ".join(f"SELECT '{f}' AS flag, {f} AS n, round(100 * {f} / (SELECT n FROM n), 4) AS pct FROM c" for f in ("overlaps", "leading_punct", "punct_only"))
+    + " UNION ALL ".join(f"SELECT '{f}' AS flag, c.\"{f}\" AS n, round(100 * c.\"{f}\" / n.n, 4) AS pct FROM c, n" for f in ("overlaps", "leading_punct", "punct_only"))
 )
 def corpus_report(spark, sf_dir):
     """U14, U15."""

@@ -36,7 +36,17 @@ def _segments(spark, sf_dir):
     return rows.select("video", F.col("pos").cast("long").alias("seq"), (F.col("pos") * 2.0).alias("start"), (F.col("pos") * 2.0 + 1.5).alias("end"), "text", "speaker", "last")
 
 
-@query()
+_TURN_TOKENS = cue_queries._TOKENS.format(x="text")
+
+
+@query(
+    "WITH k AS (SELECT conv_id AS video, turn AS pos, role AS speaker, unnest(" + _TURN_TOKENS + ") AS token, generate_subscripts(" + _TURN_TOKENS + ", 1) AS j, 'en' AS lang FROM conversations)"
+    + r""", c AS (SELECT *, regexp_replace(token, '["”''’」』]+$', '') AS core, regexp_matches(token, '^["”''’」』]+$') AS lone, lag(speaker) OVER (PARTITION BY video ORDER BY pos, j) AS prev FROM k)"""
+    + ", e AS (SELECT *, CASE WHEN NOT lone THEN " + cue_queries._ends_sql("core", "lang") + " END AS fin FROM c)"
+    + """, b AS (SELECT *, (prev IS NOT NULL AND prev <> speaker) OR (coalesce(last_value(fin IGNORE NULLS) OVER (PARTITION BY video ORDER BY pos, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AND NOT lone) AS fresh FROM e),
+    s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY pos, j) AS rec_id FROM b)
+    SELECT video, CAST(rec_id AS BIGINT) AS rec_id, CAST(min(pos) * 2.0 AS DOUBLE) AS "start", CAST(max(pos) * 2.0 + 1.5 AS DOUBLE) AS "end", md5(string_agg(token, ' ' ORDER BY pos, j)) AS text_md5, min(speaker) AS speaker FROM s GROUP BY video, rec_id"""
+)
 def stream_sentences(spark, sf_dir):
     """V01, V03, V04."""
     out = V.drained(V.sentences(_fed(spark, _segments(spark, sf_dir), "segments")), "sentences")
