@@ -73,7 +73,8 @@ def distributed(words: Column, chunks: Column) -> Column:
     clean = X.let(key(words), fast)
     # a chunk that ends inside a word has no place there
     whole = F.forall(clean, lambda s: (s["first"] >= 0) & (s["stop"] >= s["first"]))
-    return F.when(F.coalesce(same & whole, F.lit(False)), clean).otherwise(_spans(words, chunks))
+    easy = F.coalesce(same & whole, F.lit(False))
+    return F.when(easy, clean).otherwise(_spans(F.when(~easy, words), F.when(~easy, chunks)))
 
 
 def aligned_segments(rows: DataFrame, words: str = "words", chunks: str = "chunks") -> DataFrame:
@@ -113,7 +114,8 @@ def _repaired(pieces: pd.Series, sentences: pd.Series) -> pd.Series:
 def repaired_pair(pieces: Column, sentence: Column) -> Column:
     """Two pieces put right so that they make up the sentence, in its order; a missing one is what the other leaves; null if that fails."""
     plain = (F.size(pieces) == 2) & (F.array_join(pieces, " ") == sentence)
-    return F.when(F.coalesce(plain, F.lit(False)), pieces).otherwise(_repaired(pieces, sentence))
+    plain = F.coalesce(plain, F.lit(False))
+    return F.when(plain, pieces).otherwise(_repaired(F.when(~plain, pieces), F.when(~plain, sentence)))
 
 
 def from_words(words: DataFrame, keys: list[str]) -> DataFrame:

@@ -133,7 +133,8 @@ def aligned(rows: DataFrame, key: str) -> DataFrame:
     No segment gives none and one takes the whole; what can't be split stays on its first segment.
     """
     whole = F.when(F.size("segments") == 1, F.array("translation")).when(F.size("segments") == 0, F.array().cast("array<string>"))
-    return rows.select(key, F.coalesce(whole, _aligned("segments", "translation")).alias("pieces"))
+    several = F.size("segments") > 1
+    return rows.select(key, F.coalesce(whole, _aligned(F.when(several, F.col("segments")), F.when(several, F.col("translation")))).alias("pieces"))
 
 
 # --- summaries, terms and speech ---

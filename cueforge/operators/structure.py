@@ -39,7 +39,8 @@ def ends_sentence(token: Column, lang: str | Column = "en", script: str = "space
                 short = F.when(lang == name, word.isin(*words.split())).otherwise(short)
     dot = F.endswith(core, F.lit("."))
     guarded = F.endswith(core, F.lit("...")) | (dot & (core.rlike(r"^(?:[A-Za-z]\.){2,}$") | short | word.rlike("^[A-Za-z]$")))
-    return core.rlike(f"[{ends}]$") & ~guarded
+    # most tokens end no sentence and need no closer look
+    return F.when(token.rlike(f"[{ends}][{quotes}]*$"), ~guarded).otherwise(F.lit(False))
 
 
 def ends_clause(token: Column, script: str = "space") -> Column:
@@ -50,7 +51,7 @@ def with_groups(tokens: DataFrame, keys: list[str], boundary: Column, to: str =
     """Q04: number groups that end at boundary tokens; closing quotes by themselves stay with the group before them."""
     w = Window.partitionBy(*keys).orderBy(order)
     lone = F.col("token").rlike(f"^[{X.chars(T.CLOSING_QUOTES)}]+$")
-    tokens = tokens.withColumns({"_lone": lone, "_end": F.when(~lone, boundary)})
+    tokens = tokens.withColumn("_lone", lone).withColumn("_end", F.when(~F.col("_lone"), boundary))
     before = F.coalesce(F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     tokens = tokens.withColumn("_new", F.when(before & ~F.col("_lone"), 1).otherwise(0))
     return tokens.withColumn(to, F.sum("_new").over(w)).drop("_lone", "_end", "_new")

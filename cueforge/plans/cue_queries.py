@@ -121,11 +121,13 @@ _CHUNKS_SQL = """, ch AS (SELECT video, lang, sent_id, tokens, list_reduce(list_
 def min_slice(spark, sf_dir):
     """Cues cleaned, tokenised, put into sentences and cut into chunks of at most 90 characters, summed by language."""
     clean = C.not_empty(C.clean_text(B.cues(spark, sf_dir)))
-    found = S.sentences(clean, ["video", "lang"], lang=F.col("lang")).withColumn("chunks", S.fill_to_length(F.col("tokens"), 90))
+    tokens = S.with_groups(S.token_rows(clean, ["video", "lang"]), ["video", "lang"], S.ends_sentence(F.col("token"), F.col("lang")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"])
+    found = tokens.groupBy("video", "lang", "sent_id").agg(rows.alias("tokens"), F.count_if(F.col("tok_pos") == 0).alias("n_cues"))
+    found = found.select("lang", "n_cues", S.fill_to_length(F.col("tokens"), 90).alias("chunks"))
     letters = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    by = found.groupBy("lang").agg(F.count("*").alias("sentences"), F.sum(F.size("chunks")).alias("chunks"), F.sum(letters).alias("_letters"))
-    n = clean.groupBy("lang").agg(F.count("*").alias("cues"))
-    return n.join(by, "lang").select("lang", "cues", "sentences", "chunks", F.round(F.col("_letters") / F.col("chunks"), 6).alias("avg_chunk"))
+    by = found.groupBy("lang").agg(F.sum("n_cues").alias("cues"), F.count("*").alias("sentences"), F.sum(F.size("chunks")).alias("chunks"), F.sum(letters).alias("_letters"))
+    return by.select("lang", "cues", "sentences", "chunks", F.round(F.col("_letters") / F.col("chunks"), 6).alias("avg_chunk"))
 
 
 @query(SENTENCES_SQL + _CHUNKS_SQL + " SELECT video, CAST(sent_id AS BIGINT) AS sent_id, array_to_string(tokens, ' ') AS sentence, array_to_string(chunks, '|') AS chunks FROM ch")
