@@ -35,7 +35,7 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 SIG_LEAST = 52
-#: Largest bucket whose members are all compared with each other.
+#: Largest bucket whose members are all compared with each other; four times as many in each later round.
 SMALL = 8
 #: Rounds of new buckets; what is open after them is compared pair by pair.
 ROUNDS = 12
@@ -162,7 +162,8 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     sets = stored(_shingle_sets(texts, id_col, text, width), "sets")
     roots = links = None
     for round_ in range(ROUNDS + 1):
-        small = SMALL if round_ < ROUNDS else 1 << 62
+        # the buckets of later rounds hold few members that aren't of one component
+        small = SMALL * 4**round_ if round_ < ROUNDS else 1 << 62
         score = buckets.groupBy("u").agg(F.sum("m").alias("score"))
         ranked = buckets.join(score, "u")
         centres = ranked.groupBy("key").agg(F.max_by(F.struct("u", "n"), F.struct("score", "u")).alias("c"))
