@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,14 @@ def _dealt(n: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(ids: np.ndarray) -> bytes:
     """One segment: header, table, checkpoints and the words of each block."""
     n = len(ids)
-    symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if n and ids.max() < 1 << 20:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int64)
+        place[symbols] = np.arange(len(symbols))
+        dense, counts = place[ids], counts[symbols]
+    else:
+        symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + (freq := scaled(counts) if n else np.zeros(0, np.int64)).astype("<u4").tobytes(), 6)
     index, there = _dealt(n)
     steps = len(index)
@@ -218,8 +226,12 @@ class WordIds:
             found += parts
             sizes.append(len(parts))
         index = self.index
-        self.learn([w for w in dict.fromkeys(found) if w not in index])
-        at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+        at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [found[k] for k in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
         self.uses[: len(index)] += np.bincount(at, minlength=len(index))
         starts = np.where(at > 0, self.ends[at - 1], 0)
         lengths = self.ends[at] - starts
