@@ -12,7 +12,7 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays: shingles of five words, similarity 0.8 or more."""
+    """One document of each near-duplicate group stays: shingles of five words, similarity 0.8 or more; rows without an id all stay."""
     return neardup.one_of_each(docs)
 
 

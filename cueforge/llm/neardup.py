@@ -218,9 +218,11 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component, with its own columns."""
-    found = clusters(docs, id_col, text, width, percent).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(found, id_col, "left_semi").select(*docs.columns)
+    """The document with the smallest id of each component, with its own columns. Rows without an id are in no component and all stay."""
+    known = docs.where(F.col(id_col).isNotNull())
+    found = clusters(known, id_col, text, width, percent).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = known.join(found, id_col, "left_semi").select(*docs.columns)
+    return kept.union(docs.where(F.col(id_col).isNull()))
 
 
 #: {docs} is the table, {k} the shingle's words; (doc_id, n_shingles, component_id) as nc.

@@ -177,6 +177,13 @@ def test_near_duplicates_odd(spark):
     assert neardup.clusters(rows(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "A b c"), (None, "a b c"), (None, "a b c"), (None, None)], "doc_id int, text string")
+    kept = neardup.one_of_each(df)
+    assert kept.schema == df.schema
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, "a b c"), (None, "a b c"), (None, "a b c"), (None, None)]
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1064)] + [(5, 5)]
@@ -450,3 +457,15 @@ def test_pipeline(spark, tmp_path):
     for r in got.values():
         assert list(r.ids) == library.encode(r.text, add_special_tokens=False).ids
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_pipeline_keeps_rows_without_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(14)
+    data = [(i, story(rnd, 120, 5000)) for i in (0, 1, None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, story(rnd, 30, 5000))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(data, key=str)
