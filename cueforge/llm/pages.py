@@ -3,10 +3,11 @@
 Every page becomes a tree. Each container element that could be page furniture is hashed with all below
 it; Spark counts the pages of a host that have each hash, and subtrees that recur across many pages of their
 host are deleted, with the furniture that shows by its tag, role or class. What is left of the article
-(article, else main, else the body) is cut into blocks.
+(article, else main, else the body) is cut into blocks. Pages of a host with the same article are one page for
+the counts, so copies of a page make no template.
 
-Paragraphs, headings and list items of an article are never taken for templates, however often they recur, nor
-is a container that holds half of its page's article or more.
+Paragraphs, headings, lists and their items, sections and figures of an article are never taken for templates, however
+often they recur, nor is a container that holds half of its page's article or more.
 
 Null pages are empty and give an empty text. Broken markup never fails: stray brackets are text and open
 elements end with their parent. Pages that share an id are told apart by their text and each gives its row.
@@ -24,19 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import stored
 
-#: A subtree is a template if this many pages of a host, and this share of them, have it.
+#: A subtree is a template if this many pages of a host have it, and this share of them. On hosts of over 100
+#: pages the share is of 100 pages times the root of their hundreds, so it rises more slowly than the host.
 TEMPLATE_PAGES = 5
 TEMPLATE_PERCENT = 20
 
 # HTML's element kinds, and names that page furniture goes by.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe svg math object textarea title".split())
+#: Of these an end tag that is missing is the end of the page.
+TO_THE_END = {"script", "style", "textarea", "title"}
 FURNITURE = set("nav footer aside form button select dialog menu head audio video canvas".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr table tbody thead".split())
+KEPT = PROSE | set("ul ol dl section figure figcaption details summary caption tfoot".split())
 CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "summary", "figcaption"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -108,6 +114,7 @@ def parse(page: str) -> Node:
                 return
 
     at = 0
+    unclosed = set()
     find = _TAG.search
     while found := find(page, at):
         text(page[at : found.start()])
@@ -127,8 +134,11 @@ def parse(page: str) -> Node:
             close_open(CLOSED_BY[tag], LISTS[tag])
         top = stack[-1]
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end or tag in TO_THE_END:
+                at = end.end() if end else len(page)
+            else:
+                unclosed.add(tag)
             continue
         node = Node(tag, _is_furniture(tag, found[3], top.article), top.article or tag == "article")
         if tag in VOID:
@@ -162,12 +172,13 @@ def _mains(root: Node) -> list[Node]:
     return [root]
 
 
-def subtrees(page: str) -> set[int]:
-    """Digests of the subtrees that could be templates."""
+def subtrees(page: str) -> tuple[int, set[int]]:
+    """Digest of the page's article, and those of the subtrees that could be templates."""
     root = parse(page)
     mains = _mains(root)
     inside = sum(m.size for m in mains)
     whole = mains[0] is root
+    own = xxhash.xxh64_intdigest("\x02".join(root.parts if whole else [str(m.digest) for m in mains])) - (1 << 63)
     found, todo = set(), [(root, False)]
     while todo:
         node, in_main = todo.pop()
@@ -176,9 +187,9 @@ def subtrees(page: str) -> set[int]:
             if isinstance(child, Node):
                 todo.append((child, in_main))
         if node.size and node.tag in BLOCKS and node.tag not in ("html", "body", "article", "main"):
-            if not (in_main and ((node.tag in PROSE and not whole) or 2 * node.size >= inside)):
+            if not (in_main and ((node.tag in KEPT and not whole) or 2 * node.size >= inside)):
                 found.add(node.digest)
-    return found
+    return own, found
 
 
 def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
@@ -209,7 +220,7 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
         elif node.gone:
             if node.tag in BLOCKS:
                 end()
-        elif templates and node.digest in templates and node.tag in BLOCKS and not ((node.tag in PROSE and not whole) or 2 * node.size >= inside):
+        elif templates and node.digest in templates and node.tag in BLOCKS and not ((node.tag in KEPT and not whole) or 2 * node.size >= inside):
             end()
         else:
             if node.tag in BLOCKS:
@@ -230,16 +241,21 @@ def templates(pages: DataFrame, id_col: str, html: str, pages_least: int = TEMPL
 
     def find(batches):
         for batch in W.slices(batches, html):
-            found = [sorted(subtrees(p)) if p else [] for p in batch.column(html).to_pylist()]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+            read = [subtrees(p or "") for p in batch.column(html).to_pylist()]
+            found = [[None, *sorted(f)] for _, f in read]  # null: the page itself
+            at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            rows, own = pa.array(at), pa.array([own for own, _ in read], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in (id_col, "_t", "_host")), pa.array([x for f in found for x in f], pa.int64())], names=[id_col, "_t", "_host", "digest"]
+                [*(batch.column(c).take(rows) for c in (id_col, "_t", "_host")), own.take(rows), pa.array([x for f in found for x in f], pa.int64())],
+                names=[id_col, "_t", "_host", "own", "digest"],
             )
 
-    every = pages.select(id_col, "_t", "_host", html).mapInArrow(find, f"{id_col} {kind}, _t bigint, _host string, digest bigint")
-    of_host = pages.groupBy("_host").agg(F.count("*").alias("pages"))
-    many = every.groupBy("_host", "digest").agg(F.count("*").alias("k")).where(F.col("k") >= pages_least)
-    many = many.join(of_host, "_host").where(100 * F.col("k") >= percent * F.col("pages")).select("_host", "digest")
+    every = pages.select(id_col, "_t", "_host", html).mapInArrow(find, f"{id_col} {kind}, _t bigint, _host string, own bigint, digest bigint")
+    counts = every.groupBy("_host", "digest").agg(F.count_distinct("own").alias("k"))
+    counts = stored(counts.where(F.col("digest").isNull() | (F.col("k") >= pages_least)), "templates")
+    of_host = counts.where(F.col("digest").isNull()).select("_host", F.col("k").alias("pages"))
+    many = counts.where(F.col("digest").isNotNull()).join(of_host, "_host")
+    many = many.where(100 * F.col("k") >= percent * F.least("pages", 10 * F.sqrt("pages"))).select("_host", "digest")
     return every.join(many, ["_host", "digest"]).groupBy(id_col, "_t").agg(F.collect_set("digest").alias("templates"))
 
 

@@ -255,6 +255,28 @@ def test_templates(spark):
     assert got[40].startswith("Company news")  # a host with one page has no template
 
 
+def test_templates_need_different_pages(spark):
+    page = "<article><p>{0}</p><ul><li>one</ul><div>aside of it</div></article>"
+    bare = "<p>first words</p><div><p>second</p></div><p>{0}</p>"
+    data = [(i, f"https://mirror/{i}", page.format("same")) for i in range(9)]  # copies of one page
+    data += [(20 + i, f"https://bare/{i}", bare.format("same")) for i in range(9)]
+    listed = "<article><p>{0}</p><ul><li>shared item</ul><section><p>shared section</p></section><p>" + "x" * 100 + "</article>"
+    data += [(40 + i, f"https://lists/{i}", listed.format(i)) for i in range(9)]
+    # 30 of 400 pages are below a fifth of them, and not many enough; 60 are
+    data += [(100 + i, f"https://large/{i}", f"<article><p>own {i}</p>{'<div>press</div>' if i < 60 else '<div>call</div>' if i < 90 else ''}</article>") for i in range(400)]
+    got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[3] == "same\none\naside of it"
+    assert got[23] == "first words\nsecond\nsame"
+    assert got[43] == "3\nshared item\nshared section\n" + "x" * 100
+    assert got[110] == "own 10" and got[170] == "own 70\ncall"
+
+
+def test_unclosed_raw_elements():
+    assert pages.main_text("<p>a<svg>b<p>c<iframe>d<svg>e") == "ab\ncde"
+    assert pages.main_text("<p>a<svg>no</svg>b<svg>c") == "abc"
+    assert pages.main_text("<p>a<script>b<p>c") == "a"
+
+
 # --- 6: token files ------------------------------------------------------------------------------------
 
 
