@@ -7,7 +7,8 @@ of training positions where its window occurs; runs of successive hits are the l
 matches. Positions outside words of the test items can match nothing, so the arrays leave them out.
 
 Words are compared by 64-bit hashes. Null and empty texts have no words; items without words match
-nothing. Repeated rows are judged each for itself. The test items are read in blocks of at most
+nothing. The words of an item without an id count as hit, but the list of items leaves it out. Repeated rows are
+judged each for itself. The test items are read in blocks of at most
 BLOCK_BYTES of text, each broadcast in turn, so any number of items works.
 """
 
@@ -194,7 +195,7 @@ def judged(docs: DataFrame, bench: DataFrame, text: str = "text", share: int = S
             covered = np.append(0, np.cumsum(np.cumsum(change)[:-1] > 0))
             n_hit = covered[first[1:]] - covered[first[:-1]]
             names = flat.field("item_id").cast(pa.string()).to_pylist()
-            items = [sorted(set(names[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            items = [sorted(set(names[a:b]) - {None}) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))],

@@ -406,6 +406,14 @@ def test_decontamination(spark, block_bytes):
     assert decontaminate.judged(rows(spark, ODD), bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_without_id(spark, kind):
+    first, second = story(random.Random(15), 20), story(random.Random(16), 20)
+    bench = spark.createDataFrame([(None, first), (7, second), (None, None)], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    got = decontaminate.judged(rows(spark, [first + " " + second, first, second, "clean"]), bench).orderBy("doc_id").collect()
+    assert [(r.n_hit, list(r["items"]), r.contaminated) for r in got] == [(40, ["7"], True), (20, [], True), (20, ["7"], True), (0, [], False)]
+
+
 def test_longest_matches(spark):
     text = story(random.Random(11), 30)
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
