@@ -36,6 +36,19 @@ def test_query(spark, duck, name):
         assert got == sorted_rows(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_stream_events_in_many_batches(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from cueforge.streaming import streams
+
+    source = streams.source
+    monkeypatch.setattr(streams, "source", lambda spark, path, schema, **_: source(spark, path, schema, per_trigger=1))
+    for day in range(6, 0, -1):
+        rows = [(10 * day + k, datetime.datetime(2026, 1, day, k), "click") for k in range(3)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in registry.QUERIES["stream_events"](spark, str(tmp_path)).collect()] == [("click", 18)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
