@@ -13,8 +13,9 @@ small-star. What is left are pairs x, y of different components that met in a bu
 linked and x isn't linked with the centre c, then x and y share a shingle that c lacks, or their whole overlap lies in
 c and fits into the overlap of both with c, which only happens where y is smaller than c. So members of such buckets get
 new buckets, one for each shingle outside the centre, and one for the second case, and the comparison starts again
-there, until no bucket holds two components. Every round compares members with centres only, so its work follows the
-number of members, not of pairs, and no pair is given up.
+there, until no bucket holds two components, and no pair is given up. Later rounds compare all pairs of different
+components in buckets of up to SMALL * 4^round members, and the last one in all buckets, so their work can follow the
+number of pairs.
 
 Null and empty texts have empty sets and link with nothing. Rows without an id keep a null component.
 Rows that share an id are one document with the union of their links, each row returned.
