@@ -23,8 +23,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("u", F.col("m").alias("v")).union(moved)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): each node that is not its component's smallest, with the smallest. edges: columns u and v of one ordered type."""
+def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """(u, v): each node that is not its component's smallest, with the smallest. edges: columns u and v of one ordered type. The result's folder is added to `paths`."""
     spark = edges.sparkSession
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now, path = stored_at(edges.where("u <> v").distinct(), "edges")
@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, path, before, seen = after, new_path, seen, state(after)
         if seen == before:
             break
+    if paths is not None:
+        paths.append(path)
     return now

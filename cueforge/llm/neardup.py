@@ -2,23 +2,23 @@
 
 Each document's set gets BANDS * ROWS minima of universal hashes (multiply and add modulo 2^64). Two
 sets of Jaccard similarity s agree on a band with probability s^ROWS, so at 0.8 a pair shares none of 24
-bands of 4 rows with probability 3e-6. Pairs that share a band are compared by their whole signatures
-first (SIG_LEAST of 96 one-byte minima; a pair at 0.8 falls below it with probability under 1e-7), and
-what is left on the full sets.
+bands of 4 rows with probability 3e-6. Pairs are compared by their whole signatures first (SIG_LEAST of
+96 one-byte minima; a pair at 0.8 falls below it with probability under 1e-7), and what is left on the full sets.
 
 Documents with equal sets form one class, of which only the smallest document goes on. In a bucket (documents with
-a band in common), every member is compared with one centre, the member that shares most bands with others; in
-buckets of at most SMALL members all are compared. Linked documents form components by alternating large-star and
-small-star. What is left are pairs x, y of different components that met in a bucket but not each other. If they are
-linked and x isn't linked with the centre c, then x and y share a shingle that c lacks, or their whole overlap lies in
-c and fits into the overlap of both with c, which only happens where y is smaller than c. So members of such buckets get
-new buckets, one for each shingle outside the centre, and one for the second case, and the comparison starts again
-there, until no bucket holds two components, and no pair is given up. Later rounds compare all pairs of different
-components in buckets of up to SMALL * 4^round members, and the last one in all buckets, so their work can follow the
-number of pairs.
-
-Null and empty texts have empty sets and link with nothing. Rows without an id keep a null component.
-Rows that share an id are one document with the union of their links, each row returned.
+a band in common) every member is compared with one centre, the member that shares most bands with others, and
+linked documents form components by alternating large-star and small-star.
+
+What is left are pairs of one bucket in different components. At least one of the two is open, outside the largest
+component of the bucket. Such pairs are found by their rarest shingles: with all shingles in one order, by how many
+of these documents have them, the first shingle that x and y share stands at places i and j of their sorted sets, and
+the overlap is at most min(n_x - i, n_y - j). Most open documents hold so many shingles of their own that nothing
+can be linked with them, and they end here without a comparison. No bound on members, rounds or candidates is set.
+
+Null and empty texts have empty sets and link with nothing. Texts of fewer words than a shingle are one shingle. Whole
+texts count, however long. Repeated rows and equal sets are of one component. Rows without an id keep a null component.
+Rows that share an id are one document with the union of their links, each row returned. Other columns don't matter
+and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +30,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import stored
+from .store import scratch, stored
 
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 SIG_LEAST = 52
-#: Largest bucket whose members are all compared with each other; four times as many in each later round.
-SMALL = 8
-#: Rounds of new buckets; what is open after them is compared pair by pair.
-ROUNDS = 12
 
 
 def _sets(batch, text, width):
@@ -134,82 +130,84 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(compare, f"{schema},alike boolean")
 
 
-def _compared(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, n, nv, both, linked, outside) of distinct pairs: overlap on the full sets, whether they are linked, and u's shingles that v lacks."""
+def _linked(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the distinct pairs that are linked: by signature first, then on the full sets."""
     pairs = pairs.join(sig.select("u", F.col("sig").alias("sig_a")), "u").join(sig.select(F.col("u").alias("v"), F.col("sig").alias("sig_b")), "v")
     b = sets.select(F.col("u").alias("v"), F.col("shingles").alias("sv"))
-    found = _agreeing(pairs).join(sets, "u").join(b, "v").withColumn("outside", F.array_except("shingles", "sv"))
-    found = found.withColumns({"n": F.size("shingles"), "nv": F.size("sv")}).withColumn("both", F.col("n") - F.size("outside"))
-    linked = F.col("alike") & (100 * F.col("both") >= percent * (F.col("n") + F.col("nv") - F.col("both")))
-    return found.select("u", "v", "n", "nv", "both", linked.alias("linked"), "outside")
+    found = _agreeing(pairs).where("alike").drop("alike").join(sets, "u").join(b, "v")
+    both, n = F.size(F.array_intersect("shingles", "sv")), F.size("shingles") + F.size("sv")
+    return found.where((100 + percent) * both >= percent * n).select("u", "v")
+
+
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """With `root`, the smallest document of u's component so far."""
+    return df.join(roots.select("u", F.col("v").alias("root")), "u", "left").withColumn("root", F.coalesce("root", "u"))
+
+
+def _open_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, n, root, open) of the members of buckets that hold several components; open outside the largest of some bucket."""
+    ranked = _rooted(buckets.select("key", "u", "n"), roots)
+    by_root = ranked.groupBy("key", "root").agg(F.count("*").alias("k"))
+    mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    return ranked.join(mixed.select("key", "main"), "key").groupBy("u", "n", "root").agg(F.max(F.col("root") != F.col("main")).alias("open"))
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the pairs of an open member u and a member v of another component whose overlap can be large enough."""
+    # of two linked sets not even the larger one has more shingles than this before the first common one
+    reach = lambda before: 100 * before <= (100 - percent) * F.col("n")
+    has = members.join(sets, "u").select("u", "n", "root", "open", F.explode("shingles").alias("t"))
+    common = has.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    rows = has.join(common, "t").groupBy("u", "n", "root", "open").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    # the shingles that no other member has come first
+    rows = rows.withColumn("own", F.col("n") - F.size("ts"))
+    rows = rows.where(reach(F.col("own"))).select("u", "n", "root", "open", "own", F.posexplode("ts").alias("at", "x"))
+    rows = rows.where(reach(F.col("own") + F.col("at"))).select("u", "n", "root", "open", F.col("x.t").alias("t"), (F.col("n") - F.col("own") - F.col("at")).alias("rest"))
+    x = rows.where("open")
+    y = rows.select("t", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), F.col("open").alias("ov"), F.col("rest").alias("restv"))
+    enough = (100 + percent) * F.least("rest", "restv") >= percent * (F.col("n") + F.col("nv"))
+    once = ~F.col("ov") | (F.col("u") < F.col("v"))
+    return x.join(y, (x.t == y.t) & (x.root != y.rv) & enough & once).select("u", "v").distinct()
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id): one row per id and distinct set."""
+    """(id, n_shingles, component_id): one row per row of the table."""
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
-    signed = stored(signatures(docs, id_col, text, width), "signatures")
-    known = signed.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
-    # classes of equal sets: the smallest id stands for all
-    classes = known.groupBy("n_shingles", "s1", "s2").agg(F.min(id_col).alias("u"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    member = known.select(id_col, "n_shingles", "s1", "s2").join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
-    same = member.where(F.col(id_col) > F.col("u")).select(F.col(id_col).alias("a"), F.col("u").alias("b")).distinct()
-    sig = classes.select("u", "sig")
-    buckets = classes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    several = lambda d: d.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = stored(buckets.join(several(buckets), "key"), "buckets")
-    texts = docs.where(F.col(id_col).isNotNull()).join(buckets.select(F.col("u").alias(id_col)).distinct(), id_col, "left_semi")
-    sets = stored(_shingle_sets(texts, id_col, text, width), "sets")
-    roots = links = None
-    for round_ in range(ROUNDS + 1):
-        # the buckets of later rounds hold few members that aren't of one component
-        small = SMALL * 4**round_ if round_ < ROUNDS else 1 << 62
+    with scratch(docs.sparkSession) as (kept, paths):
+        signed = kept(signatures(docs, id_col, text, width), "signatures")
+        known = signed.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
+        # classes of equal sets: the smallest id stands for all
+        classes = known.groupBy("n_shingles", "s1", "s2").agg(F.min(id_col).alias("u"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+        classes = kept(classes, "classes")
+        member = known.select(id_col, "n_shingles", "s1", "s2").join(classes.select("n_shingles", "s1", "s2", "u"), ["n_shingles", "s1", "s2"])
+        same = member.where(F.col(id_col) > F.col("u")).select(F.col(id_col).alias("a"), F.col("u").alias("b")).distinct()
+        sig = classes.select("u", "sig")
+        buckets = classes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+        several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        buckets = kept(buckets.join(several, "key"), "buckets")
+        texts = docs.where(F.col(id_col).isNotNull()).join(buckets.select(F.col("u").alias(id_col)).distinct(), id_col, "left_semi")
+        sets = kept(_shingle_sets(texts, id_col, text, width), "sets")
+
         score = buckets.groupBy("u").agg(F.sum("m").alias("score"))
-        ranked = buckets.join(score, "u")
-        centres = ranked.groupBy("key").agg(F.max_by(F.struct("u", "n"), F.struct("score", "u")).alias("c"))
-        large = buckets.where(F.col("m") > small).join(centres, "key").where(F.col("u") != F.col("c.u")).select("u", F.col("c.u").alias("v"))
-        few = buckets.where(F.col("m") <= small).select("key", "u", "n")
-        mates = few.select("key", F.col("u").alias("v"), F.col("n").alias("nv"))
-        close = 100 * F.least("n", "nv") >= percent * F.greatest("n", "nv")
-        direct = few.join(mates, "key").where((F.col("u") < F.col("v")) & close).select("u", "v")
-        if roots is not None:
-            root = roots.select("u", F.col("v").alias("ru"))
-            direct = direct.join(root, "u", "left").join(root.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v", "left")
-            direct = direct.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-        wanted = large.withColumn("spread", F.lit(True)).union(direct.withColumn("spread", F.lit(False)))
-        wanted = wanted.groupBy("u", "v").agg(F.max("spread").alias("spread"))
-        seen = stored(_compared(wanted, sig, sets, percent).join(wanted, ["u", "v"]), "seen")
-        fresh = seen.where("linked").select("u", "v")
-        links = fresh if links is None else links.union(fresh)
-        roots = components(fresh if roots is None else roots.select("u", "v").union(fresh))
-        if round_ == ROUNDS:
-            break
-        # centres whose members, the centre too, aren't all of one component
-        root = roots.select("u", F.col("v").alias("ru"))
-        spread = seen.where("spread").join(root, "u", "left").join(root.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v", "left")
-        spread = spread.withColumns({"ru": F.coalesce("ru", "u"), "rv": F.coalesce("rv", "v")})
-        open_ = spread.groupBy("v").agg(F.count_if(F.col("ru") != F.col("rv")).alias("k"), F.count("*").alias("m"), F.min("n").alias("least")).where("k > 0 and m > 1")
-        spread = spread.join(open_.select("v", "least"), "v")
-        whole = percent / (100 + percent)
-        # an overlap inside the centre: possible only for members that could hold it
-        inner = (F.col("both") >= whole * (F.col("n") + F.col("least")) - 1) & ((F.col("nv") > F.col("least")) & ~(F.col("linked") & (F.col("n") >= F.col("nv"))))
-        tokens = F.concat(F.col("outside"), F.when(inner, F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
-        keys = spread.select("u", F.col("n").cast("long").alias("n"), "ru", F.explode(tokens).alias("t"), "v").withColumn("key", F.xxhash64("v", "t"))
-        mixed = keys.groupBy("key").agg(F.min("ru").alias("r0"), F.max("ru").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("key", "m")
-        buckets = stored(keys.select("key", "u", "n").join(mixed, "key"), "buckets")
-        if buckets.isEmpty():
-            break
-
-    # an id that has several sets ties its classes together
-    edges = same.select(F.col("a").alias("u"), F.col("b").alias("v")).union(roots.select("u", "v"))
-    ids_twice = known.groupBy(id_col).agg(F.count_distinct("s1", "s2").alias("k")).where("k > 1")
-    if ids_twice.isEmpty():
-        final = same.join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").select(F.col("a").alias(id_col), F.coalesce("root", "b").alias("component_id"))
-        final = final.union(roots.select(F.col("u").alias(id_col), F.col("v").alias("component_id")))
-    else:
-        final = components(edges).select(F.col("u").alias(id_col), F.col("v").alias("component_id"))
-    return signed.select(id_col, "n_shingles").join(final, id_col, "left").withColumn("component_id", F.coalesce("component_id", id_col))
+        centres = buckets.join(score, "u").groupBy("key").agg(F.max_by(F.struct("u", "n"), F.struct("score", "u")).alias("c"))
+        close = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+        pairs = buckets.join(centres, "key").where((F.col("u") != F.col("c.u")) & close).select("u", F.col("c.u").alias("v")).distinct()
+        roots = components(_linked(pairs, sig, sets, percent), paths)
+        members = kept(_open_members(buckets, roots), "members")
+        pairs = kept(_by_rare_shingles(members, sets, percent), "pairs")
+        links = roots.select("u", "v").union(_linked(pairs, sig, sets, percent))
+        # an id that has several sets ties its classes together
+        ids_twice = known.groupBy(id_col).agg(F.count_distinct("s1", "s2").alias("k")).where("k > 1")
+        if ids_twice.isEmpty():
+            roots = components(links, paths)
+            final = same.join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").select(F.col("a").alias(id_col), F.coalesce("root", "b").alias("component_id"))
+            final = final.union(roots.select(F.col("u").alias(id_col), F.col("v").alias("component_id")))
+        else:
+            edges = same.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links)
+            final = components(edges, paths).select(F.col("u").alias(id_col), F.col("v").alias("component_id"))
+        found = signed.select(id_col, "n_shingles").join(final, id_col, "left").withColumn("component_id", F.coalesce("component_id", id_col))
+        return stored(found, "clusters")
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -48,3 +49,18 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """(kept, paths): kept(df, name) works as stored(); what it stored, and all other folders put in the list, goes when the block ends."""
+    paths = []
+
+    def kept(df, name):
+        found, path = stored_at(df, name)
+        paths.append(path)
+        return found
+
+    yield kept, paths
+    for path in paths:
+        discard(spark, path)
