@@ -3,16 +3,19 @@
 Texts are cut at the file's special tokens and then into pieces by the byte-level pattern. The distinct
 pieces of a batch that the worker doesn't know yet are merged together: their symbols lie in one flat
 array, every round looks all neighbouring pairs up by binary search over the sorted pair keys, and in each
-piece the pair of lowest rank merges wherever it stands (overlapping places from the left). Decoding joins
-the bytes of the ids.
+piece the pair of lowest rank merges wherever it stands (overlapping places from the left). Pieces of over LONG
+bytes go through rounds of one rank each, which look up only the pairs beside the places just merged, so a line of a
+megabyte without a space takes seconds. Decoding joins the bytes of the ids.
 
 The tokenizer's path must be readable on every executor; it is a parameter. Null texts are empty and have
-no ids. Extra columns pass through; the columns added here replace columns of the same name.
+no ids. Whole texts are encoded, however long; repeated rows get the same ids each, and an empty table gives no rows.
+Extra columns pass through; the columns added here replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -24,8 +27,10 @@ from . import words as W
 
 # Fixed value: the pattern of byte-level pre-tokenization.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker keeps between batches.
-KNOWN_PIECES = 400_000
+#: Pieces a worker keeps between batches, and their bytes.
+KNOWN_PIECES, KNOWN_BYTES = 400_000, 32 << 20
+#: Bytes from which a piece merges by rank instead of in rounds with the others.
+LONG = 200
 
 
 def byte_letters() -> list[str]:
@@ -64,7 +69,63 @@ class Bpe:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.bytes = 0
+
+    def ranks_of(self, left, right):
+        """Rank of each pair; len(self.merged) where it merges never."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.ranks[at], len(self.merged))
+
+    def merge_by_rank(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge(), for long pieces: all places of the lowest rank that is left merge, and only the pairs beside them are looked up again."""
+        never, lengths = len(self.merged), np.array([len(p) for p in pieces], np.int64)
+        n = int(lengths.sum())
+        symbols = np.append(self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ends = np.cumsum(lengths)
+        after[ends - 1] = n  # place n is no place
+        before[ends - lengths] = n
+        rank = np.full(n + 1, never, np.int64)
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look_up(at):
+            at = at[after[at] < n]
+            rank[at] = self.ranks_of(symbols[at], symbols[after[at]])
+            at = at[rank[at] < never]
+            at = at[np.argsort(rank[at], kind="stable")]
+            heads = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for r, part in zip(rank[at[heads]].tolist(), np.split(at, heads[1:]) if len(heads) else (), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(part)
+
+        look_up(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # overlapping places: every second one of a run merges
+            start = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+            run = np.diff(np.append(start, len(at)))
+            at = at[(np.arange(len(at)) - np.repeat(start, run)) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.merged[r]
+            alive[gone] = False
+            rank[gone] = rank[at] = never
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            left = left[left < n]
+            rank[left] = never
+            look_up(np.unique(np.concatenate([at, left])))
+        return symbols[:n][alive].astype(np.int32), np.add.reduceat(alive, ends - lengths, dtype=np.int64)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, how many each piece has)."""
@@ -76,11 +137,8 @@ class Bpe:
         while len(symbols):
             # the pair at each symbol and the next one of the same piece
             inner = np.flatnonzero(piece[:-1] == piece[1:])
-            keys = symbols[inner] << 32 | symbols[inner + 1]
-            at = np.searchsorted(self.keys, keys)
-            at[at == never] = 0
             rank = np.full(len(symbols), never, np.int64)
-            rank[inner] = np.where(self.keys[at] == keys, self.ranks[at], never)
+            rank[inner] = self.ranks_of(symbols[inner], symbols[inner + 1])
             heads = np.flatnonzero(np.diff(piece, prepend=-1))
             least = np.minimum.reduceat(rank, heads)
             sizes = np.diff(np.append(heads, len(symbols)))
@@ -106,7 +164,18 @@ class Bpe:
     def learn(self, pieces: list[str]):
         if not pieces:
             return
-        ids, counts = self.merge([p.encode() for p in pieces])
+        raw = [p.encode() for p in pieces]
+        long = [k for k, p in enumerate(raw) if len(p) > LONG]
+        if long:
+            whole = set(long)
+            pieces = [p for k, p in enumerate(pieces) if k not in whole] + [pieces[k] for k in long]
+            short = [p for k, p in enumerate(raw) if k not in whole]
+            ids, counts = self.merge(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            more, more_counts = self.merge_by_rank([raw[k] for k in long])
+            ids, counts = np.concatenate([ids, more]), np.concatenate([counts, more_counts])
+        else:
+            ids, counts = self.merge(raw)
+        self.bytes += sum(map(len, raw))
         n, k = len(self.index), len(pieces)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
@@ -119,7 +188,7 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.index) > KNOWN_PIECES:
+        if len(self.index) > KNOWN_PIECES or self.bytes > KNOWN_BYTES:
             self.forget()
         found, sizes, specials = [], [], []
         for text in texts:
