@@ -1,24 +1,27 @@
 """Main text of web pages, with site templates removed.
 
-Every page becomes a tree. Each container element that could be page furniture is hashed with all below
-it; Spark counts the pages of a host that have each hash, and subtrees that recur across many pages of their
-host are deleted, with the furniture that shows by its tag, role or class. What is left of the article
-(article, else main, else the body) is cut into blocks. Pages of a host with the same article are one page for
-the counts, so copies of a page make no template.
+Every page becomes a tree in one pass; every container in its article (the largest article, else main, else the body)
+that could be page furniture is hashed with all below it. The article is cut into blocks, and each block knows the hashes
+of the containers around it. Spark counts the different pages of a host that have each hash, and blocks under a subtree
+that recurs across many pages of their host go. What is furniture by its tag or role, or by one of the contract's own
+words as a whole class or id of a plain container, goes without counting. An article inside an article is a reader's comment.
 
 Paragraphs, headings, lists and their items, sections and figures of an article are never taken for templates, however
-often they recur, nor is a container that holds half of its page's article or more.
+often they recur, nor is a container that holds half of its page's article or more. Pages of a host with the same
+article are one page for the counts, so copies of a page make no template. Pages without a host (null or odd urls)
+share no templates.
 
-Null pages are empty and give an empty text. Broken markup never fails: stray brackets are text and open
-elements end with their parent. Pages that share an id are told apart by their text and each gives its row.
+Null pages are empty and give an empty text. Broken markup never fails and costs time in proportion to its length: stray
+brackets are text and open elements end with their parent. Repeated rows, and pages that share an id, each give their
+row. An empty table gives no rows. Extra columns pass through; `text` and `n_chars` replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ TEMPLATE_PERCENT = 20
 
 # HTML's element kinds, and names that page furniture goes by.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math object textarea title".split())
+RAW = set("script style noscript template iframe svg object textarea title".split())
 #: Of these an end tag that is missing is the end of the page.
 TO_THE_END = {"script", "style", "textarea", "title"}
 FURNITURE = set("nav footer aside form button select dialog menu head audio video canvas".split())
@@ -47,13 +50,12 @@ CLOSES_P = BLOCKS - {"caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th",
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-NAMES = set(
-    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice paywall popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
-)
+NAMES = set("ad ads advert adverts advertisement comment comments footer header menu nav notice sidebar".split())
+NAMED = set("article div ol section span ul".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME = re.compile(r"[A-Za-z]+")
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
@@ -65,16 +67,15 @@ class Node:
 
 
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_article):
+    if tag in FURNITURE or (tag == "header" and not in_article) or (tag == "article" and in_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        if tag != "article" or not attributes:
-            return False
+    if not attributes or tag in ("html", "body", "main"):
+        return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         name = name.lower()
         if name in ("class", "id"):
-            if not NAMES.isdisjoint(_NAME.findall(value)):
+            if tag in NAMED and not NAMES.isdisjoint(value.split()):
                 return True
         elif name == "role":
             if value in ROLES:
@@ -84,10 +85,51 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Tags:
+    """(start, end, closing, name, attributes) of the page's tags and comments, in one pass; the caller may move `at` on."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quotes, self.last = page, 0, True, page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """After the tag's bracket, outside quoted values; a quote that never closes is a character like others."""
+        while self.quotes and (stop := _STOP.search(self.page, at)):
+            if stop[0] == ">":
+                return stop.end()
+            at = max(self.page.find(stop[0], stop.end()) + 1, stop.end())
+        # a bracket is left only inside quotes: from here on quotes mean nothing
+        self.quotes = False
+        return self.page.find(">", at) + 1
+
+    def __iter__(self):
+        page = self.page
+        while self.at <= self.last and (found := _OPEN.search(page, self.at)):
+            start = found.start()
+            if found[2]:
+                end = self._end(found.end())
+                if not end:
+                    end = page.find(">", found.end()) + 1
+                if not end:
+                    return
+                self.at = end
+                yield start, end, found[1], found[2].lower(), page[found.end() : end - 1]
+            elif found[0] == "<!--":
+                self.at = end = page.find("-->", found.end()) + 3
+                if end == 2:
+                    self.at = end = len(page)
+                yield start, end, "", "", ""
+            else:
+                self.at = end = page.find(">", found.end()) + 1
+                if not end:
+                    return
+                yield start, end, "", "", ""
+
+
 def parse(page: str) -> Node:
     """The page's tree; every node has the digest of its subtree and the length of its text."""
     root = Node("")
     stack = [root]
+    opened = Counter()
 
     def text(piece):
         if piece:
@@ -99,12 +141,15 @@ def parse(page: str) -> Node:
 
     def close():
         node = stack.pop()
+        opened[node.tag] -= 1
         node.digest = xxhash.xxh64_intdigest(node.tag + "\x01" + "\x02".join(node.parts)) - (1 << 63)
         above = stack[-1]
         above.parts.append(str(node.digest))
         above.size += node.size
 
     def close_open(names, stop):
+        if not any(opened[n] for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in names:
                 while len(stack) > depth:
@@ -113,17 +158,16 @@ def parse(page: str) -> Node:
             if stack[depth].tag in stop:
                 return
 
-    at = 0
+    done = 0
     unclosed = set()
-    find = _TAG.search
-    while found := find(page, at):
-        text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
+    tags = Tags(page)
+    for start, end, closing, tag, attributes in tags:
+        text(page[done:start])
+        done = end
         if not tag:
             continue
-        if found[1]:
-            if any(n.tag == tag for n in stack[1:]):
+        if closing:
+            if opened[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -134,29 +178,27 @@ def parse(page: str) -> Node:
             close_open(CLOSED_BY[tag], LISTS[tag])
         top = stack[-1]
         if tag in RAW:
-            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end or tag in TO_THE_END:
-                at = end.end() if end else len(page)
+            finish = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
+            if finish or tag in TO_THE_END:
+                tags.at = done = finish.end() if finish else len(page)
             else:
                 unclosed.add(tag)
             continue
-        node = Node(tag, _is_furniture(tag, found[3], top.article), top.article or tag == "article")
+        node = Node(tag, _is_furniture(tag, attributes, top.article), top.article or tag == "article")
+        top.children.append(node)
         if tag in VOID:
-            top.children.append(node)
             top.parts.append(tag)
-            continue
-        top.children.append(node)
-        if found[3].endswith("/") and tag not in BLOCKS:
-            continue
-        stack.append(node)
-    text(page[at:])
+        elif not (attributes.endswith("/") and tag not in BLOCKS):
+            stack.append(node)
+            opened[tag] += 1
+    text(page[done:])
     while len(stack) > 1:
         close()
     return root
 
 
-def _mains(root: Node) -> list[Node]:
-    """The outermost articles that aren't furniture, else mains, else the root."""
+def _main(root: Node) -> Node:
+    """The largest outermost article that isn't furniture, else such a main, else the root."""
     for wanted in ("article", "main"):
         found, todo = [], [root]
         while todo:
@@ -168,115 +210,101 @@ def _mains(root: Node) -> list[Node]:
             else:
                 todo += [c for c in reversed(node.children) if isinstance(c, Node)]
         if found:
-            return found
-    return [root]
-
-
-def subtrees(page: str) -> tuple[int, set[int]]:
-    """Digest of the page's article, and those of the subtrees that could be templates."""
-    root = parse(page)
-    mains = _mains(root)
-    inside = sum(m.size for m in mains)
-    whole = mains[0] is root
-    own = xxhash.xxh64_intdigest("\x02".join(root.parts if whole else [str(m.digest) for m in mains])) - (1 << 63)
-    found, todo = set(), [(root, False)]
-    while todo:
-        node, in_main = todo.pop()
-        in_main = in_main or any(node is m for m in mains)
-        for child in node.children:
-            if isinstance(child, Node):
-                todo.append((child, in_main))
-        if node.size and node.tag in BLOCKS and node.tag not in ("html", "body", "article", "main"):
-            if not (in_main and ((node.tag in KEPT and not whole) or 2 * node.size >= inside)):
-                found.add(node.digest)
-    return own, found
+            return max(found, key=lambda n: n.size)
+    return root
 
 
-def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
-    """The blocks of the article without furniture and templates."""
-    if not page:
-        return ""
-    root = parse(page)
-    mains = _mains(root)
-    inside = sum(m.size for m in mains)
-    whole = mains[0] is root
-    blocks, now = [], []
+def article_blocks(page: str | None) -> tuple[int, list[tuple[str, list[int]]]]:
+    """Digest of the page's article, and its blocks without furniture: text, and the digests of the containers around it that could be templates."""
+    root = parse(page or "")
+    main = _main(root)
+    whole = main is root
+    own = xxhash.xxh64_intdigest("\x02".join(main.parts)) - (1 << 63)
+    blocks, now, under = [], [], []
 
     def end():
         line = " ".join(entities.unescape("".join(now)).split())
         if line:
-            blocks.append(line)
+            blocks.append((line, list(under)))
         now.clear()
 
-    todo = [x for m in reversed(mains) for x in (None, m)]
+    def could_be_template(node):
+        return node is not main and node.size and node.tag not in ("html", "body", "article", "main") and (whole or node.tag not in KEPT) and 2 * node.size < main.size
+
+    todo = [(True, main)]
     while todo:
-        node = todo.pop()
-        if node is None:
-            end()
-        elif isinstance(node, str):
+        opens, node = todo.pop()
+        if isinstance(node, str):
             now.append(node)
+        elif not opens:
+            end()
+            if could_be_template(node):
+                under.pop()
         elif node.tag == "br":
             now.append(" ")
-        elif node.gone:
+        elif node.gone and node is not main:
             if node.tag in BLOCKS:
                 end()
-        elif templates and node.digest in templates and node.tag in BLOCKS and not ((node.tag in KEPT and not whole) or 2 * node.size >= inside):
-            end()
         else:
-            if node.tag in BLOCKS:
+            if node.tag in BLOCKS or node is main:
                 end()
-                todo.append(None)
-            todo += reversed(node.children)
-    end()
-    return "\n".join(blocks)
+                todo.append((False, node))
+                if could_be_template(node):
+                    under.append(node.digest)
+            todo += [(True, c) for c in reversed(node.children)]
+    return own, blocks
+
+
+def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
+    """The blocks of the article that stand under no template."""
+    return "\n".join(text for text, under in article_blocks(page)[1] if templates.isdisjoint(under))
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, id_col: str, html: str, pages_least: int = TEMPLATE_PAGES, percent: int = TEMPLATE_PERCENT) -> DataFrame:
-    """(id, _t, templates): the recurring subtrees of each page that has any. pages: id, _t, _host and the page."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def read_pages(pages: DataFrame, url: str, html: str, kept: list[str]) -> DataFrame:
+    """The rows with `_host`, `_own` (digest of the article) and `_blocks`."""
+    schema = pages.select(*kept).schema.simpleString()[7:-1]
+    block = pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64()))])
 
-    def find(batches):
+    def read(batches):
         for batch in W.slices(batches, html):
-            read = [subtrees(p or "") for p in batch.column(html).to_pylist()]
-            found = [[None, *sorted(f)] for _, f in read]  # null: the page itself
-            at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
-            rows, own = pa.array(at), pa.array([own for own, _ in read], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in (id_col, "_t", "_host")), own.take(rows), pa.array([x for f in found for x in f], pa.int64())],
-                names=[id_col, "_t", "_host", "own", "digest"],
-            )
-
-    every = pages.select(id_col, "_t", "_host", html).mapInArrow(find, f"{id_col} {kind}, _t bigint, _host string, own bigint, digest bigint")
-    counts = every.groupBy("_host", "digest").agg(F.count_distinct("own").alias("k"))
-    counts = stored(counts.where(F.col("digest").isNull() | (F.col("k") >= pages_least)), "templates")
-    of_host = counts.where(F.col("digest").isNull()).select("_host", F.col("k").alias("pages"))
-    many = counts.where(F.col("digest").isNotNull()).join(of_host, "_host")
-    many = many.where(100 * F.col("k") >= percent * F.least("pages", 10 * F.sqrt("pages"))).select("_host", "digest")
-    return every.join(many, ["_host", "digest"]).groupBy(id_col, "_t").agg(F.collect_set("digest").alias("templates"))
-
-
-def extracted(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """The rows with `text` and `n_chars`."""
-    kept = [c for c in pages.columns if c not in ("text", "n_chars") or c == html]
-    pages = pages.select(*kept).withColumns({"_t": F.xxhash64(html, url), "_host": host_of(F.col(url))})
-    found = templates(pages, id_col, html)
-    joined = pages.drop("_host").join(found, [id_col, "_t"], "left").select(*kept, "templates")
-    out = [c for c in kept if c not in ("text", "n_chars")]
-    schema = joined.select(*out).schema.simpleString()[7:-1]
-
-    def extract(batches):
-        for batch in W.slices(batches, html):
-            texts = [main_text(p, frozenset(t or ())) for p, t in zip(batch.column(html).to_pylist(), batch.column("templates").to_pylist(), strict=True)]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in out]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*out, "text", "n_chars"])
-
-    return joined.mapInArrow(extract, f"{schema}, text string, n_chars bigint")
+            found = [article_blocks(p) for p in batch.column(html).to_pylist()]
+            blocks = [[{"text": t, "under": u} for t, u in b] for _, b in found]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in [*kept, "_host"]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([own for own, _ in found], pa.int64()), pa.array(blocks, pa.list_(block))], names=[*kept, "_host", "_own", "_blocks"])
+
+    needed = list(dict.fromkeys([*kept, html]))
+    return pages.withColumn("_host", host_of(F.col(url))).select(*needed, "_host").mapInArrow(read, f"{schema}, _host string, _own bigint, _blocks array<struct<text:string,under:array<bigint>>>")
+
+
+def templates(read: DataFrame, pages_least: int = TEMPLATE_PAGES, percent: int = TEMPLATE_PERCENT) -> DataFrame:
+    """(_host, _digest): the subtrees that recur on many different pages of a host."""
+    several = read.where("_host <> ''")
+    of_host = several.groupBy("_host").agg(F.count_distinct("_own").alias("pages")).where(F.col("pages") >= pages_least)
+    counts = several.select("_host", "_own", F.explode("_digests").alias("_digest")).groupBy("_host", "_digest").agg(F.count_distinct("_own").alias("k"))
+    many = counts.where(F.col("k") >= pages_least).join(of_host, "_host")
+    return many.where(100 * F.col("k") >= percent * F.least("pages", 10 * F.sqrt("pages"))).select("_host", "_digest")
+
+
+def extracted(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", keep_html: bool = True) -> DataFrame:
+    """The rows with `text` and `n_chars`; without the page itself where `keep_html` is off, which saves its way through the shuffle."""
+    out = [c for c in pages.columns if c not in ("text", "n_chars") and (keep_html or c != html)]
+    pages = pages.withColumn("_t", F.xxhash64(id_col, html, url))
+    read = stored(read_pages(pages, url, html, [*out, "_t"]), "pages")
+    # blocks under no container that could be a template need no counts
+    read = read.withColumn("_digests", F.array_distinct(F.flatten("_blocks.under")))
+    some, none = read.where(F.size("_digests") > 0), read.where(F.size("_digests") == 0).withColumn("_templates", F.array().cast("array<bigint>"))
+    digests = some.select("_t", "_host", F.explode("_digests").alias("_digest"))
+    gone = digests.join(templates(read), ["_host", "_digest"]).groupBy("_t").agg(F.collect_set("_digest").alias("_templates"))
+    some = some.join(gone, "_t", "left").withColumn("_templates", F.coalesce("_templates", F.array().cast("array<bigint>")))
+    left = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["under"], "_templates"))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
+    return none.unionByName(some).select(*out, text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    return extracted(pages).select("page_id", "url", "text", "n_chars")
+    return extracted(pages, keep_html=False).select("page_id", "url", "text", "n_chars")
