@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,16 @@ def test_bpe(spark):
     assert bpe.encoded(rows(spark, ["a"]).limit(0), path).count() == 0
 
 
+def test_long_pieces():
+    path = bpe.public_path("byte_bpe_50k.json")
+    model, library = bpe.Bpe(path), Tokenizer.from_file(path)
+    rnd = random.Random(22)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (199, 201, 3000, 30_000) for letters in ("ab", "a", "abcdefghijklmnopqrstuvwxyz", "日本語é")]
+    texts.append(f"{texts[5]} words between {texts[9]} and {texts[5]}")
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and model.decode(ids) == text
+
+
 # --- 2: substring dedup --------------------------------------------------------------------------------
 
 
@@ -177,6 +188,20 @@ def test_near_duplicates_odd(spark):
     assert neardup.clusters(rows(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Copies at all distances from one text: most are compared with the centre, the others by their rare shingles."""
+    rnd = random.Random(25)
+    base = story(rnd, 90, 5000).split()
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for k in rnd.sample(range(len(words)), rnd.choice([0, 2, 5, 8, 9, 10, 12, 20])):
+            words[k] = f"n{rnd.randrange(30)}"
+        docs.append((i, " ".join(words)))
+    got = neardup.clusters(spark.createDataFrame(docs, "doc_id long, text string"), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_clusters(docs, 2)
+
+
 def test_one_of_each_without_ids(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "A b c"), (None, "a b c"), (None, "a b c"), (None, None)], "doc_id int, text string")
     kept = neardup.one_of_each(df)
@@ -271,6 +296,48 @@ def test_templates_need_different_pages(spark):
     assert got[110] == "own 10" and got[170] == "own 70\ncall"
 
 
+def test_templates_against_brute_force(spark):
+    rnd = random.Random(21)
+    press = [f"press {k} " + story(rnd, 5) for k in range(12)]
+    data, parts = [], {}
+    for i in range(300):
+        host = rnd.choice(["a", "b", "b", "c", "c", "c", "c"])
+        divs = [p for p in press if rnd.random() < 0.15] + [f"own {i} " + story(rnd, 30)]
+        rnd.shuffle(divs)
+        parts[i] = (host, divs)
+        data.append((i, None if i % 50 == 0 else f"http://{host}.example/{i}", "<body>" + "".join(f"<div><p>{d}</p></div>" for d in divs)))
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    counts, of_host = collections.Counter(), collections.Counter()
+    for i, (host, divs) in parts.items():
+        if i % 50:
+            of_host[host] += 1
+            counts.update((host, d) for d in divs)
+    want = {}
+    for i, (host, divs) in parts.items():
+        pages_of = min(of_host[host], 10 * math.sqrt(of_host[host]))
+        gone = lambda d: i % 50 and counts[host, d] >= 5 and 100 * counts[host, d] >= 20 * pages_of and 2 * len(d) < sum(map(len, divs))  # noqa: B023, E731
+        want[i] = "\n".join(d for d in divs if not gone(d))
+    got = {r.page_id: r.text for r in pages.extracted(df).collect()}
+    assert got == want
+    whole = {i: pages.main_text(h) for i, _, h in data}  # templates off
+    assert sum(got[i] != whole[i] for i in got) > 100
+
+
+def test_hostile_markup():
+    began = time.perf_counter()
+    for page in ('<a "' * 250_000, '<a "\'' * 100_000 + "'>", "<b>" * 50_000 + "</i>" * 50_000, "<ul><li>" * 20_000, "<!--" * 100_000):
+        pages.main_text(page)
+    assert time.perf_counter() - began < 20
+    page = '<article><p class="share-price">Apple rose</p><h2 id="related-work">R</h2><math><mi>x</mi></math><article>a reader</article></article><article>b</article>'
+    assert pages.main_text(page) == "Apple rose\nR\nx"
+
+
+def test_page_copies_and_names(spark):
+    df = spark.createDataFrame([(1, None, "<p>a"), (1, None, "<p>a"), (1, "x", "<p>b"), (None, "http://h", None)], "page_id long, url string, html string").withColumn("_host", F.lit("x"))
+    got = pages.extracted(df.withColumnRenamed("_host", "host_")).collect()
+    assert sorted((str(r.page_id), r.text, r.html or "") for r in got) == [("1", "a", "<p>a"), ("1", "a", "<p>a"), ("1", "b", "<p>b"), ("None", "", "")]
+
+
 def test_unclosed_raw_elements():
     assert pages.main_text("<p>a<svg>b<p>c<iframe>d<svg>e") == "ab\ncde"
     assert pages.main_text("<p>a<svg>no</svg>b<svg>c") == "abc"
@@ -414,6 +481,23 @@ def test_items_without_id(spark, kind):
     assert [(r.n_hit, list(r["items"]), r.contaminated) for r in got] == [(40, ["7"], True), (20, [], True), (20, ["7"], True), (0, [], False)]
 
 
+def test_suffix_arrays():
+    rnd = np.random.default_rng(23)
+    for _ in range(100):
+        first = np.append(0, np.cumsum(rnd.integers(0, 30, 4)))
+        words = rnd.integers(0, 3, first[-1]).astype(np.uint64)
+        array = decontaminate.SuffixArray(words, first)
+        suffixes = [tuple(words[i : i + array.room[i]].tolist()) for i in array.order]
+        assert suffixes == sorted(suffixes) and sorted(array.order) == list(range(first[-1]))
+
+
+def test_a_window_of_many_items(spark):
+    common = story(random.Random(24), 13)
+    bench = spark.createDataFrame([(i, common) for i in range(300)] + [(i, common) for i in range(300)], "item_id int, text string")
+    found = decontaminate.judged(rows(spark, [" x ".join([common] * 50), "clean", None]), bench).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, len(r["items"]), r.contaminated) for r in found] == [(699, 650, 300, True), (1, 0, 0, False), (0, 0, 0, False)]
+
+
 def test_longest_matches(spark):
     text = story(random.Random(11), 30)
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
