@@ -27,6 +27,10 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -53,7 +57,7 @@ def _decode(texts: pd.Series) -> pd.Series:
 
 def decode_entities(c: Column) -> Column:
     """One pass of character references; unknown ones stay."""
-    return F.when(c.contains("&"), _decode(c)).otherwise(c)
+    return F.when(c.contains("&"), _decode(F.when(c.contains("&"), c))).otherwise(c)
 
 
 def strip_invisible(c: Column) -> Column:
@@ -123,15 +127,26 @@ def unmask_fences(c: Column, spans: Column) -> Column:
     )
 
 
-def clean_cue(c: Column) -> Column:
-    """All cue text rules in order; fenced spans stay as they are. Null stays null."""
+def clean_decoded(c: Column) -> Column:
+    """The cue text rules after C10. Each value is computed once, and a rule only where the text holds what it looks for."""
 
-    def chain(x):
-        for _, rule in CUE_RULES:
-            x = rule(x)
-        return x
+    def guarded(x, mark, rule):
+        return let(x, lambda v: F.when(F.contains(v, F.lit(mark)), rule(v)).otherwise(v))
 
-    return chain(c)
+    # of C1 to C4 plain ASCII can hold only DEL
+    c = let(c, lambda v: F.when(is_ascii(v), F.translate(v, "\x7f", "")).otherwise(plain_ellipsis(plain_quotes(plain_spaces(strip_invisible(v))))))
+    c = strip_controls(guarded(c, "<", strip_tags))
+    c = attach_punctuation(guarded(c, "  ", single_spaces))
+    # by now every white space is a plain space
+    return F.trim(guarded(guarded(c, "..", dot_runs), "  ", single_spaces))
+
+
+def clean_cue(c: Column) -> Column:
+    """All cue text rules in order; fenced spans stay as they are. Null stays null."""
+    fenced = F.contains(c, F.lit("[?")) | F.contains(c, F.lit("[!"))
+    masked, spans = mask_fences(c)
+    cleaned = let(decode_entities(F.when(fenced, masked).otherwise(c)), clean_decoded)
+    return let(cleaned, lambda x: F.when(fenced, unmask_fences(x, spans)).otherwise(x))
 
 
 def sanitize_file(c: Column) -> Column:
@@ -150,8 +165,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def content_key(c: Column) -> Column:
     """C-KEY: what must survive cleaning: no markup, spaces or punctuation, compatibility-normalised."""
-    c = strip_invisible(strip_tags(decode_entities(c)))
-    c = F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    # plain ASCII is its own NFKC form and holds no invisible character but DEL
+    decoded = decode_entities(c)
+    c = F.when(is_ascii(decoded), F.translate(strip_tags(decoded), "\x7f", "")).otherwise(_nfkc(F.when(~is_ascii(decoded), strip_invisible(strip_tags(decoded)))))
     return F.regexp_replace(c, r"(?U)[\s\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\p{P}$+<=>^`|~]", "")
 
 
