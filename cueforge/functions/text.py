@@ -150,12 +150,15 @@ def clean_cue(c: Column) -> Column:
 
 
 def sanitize_file(c: Column) -> Column:
-    """C-SAN: the whole-file chain, which keeps line ends."""
+    """C-SAN: the whole-file chain, which keeps line ends; fenced spans stay as they are."""
     c = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"^\x{FEFF}+", "")
+    masked, spans = mask_fences(c)
+    x = masked
     for rule in (decode_entities, strip_invisible, plain_spaces, plain_quotes, plain_ellipsis, strip_tags):
-        c = rule(c)
-    c = F.regexp_replace(F.translate(c, "\t", " "), r"[\p{C}&&[^\n]]", "")
-    return F.regexp_replace(single_spaces(c), r"(?<!\.)\.\.(?!\.)", ".")
+        x = rule(x)
+    x = F.regexp_replace(F.translate(x, "\t", " "), r"[\p{C}&&[^\n]]", "")
+    x = F.regexp_replace(single_spaces(x), r"(?<!\.)\.\.(?!\.)", ".")
+    return unmask_fences(x, spans)
 
 
 @F.pandas_udf(StringType())

@@ -81,7 +81,8 @@ def _sentences(key, frames, state: GroupState):
         if words and row.speaker != speaker:
             emit()
         speaker = row.speaker
-        fresh = bool(words) and _ends([w for w in words if not re.fullmatch(f"[{_QUOTES}]+", w)][-1]) if words else False
+        # held words may be closing quotes alone, which end nothing
+        fresh = next((_ends(w) for w in reversed(words) if not re.fullmatch(f"[{_QUOTES}]+", w)), False)
         for token in _tokens(row.text):
             lone = re.fullmatch(f"[{_QUOTES}]+", token) is not None
             if fresh and not lone:

@@ -154,3 +154,28 @@ def test_cascade_and_cache(spark):
     done, grown = S.cached_transform(rows, "t", cache, lambda d: d.select("text", F.array(F.upper("text")).alias("result")))
     assert sorted(r.out for r in done.collect()) == ["AA BB CC. DD EE FF.", "AA BB CC. DD EE FF.", "cached"]
     assert grown.count() == 2
+
+
+def test_sanitized_files_keep_fences(spark):
+    df = spark.createDataFrame([("a  b [?x  <i>y</i>..?] c..d\r\n<b>e</b> &amp;",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(X.sanitize_file(F.col("t"))).collect()]
+    assert got == ["a b [?x  <i>y</i>..?] c.d\ne &", None, ""]
+
+
+def test_content_keys_of_compatible_forms(spark):
+    df = spark.createDataFrame([("\ufb01ne \u2460",), ("fine 1",), ("f\u200bine, <i>1</i>\x7f",), ("&#xfb01;ne1",)], "t string")
+    assert {r[0] for r in df.select(X.content_key(F.col("t"))).collect()} == {"fine1"}
+
+
+def test_clean_cue_paths(spark):
+    texts = ["plain", "a  b ,c", "\x7fde\x00l\t x", " “q” … ..", "&lt;i&gt;x [?a  b?] y  z", "[!only!]", "x\u3000y\u200b", "", None, "a....b c..", "<b>t</b> .. &amp;amp;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def plain(c):
+        for _, rule in X.CUE_RULES:
+            c = rule(c)
+        return c
+
+    masked, spans = X.mask_fences(F.col("t"))
+    for got, want in df.select(X.clean_cue(F.col("t")), X.unmask_fences(plain(masked), spans)).collect():
+        assert got == want
