@@ -9,8 +9,8 @@ Documents with equal sets form one class, of which only the smallest document go
 a band in common) every member is compared with one centre, the member that shares most bands with others, and
 linked documents form components by alternating large-star and small-star.
 
-What is left are pairs of one bucket in different components. At least one of the two is open, outside the largest
-component of the bucket. Such pairs are found by their rarest shingles: with all shingles in one order, by how many
+What is left are pairs of one bucket in different components, neither of them the centre, which has been compared with
+all. At least one of the two is open, outside the largest component of the bucket's other members. Such pairs are found by their rarest shingles: with all shingles in one order, by how many
 of these documents have them, the first shingle that x and y share stands at places i and j of their sorted sets, and
 the overlap is at most min(n_x - i, n_y - j). Most open documents hold so many shingles of their own that nothing
 can be linked with them, and they end here without a comparison. No bound on members, rounds or candidates is set.
@@ -36,6 +36,8 @@ SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 24, 4
 SIG_LEAST = 52
+#: Bits of the table of document ids by hash that texts are looked up in; a fixed size, so it can be broadcast.
+ID_BITS = 1 << 24
 
 
 def _sets(batch, text, width):
@@ -130,6 +132,18 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(compare, f"{schema},alike boolean")
 
 
+def _probably_in(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in `ids` (column u), and a few others, without moving the rows: a table of ID_BITS bits by the id's hash, 64 in a row, is broadcast.
+
+    Where ids are as many as bits, most rows pass, which costs work but changes no result.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    word, bit = lambda c: (slot(c) / 64).cast("long"), lambda c: (slot(c) % 64).cast("int")
+    bits = ids.groupBy(word("u").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(u), 64) as int))")).alias("__bits"))
+    rows = df.withColumn("__word", word(id_col)).join(F.broadcast(bits), "__word")
+    return rows.where(F.getbit("__bits", bit(id_col)) == 1).drop("__word", "__bits")
+
+
 def _linked(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the distinct pairs that are linked: by signature first, then on the full sets."""
     pairs = pairs.join(sig.select("u", F.col("sig").alias("sig_a")), "u").join(sig.select(F.col("u").alias("v"), F.col("sig").alias("sig_b")), "v")
@@ -144,9 +158,9 @@ def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(roots.select("u", F.col("v").alias("root")), "u", "left").withColumn("root", F.coalesce("root", "u"))
 
 
-def _open_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, n, root, open) of the members of buckets that hold several components; open outside the largest of some bucket."""
-    ranked = _rooted(buckets.select("key", "u", "n"), roots)
+def _open_members(led: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, n, root, open) of the members of buckets whose members beside the centre are of several components; open outside the largest of some bucket."""
+    ranked = _rooted(led.select("key", "u", "n"), roots)
     by_root = ranked.groupBy("key", "root").agg(F.count("*").alias("k"))
     mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     return ranked.join(mixed.select("key", "main"), "key").groupBy("u", "n", "root").agg(F.max(F.col("root") != F.col("main")).alias("open"))
@@ -156,9 +170,9 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> Data
     """(u, v) of the pairs of an open member u and a member v of another component whose overlap can be large enough."""
     # of two linked sets not even the larger one has more shingles than this before the first common one
     reach = lambda before: 100 * before <= (100 - percent) * F.col("n")
-    has = members.join(sets, "u").select("u", "n", "root", "open", F.explode("shingles").alias("t"))
+    has = sets.join(members.select("u"), "u", "left_semi").select("u", F.explode("shingles").alias("t"))
     common = has.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    rows = has.join(common, "t").groupBy("u", "n", "root", "open").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    rows = has.join(common, "t").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts")).join(members, "u")
     # the shingles that no other member has come first
     rows = rows.withColumn("own", F.col("n") - F.size("ts"))
     rows = rows.where(reach(F.col("own"))).select("u", "n", "root", "open", "own", F.posexplode("ts").alias("at", "x"))
@@ -186,15 +200,16 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
         buckets = classes.select("u", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
         several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
         buckets = kept(buckets.join(several, "key"), "buckets")
-        texts = docs.where(F.col(id_col).isNotNull()).join(buckets.select(F.col("u").alias(id_col)).distinct(), id_col, "left_semi")
+        texts = _probably_in(docs.select(id_col, text).where(F.col(id_col).isNotNull()), id_col, buckets.select("u"))
         sets = kept(_shingle_sets(texts, id_col, text, width), "sets")
 
         score = buckets.groupBy("u").agg(F.sum("m").alias("score"))
         centres = buckets.join(score, "u").groupBy("key").agg(F.max_by(F.struct("u", "n"), F.struct("score", "u")).alias("c"))
         close = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
-        pairs = buckets.join(centres, "key").where((F.col("u") != F.col("c.u")) & close).select("u", F.col("c.u").alias("v")).distinct()
+        led = kept(buckets.select("key", "u", "n").join(centres, "key").where(F.col("u") != F.col("c.u")), "led")
+        pairs = led.where(close).select("u", F.col("c.u").alias("v")).distinct()
         roots = components(_linked(pairs, sig, sets, percent), paths)
-        members = kept(_open_members(buckets, roots), "members")
+        members = kept(_open_members(led, roots), "members")
         pairs = kept(_by_rare_shingles(members, sets, percent), "pairs")
         links = roots.select("u", "v").union(_linked(pairs, sig, sets, percent))
         # an id that has several sets ties its classes together
@@ -219,8 +234,8 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, with its own columns. Rows without an id are in no component and all stay."""
     known = docs.where(F.col(id_col).isNotNull())
-    found = clusters(known, id_col, text, width, percent).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = known.join(found, id_col, "left_semi").select(*docs.columns)
+    gone = clusters(known, id_col, text, width, percent).where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    kept = known.join(gone, id_col, "left_anti").select(*docs.columns)
     return kept.union(docs.where(F.col(id_col).isNull()))
 
 
