@@ -244,7 +244,7 @@ def _mapped(df: DataFrame, column: str, added: dict[str, tuple[str, pa.DataType]
     names = [*kept, *added]
 
     def run(batches):
-        for batch in W.slices(batches, column, 1 << 21) if is_text else batches:
+        for batch in W.slices(batches, column, 1 << 20) if is_text else batches:
             values = make(batch.column(column).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], names=names)

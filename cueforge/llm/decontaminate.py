@@ -161,13 +161,16 @@ def _item_blocks(bench: DataFrame, limit: int):
         yield part.collect(), k == n - 1
 
 
-def _by_block(docs: DataFrame, bench: DataFrame, text: str, width: int, block_bytes: int, column: str, schema: str, find) -> DataFrame:
-    """The documents with `column`, an array of all that find(items, batch) gives for each block: values and how many each row has."""
+def _by_block(docs: DataFrame, bench: DataFrame, text: str, width: int, block_bytes: int, column: str, schema: str, find, finish=None, last_schema=None) -> DataFrame:
+    """The documents with `column`, an array of all that find(items, batch) gives for each block: values and how many each row has.
+
+    With `finish`, what that makes of each batch with the whole array, in the pass over the last block.
+    """
     out = docs.drop(column).withColumn(column, F.lit(None).cast(f"array<{schema}>"))
     for rows, is_last in _item_blocks(bench, block_bytes):
         items = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows], width))
 
-        def search(batches, items=items):
+        def search(batches, items=items, is_last=is_last):
             for batch in W.slices(batches, text, SHARD_BYTES):
                 values, counts = find(items.value, batch)
                 fresh = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
@@ -175,9 +178,10 @@ def _by_block(docs: DataFrame, bench: DataFrame, text: str, width: int, block_by
                 old = batch.column(k)
                 if old.null_count < len(old):
                     fresh = pa.array([(a or []) + b for a, b in zip(old.to_pylist(), fresh.to_pylist(), strict=True)], fresh.type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:k], fresh, *batch.columns[k + 1 :]], names=batch.schema.names)
+                whole = pa.RecordBatch.from_arrays([*batch.columns[:k], fresh, *batch.columns[k + 1 :]], names=batch.schema.names)
+                yield finish(whole) if finish and is_last else whole
 
-        out = out.mapInArrow(search, out.schema)
+        out = out.mapInArrow(search, last_schema if finish and is_last else out.schema)
         if not is_last:
             out = stored(out, "hits")
             items.destroy()
@@ -246,34 +250,33 @@ def judged(docs: DataFrame, bench: DataFrame, text: str = "text", share: int = S
         values = pa.StructArray.from_arrays([c.take(take) for c in columns], fields=list(batch.schema.field("__found").type.value_type))
         return values, np.bincount(row, minlength=batch.num_rows) + np.bincount(members[:, 0], minlength=batch.num_rows)
 
-    found_in = _by_block(docs, bench, text, width, block_bytes, "__found", "struct<a:int,b:int,item:string>", found)
     kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")]
-    schema = found_in.select(*kept).schema.simpleString()[7:-1]
-
-    def count(batches):
-        for batch in W.slices(batches, text):
-            data, offsets = W.text_bytes(batch.column(text), lower=True)
-            _, _, first = W.find_words(data, offsets, W.NOT_ALNUM)
-            n_words = np.diff(first)
-            hits = batch.column("__found")
-            flat, ends = hits.flatten(), np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(hits), 0).to_numpy(zero_copy_only=False)))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            stretch = flat.field("a").is_valid().to_numpy(zero_copy_only=False)
-            a, b = (pa.compute.fill_null(flat.field(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)[stretch] for c in "ab")
-            change = np.zeros(first[-1] + 1, np.int64)
-            np.add.at(change, first[row[stretch]] + a, 1)
-            np.add.at(change, first[row[stretch]] + b, -1)
-            covered = np.append(0, np.cumsum(np.cumsum(change)[:-1] > 0))
-            n_hit = covered[first[1:]] - covered[first[:-1]]
-            names = flat.field("item").to_pylist()
-            items = [sorted(set(names[a:b]) - {None}) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
-                names=[*kept, "n_words", "n_hit", "items", "contaminated"],
-            )
-
-    return found_in.mapInArrow(count, f"{schema},n_words:bigint,n_hit:bigint,items:array<string>,contaminated:boolean")
+    schema = docs.select(*kept).schema.simpleString()[7:-1]
+
+    def count(batch):
+        data, offsets = W.text_bytes(batch.column(text), lower=True)
+        _, _, first = W.find_words(data, offsets, W.NOT_ALNUM)
+        n_words = np.diff(first)
+        hits = batch.column("__found")
+        flat, ends = hits.flatten(), np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(hits), 0).to_numpy(zero_copy_only=False)))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        stretch = flat.field("a").is_valid().to_numpy(zero_copy_only=False)
+        a, b = (pa.compute.fill_null(flat.field(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)[stretch] for c in "ab")
+        change = np.zeros(first[-1] + 1, np.int64)
+        np.add.at(change, first[row[stretch]] + a, 1)
+        np.add.at(change, first[row[stretch]] + b, -1)
+        covered = np.append(0, np.cumsum(np.cumsum(change)[:-1] > 0))
+        n_hit = covered[first[1:]] - covered[first[:-1]]
+        names = flat.field("item").to_pylist()
+        items = [sorted(set(names[a:b]) - {None}) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array((n_hit > 0) & (share * n_hit >= n_words))],
+            names=[*kept, "n_words", "n_hit", "items", "contaminated"],
+        )
+
+    last = f"{schema},n_words:bigint,n_hit:bigint,items:array<string>,contaminated:boolean"
+    return _by_block(docs, bench, text, width, block_bytes, "__found", "struct<a:int,b:int,item:string>", found, count, last)
 
 
 def clean_rows(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
