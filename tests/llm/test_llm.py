@@ -523,8 +523,8 @@ def test_lm(spark):
     docs = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    model, counts = lm.trained(df.where(~lm.held_out(F.col("doc_id"), 5, 1)))
-    found = lm.scored(df, model, counts).collect()
+    model, counts, pairs = lm.trained(df.where(~lm.held_out(F.col("doc_id"), 5, 1)))
+    found = lm.scored(df, model, counts, pairs).collect()
     assert len(found) == len(docs)
     tokens = lambda t: [*WORD.findall((t or "").encode().translate(LOWER)), None]
     seen = collections.Counter(w for i, t in docs if not held(i) for w in tokens(t))
@@ -540,11 +540,64 @@ def test_lm(spark):
 
 
 def test_lm_classes_sum_to_one(spark):
-    model, _ = lm.trained(rows(spark, ["a b c a b", "b c"]))
-    p = np.exp(lm.class_log_odds(np.zeros((1, lm.N_FEATURES), np.int64), model.weights, model.bias))
+    model, _, _ = lm.trained(rows(spark, ["a b c a b", "b c"]))
+    p = lm.class_shares(np.zeros((1, lm.N_FEATURES), np.int64), model.weights, model.bias)
     assert p.sum() == pytest.approx(1, abs=1e-5)
-    empty, counts = lm.trained(rows(spark, ["a"]).limit(0))
-    assert lm.scored(rows(spark, ["a", None]), empty, counts).count() == 2
+    empty, counts, pairs = lm.trained(rows(spark, ["a"]).limit(0))
+    assert lm.scored(rows(spark, ["a", None]), empty, counts, pairs).count() == 2
+    assert lm.scored(rows(spark, ["a"]).limit(0), model, counts, pairs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1 << 22, 12])
+def test_lm_words_sum_to_one(spark, monkeypatch, hot):
+    """After any history the known words, an end and one unknown word of each class have probability one, with frequent and with rare words."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "HOT_PAIRS", 4)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefghijklmnop") * 2 + "x" for _ in range(rnd.randrange(9))) for _ in range(40)] + ["aax bbx aax bbx ccx"] * 3
+    model, counts, pairs = lm.trained(rows(spark, texts))
+    history = "aax bbx"
+    words = sorted({w for t in texts for w in t.split()})
+    asked = [history, *[f"{history} {w}" for w in words]]
+    score = {r.doc_id: r.score for r in lm.scored(rows(spark, asked), model, counts, pairs).collect()}
+    # score(history word end) = score(history) - log P(end | history) + log P(word | history) + log P(end | history word), so ask for the ends apart
+    ends = dict(zip([history, *asked[1:]], [_lm_end(model, pairs, t) for t in asked], strict=True))
+    total = 10 ** ends[history] + sum(10 ** (score[i] - score[0] + ends[history] - ends[t]) for i, t in enumerate(asked) if i)
+    unknown = sum(_lm_unknown(model, pairs, history, k) for k in range(lm.CLASSES))
+    assert total + unknown == pytest.approx(1, abs=1e-4)
+
+
+def _lm_parts(model, pairs, text, key, k, known_count):
+    """(m, pair count, count of the history, P(class)) after a text, computed plainly."""
+    import pyarrow as pa
+
+    h, s, first = lm.tokens(pa.RecordBatch.from_pydict({"text": [text]}), "text")
+    _, _, _, keys, n = model.places(h, s)
+    before, count = model.previous(keys, n, first)
+    table = {}
+    for r in pairs.collect():
+        for x, c in zip(lm._unpacked(bytes(r.h)).tolist(), np.frombuffer(bytes(r.c), np.int64).tolist(), strict=True):
+            table[(r.part << 48) | x] = c
+    pair = int(model.pair_hashes(before[-1:], np.array([key], np.uint64))[0])
+    share = lm.class_shares(lm.feature_rows(h, first)[-1:], model.weights, model.bias)[0, k]
+    m = 1 - lm.PAIR_A * count[-1] ** -lm.PAIR_B if count[-1] else 0
+    return m, table.get(pair, 0), count[-1], share
+
+
+def _lm_end(model, pairs, text):
+    found = model.known == lm.END
+    key = lm.END if found.any() else W.mix(lm.RARE + np.array([lm.END_CLASS], np.uint64))[0]
+    m, n, count, share = _lm_parts(model, pairs, text, key, lm.END_CLASS, None)
+    room = model.class_n[lm.END_CLASS] + 0.5 * (model.class_v[lm.END_CLASS] + 1)
+    c = model.class_n[lm.END_CLASS]
+    within = 1 if found.any() else (c + 0.5) / (model.rare_n[lm.END_CLASS] + 0.5 * (model.rare_v[lm.END_CLASS] + 1))
+    return math.log10(m * n * within / max(count, 1) + (1 - m) * share * (c + 0.5) / room)
+
+
+def _lm_unknown(model, pairs, text, k):
+    m, n, count, share = _lm_parts(model, pairs, text, W.mix(lm.RARE + np.array([k], np.uint64))[0], k, None)
+    room, rare = model.class_n[k] + 0.5 * (model.class_v[k] + 1), model.rare_n[k] + 0.5 * (model.rare_v[k] + 1)
+    return m * n * 0.5 / rare / max(count, 1) + (1 - m) * share * 0.5 / room
 
 
 # --- pipeline ------------------------------------------------------------------------------------------
