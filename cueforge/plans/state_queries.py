@@ -129,12 +129,12 @@ def patched_records(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT doc_id % 100 AS rec_id, lang, 'v' || doc_id % 3 AS variant, doc_id, doc_id % 2 AS mem FROM documents),
+    """WITH t AS (SELECT doc_id // 6 AS rec_id, lang, 'v' || doc_id % 3 AS variant, doc_id, doc_id % 2 AS mem FROM documents),
     m AS (SELECT rec_id, lang, variant, arg_max(doc_id, mem * 1000000000 + doc_id) AS doc FROM t GROUP BY ALL) SELECT rec_id, lang, variant, doc FROM m WHERE rec_id IN (SELECT rec_id FROM t WHERE mem = 1)"""
 )
 def hydrated_records(spark, sf_dir):
     """Translations in memory over stored ones."""
-    t = B.table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("rec_id"), "lang", F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("variant"), "doc_id", (F.col("doc_id") % 2).alias("mem"))
+    t = B.table(spark, sf_dir, "documents").select(F.expr("doc_id div 6").alias("rec_id"), "lang", F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("variant"), "doc_id", (F.col("doc_id") % 2).alias("mem"))
 
     def side(k):
         by = t.where(F.col("mem") == k).groupBy("rec_id", "lang", "variant").agg(F.max("doc_id").cast("string").alias("d"))
