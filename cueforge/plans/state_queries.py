@@ -292,8 +292,8 @@ def natural_order(spark, sf_dir):
     return B.table(spark, sf_dir, "pages").select("url", X.natural_key(F.col("url")).alias("sort_key"))
 
 
-@query("WITH g AS (SELECT conv_id AS video, turn AS seq, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS m FROM conversations WHERE (conv_id + turn) % 4 <> 2) SELECT video, seq, CAST(greatest(coalesce(m, 0), 0) AS BIGINT) AS missing FROM g")
+@query("WITH s AS (SELECT conv_id AS video, turn + (conv_id % 3) * (turn // 2) AS seq FROM conversations), g AS (SELECT video, seq, seq - lag(seq) OVER (PARTITION BY video ORDER BY seq) - 1 AS m FROM s) SELECT video, seq, CAST(greatest(coalesce(m, 0), 0) AS BIGINT) AS missing FROM g")
 def sequence_gaps(spark, sf_dir):
-    """V05."""
-    rows = B.turns(spark, sf_dir).where((F.col("video") + F.col("pos")) % 4 != 2).withColumn("seq", F.col("pos"))
+    """Two videos of three skip numbers after every other turn."""
+    rows = B.turns(spark, sf_dir).withColumn("seq", F.expr("pos + (video % 3) * (pos div 2)"))
     return W.gaps(rows, ["video"]).select("video", "seq", F.col("missing").cast("long").alias("missing"))
