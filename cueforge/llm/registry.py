@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lm, neardup, pages, quality, substrings, tokenfiles, unigram
+from . import bpe, decontaminate, langid, lm, neardup, pages, quality, simhash, substrings, tokenfiles, unigram
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": unigram.op8_token_counts,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_simhash_near_dedup": simhash.op11_simhash_near_dedup,
 }
 
 ORACLE = {
