@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, langid, lm, neardup, pages, quality, simhash, substrings, tokenfiles, unigram
+from . import alignment, bpe, decontaminate, langid, lexical, lm, neardup, pages, quality, simhash, substrings, tokenfiles, unigram
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_lm_scoring": lm.op10_lm_scoring,
     "op11_simhash_near_dedup": simhash.op11_simhash_near_dedup,
+    "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
     "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
 }
 
@@ -24,4 +25,5 @@ ORACLE = {
     "op3_minhash_near_dedup": neardup.OP3_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op12_ranked_lexical_search": lexical.OP12_SQL,
 }
