@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from cueforge.functions import text as X
+from cueforge.operators import folds
 
 
 def first_accepted(attempts: DataFrame, keys: list[str], attempt: str = "attempt", passed: str = "passed") -> DataFrame:
@@ -141,25 +142,14 @@ def aligned(rows: DataFrame, key: str) -> DataFrame:
 
 
 def summary_windows(rows: DataFrame, keys: list[str], budget: int = 4500, longest: int = 12000) -> DataFrame:
-    """Per video, texts gather until their words reach the budget; each full window is a version with its body cut to `longest` characters."""
-    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + ["version int", "first_pos bigint", "last_pos bigint", "words bigint", "body string"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, texts, words, first = [], [], 0, None
-        head = {k: pdf[k].iloc[0] for k in keys}
-        for pos, text in zip(pdf["pos"], pdf["text"], strict=True):
-            if not text or not text.strip():
-                continue
-            first = pos if first is None else first
-            texts.append(text)
-            words += max(1, len(text.split()) if len(text.split()) > 1 else len(text) // 2)
-            if words >= budget:
-                out.append({**head, "version": len(out) + 1, "first_pos": first, "last_pos": pos, "words": words, "body": "\n".join(texts)[:longest]})
-                texts, words, first = [], 0, None
-        return pd.DataFrame(out, columns=[*keys, "version", "first_pos", "last_pos", "words", "body"])
-
-    return rows.select(*keys, "pos", "text").groupBy(*keys).applyInPandas(fold, schema)
+    """Per video, texts gather until their words reach the budget; each full window is a version with its body cut to `longest` characters. Blank texts don't count; one without spaces counts half its characters."""
+    some = rows.select(*keys, F.col("pos").cast("long").alias("pos"), "text").where(X.trim(F.col("text")) != "")
+    words = F.size(X.white_split(F.col("text")))
+    some = some.withColumn("_n", F.when(words > 1, words).otherwise(F.greatest(F.lit(1), F.expr("length(text) div 2"))).cast("long"))
+    found = folds.packed(some, keys, F.col("_n"), folds.Packing(budget=budget))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n")
+    windows = found.groupBy(*keys, F.col("_group").cast("int").alias("version")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("_n").alias("words"), F.substring(body, 1, longest).alias("body"))
+    return windows.where(F.col("words") >= budget)
 
 
 def reusable_summaries(current: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,12 +6,12 @@ happens inside one sentence folds over its short array.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions import tables as T
 from cueforge.functions import text as X
+from cueforge.operators import folds
 
 
 def token_rows(segments: DataFrame, keys: list[str], text: str = "text", lang: str = "en") -> DataFrame:
@@ -240,20 +240,12 @@ def by_language(lang: Column, backends: dict) -> Column:
 
 
 def merged_records(df: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Q16: neighbours of a video merge while a + 1 + b is at most `most`; the second one's segments aren't kept."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        texts, ends, keep = rows["src_text"].tolist(), rows["end"].tolist(), []
-        for k in range(len(texts)):
-            if keep and len(texts[keep[-1]]) + 1 + len(texts[k]) <= most:
-                texts[keep[-1]] += " " + texts[k]
-                ends[keep[-1]] = ends[k]
-            else:
-                keep.append(k)
-        return rows.assign(src_text=texts, end=ends).iloc[keep]
-
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    """Q16: neighbours of a video merge while a + 1 + b is at most `most`; the second one's segments aren't kept. A null text counts as empty."""
+    text = F.coalesce("src_text", F.lit(""))
+    rows = folds.packed(df, keys, F.length(text), folds.Packing(most=most))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))), lambda s: s["text"])
+    first = {c: F.min_by(c, "pos") for c in df.columns if c not in (*keys, "pos")} | {"src_text": F.array_join(parts, " "), "end": F.max_by("end", "pos")}
+    return rows.groupBy(*keys, "_group").agg(F.min("pos").alias("pos"), *[v.alias(c) for c, v in first.items()]).select(*df.columns)
 
 
 def cached_transform(df: DataFrame, text: str, cache: DataFrame, apply) -> tuple[DataFrame, DataFrame]:

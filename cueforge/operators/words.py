@@ -5,11 +5,14 @@ Tables have keys, `pos`, `word`, `start` and `end` in seconds (null where a word
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
+from cueforge.operators import folds
+from cueforge.sources.shared import written
 
 ASCII_PUNCT = r"!-/:-@\[-`{-~"
 LONG_WORD, VERY_LONG = 30, 50
@@ -27,41 +30,108 @@ def drop_untimed_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_same", F.coalesce(same, F.lit(False))).where("not _same").drop("_same")
 
 
-def _filled(words: pd.DataFrame) -> pd.DataFrame:
-    starts, ends, texts, nexts = (words[c].tolist() for c in ("start", "end", "word", "_next"))
-    scores = words["score"].tolist()
-    spent, letters, now = 0.0, 1e-7, 0.0
-    for k, text in enumerate(texts):
-        if starts[k] == starts[k] and starts[k] is not None:
-            spent += ends[k] - starts[k]
-        else:
-            coming = nexts[k] if nexts[k] == nexts[k] else None
-            if coming is not None and k and abs(now - coming) < 1e-6:
-                ends[k - 1] -= 0.01 * min(1.0, ends[k - 1] - starts[k - 1])
-                now = ends[k - 1]
-            guess = now + spent / letters * len(text)
-            starts[k], ends[k], scores[k] = now, guess if coming is None else min(guess, coming), 0.0
-            spent += ends[k] - starts[k]
-        letters += len(text)
-        now = ends[k]
-    return words.assign(start=starts, end=ends, score=scores)
+#: Seconds within which a time counts as the next word's, and the share of the word before that is taken then.
+TOUCH, TAKEN = 1e-6, 0.01
+
+
+def fill_gaps(start, end, n, following=np.inf, letters=1e-7, timed=0.0, filled=0.0) -> tuple[float, float]:
+    """W2 on the words of a video, or of a piece that begins with a timed word: start and end (nan where a word has none) are changed in place.
+
+    Words without times go on from the word before at the rate of seconds a letter so far, up to the next timed word. Sums of
+    letters and timed seconds come from prefix sums, so a gap takes one step as long as it stays below that limit. n: lengths of the words; following: the
+    next start after them; letters, timed, filled: what earlier pieces add up to. Returns the seconds given to words so far and their derivative by `filled`.
+    """
+    bare = np.isnan(start)
+    letters = letters + np.append(0, np.cumsum(n))
+    timed = timed + np.append(0.0, np.cumsum(np.where(bare, 0.0, end - start)))
+    slope, edge = 1.0, np.diff(np.concatenate([[False], bare, [False]]).astype(np.int8))
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        limit = start[b] if b < len(start) else following
+        now, k = end[a - 1] if a else 0.0, a
+        if abs(now - limit) >= TOUCH:
+            own = np.cumsum(n[a:b])
+            at = now + own * ((timed[a] + filled) / letters[a])
+            near = at > limit - TOUCH
+            k = a + (int(near.argmax()) + 1 if near.any() else b - a)
+            at = np.minimum(at[: k - a], limit)
+            start[a:k], end[a:k] = np.append(now, at[:-1]), at
+            filled += at[-1] - now
+            if at[-1] < limit:
+                slope += slope / letters[a] * own[k - a - 1]
+            now = at[-1]
+        for k in range(k, b):  # words that stand at the limit
+            if k and abs(now - limit) < TOUCH:
+                now = end[k - 1] = end[k - 1] - TAKEN * min(1.0, end[k - 1] - start[k - 1])
+            start[k], end[k] = now, min(limit, now + (timed[k] + filled) / letters[k] * n[k])
+            filled, now = filled + end[k] - start[k], end[k]
+    return filled, slope
+
+
+_SUMS = {"following": np.inf, "letters": 1e-7, "timed": 0.0, "filled": 0.0}
+
+
+def _fill(rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple[float, float]]:
+    rows = rows.sort_values("pos").reset_index(drop=True)
+    start, end = (rows[c].to_numpy(np.float64, na_value=np.nan).copy() for c in ("start", "end"))
+    bare = np.isnan(start)
+    before = {c: float(rows[f"_{c}"][0]) for c in _SUMS} if "_filled" in rows else _SUMS
+    found = fill_gaps(start, end, rows["word"].str.len().to_numpy(np.int64), **before)
+    return rows.assign(start=start, end=end, score=np.where(bare, 0.0, rows["score"].to_numpy(np.float64, na_value=np.nan))), found
 
 
 def fill_times(df: DataFrame, keys: list[str]) -> DataFrame:
     """Missing times from the running rate of characters. Videos without an untimed word skip the sequential part."""
-    following = _by(keys).rowsBetween(1, Window.unboundedFollowing)
-    df = df.withColumn("_next", F.first("start", ignorenulls=True).over(following))
     df = df.withColumn("_gap", F.max(F.col("start").isNull()).over(Window.partitionBy(*keys)))
     rows = df.where("_gap").drop("_gap")
-    fold = lambda pdf: _filled(pdf.sort_values("pos").reset_index(drop=True))
-    done = rows.groupBy(*keys).applyInPandas(fold, rows.schema)
-    return df.where("not _gap").drop("_gap").unionByName(done).drop("_next")
+    return df.where("not _gap").drop("_gap").unionByName(rows.groupBy(*keys).applyInPandas(lambda pdf: _fill(pdf)[0], rows.schema))
+
+
+def fill_times_long(long: DataFrame, keys: list[str]) -> DataFrame:
+    """W2 for long videos (a written table with `_chunk`), in pieces that begin with a timed word.
+
+    Letters and timed seconds before a piece are sums. The seconds given to untimed words before it aren't: all pieces are worked out with a
+    guess of them, which says how much a piece adds and how that depends on the guess; a video's pieces in order give the next guess. A round makes at
+    least one more piece of each video exact; as the dependence is nearly linear, two or three rounds are usual.
+    """
+    piece = [*keys, "_piece"]
+    cut = written(folds.pieces(long, keys, F.col("start").isNotNull()), "pieces")
+    timed = F.when(F.col("start").isNotNull(), F.col("pos"))
+    sums = cut.groupBy(*piece).agg(F.sum(F.length("word")).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0.0)).alias("t"), F.min_by("start", timed).alias("s"))
+    before, after = folds.earlier(keys, "_piece"), folds.later(keys, "_piece")
+    sums = sums.select(
+        *piece, F.coalesce(F.first("s", ignorenulls=True).over(after), F.lit(float("inf"))).alias("_following"),
+        (F.lit(1e-7) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("_letters"), F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("_timed"), F.lit(0.0).alias("_filled"),
+    )
+    kinds = ", ".join(f"{k} {cut.schema[k].dataType.simpleString()}" for k in piece)
+
+    def effect(rows: pd.DataFrame) -> pd.DataFrame:
+        filled, slope = _fill(rows)[1]
+        return rows[[*piece, "_following", "_letters", "_timed", "_filled"]].head(1).assign(_out=filled, _slope=slope)
+
+    def next_guess(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_piece")
+        guess, filled = [], 0.0
+        for was, out, slope in zip(rows["_filled"], rows["_out"], rows["_slope"], strict=True):
+            guess.append(filled)
+            filled = out + slope * (filled - was)
+        return rows.assign(_moved=np.abs(rows["_filled"] - guess) > 1e-9 * (1 + np.abs(guess)), _filled=guess)
+
+    sums = written(sums, "sums")
+    numbers = ", ".join(f"{c} double" for c in ("_following", "_letters", "_timed", "_filled", "_out", "_slope"))
+    while True:
+        effects = folds.joined(cut, sums, piece).groupBy(*piece).applyInPandas(effect, f"{kinds}, {numbers}")
+        sums = written(effects.groupBy(*keys).applyInPandas(next_guess, f"{kinds}, {numbers}, _moved boolean"), "sums")
+        if sums.where("_moved").isEmpty():
+            break
+        sums = sums.drop("_out", "_slope", "_moved")
+    rows, columns = folds.joined(cut, sums.drop("_out", "_slope", "_moved"), piece), long.columns
+    return rows.groupBy(*piece).applyInPandas(lambda pdf: _fill(pdf)[0][columns], long.schema)
 
 
 def attach_ascii(df: DataFrame, keys: list[str]) -> DataFrame:
     """Words of ASCII punctuation join the word before and give it their end."""
     w = _by(keys)
-    alone = F.trim("word").rlike(f"^[{ASCII_PUNCT}]+$") & (F.row_number().over(w) > 1)
+    alone = _alone() & (F.row_number().over(w) > 1)
     df = df.withColumn("_g", F.sum(F.when(alone, 0).otherwise(1)).over(w))
     rest = [c for c in df.columns if c not in (*keys, "pos", "word", "end", "_g")]
     part = F.struct("pos", "word")
@@ -71,32 +141,45 @@ def attach_ascii(df: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_g").select(*[c for c in df.columns if c != "_g"])
 
 
-def _collapsed(words: pd.DataFrame, size: int) -> pd.DataFrame:
-    texts = words["word"].tolist()
-    keep, at = [], 0
-    while at < len(texts):
-        pattern, times = texts[at : at + size], 1
-        while texts[at + times * size : at + (times + 1) * size] == pattern and len(pattern) == size:
-            times += 1
-        if times >= REPEATS:
-            keep += range(at, at + size)
-            at += times * size
-        else:
-            keep.append(at)
-            at += 1
-    return words.iloc[keep]
+def kept_once(same: np.ndarray, size: int) -> np.ndarray:
+    """Which words stay where each pattern of `size` words that comes REPEATS times or more in a row stays once. same: whether a word equals the one `size` before.
+
+    A stretch of n equal words repeats the pattern before it n // size times. A pattern is taken where it begins first, after the repeats that went before.
+    """
+    keep = np.ones(len(same), bool)
+    edge = np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = last - first >= size * (REPEATS - 1)
+    free = 0
+    for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
+        begin = max(a - size, free)
+        repeats = (b - begin - size) // size
+        if repeats + 1 >= REPEATS:
+            free = begin + size * (repeats + 1)
+            keep[begin + size : free] = False
+    return keep
 
 
 def collapse_repeats(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """A pattern of `size` words repeated 4 times or more stays once. Only videos with a long enough run of equal words at that distance go through the greedy pass."""
+    """A pattern of `size` words repeated 4 times or more stays once. Only videos with a long enough run of equal words at that distance go through Python."""
     w = _by(keys)
     same = F.coalesce(F.col("word") == F.lag("word", size).over(w), F.lit(False))
     df = df.withColumn("_same", same).withColumn("_island", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(w))
     run = F.count_if(F.col("_same")).over(Window.partitionBy(*keys, "_island"))
-    df = df.withColumn("_run", run).withColumn("_most", F.max("_run").over(Window.partitionBy(*keys))).drop("_same", "_island", "_run")
+    df = df.withColumn("_run", run).withColumn("_most", F.max("_run").over(Window.partitionBy(*keys))).drop("_island", "_run")
     rows = df.where(F.col("_most") >= size * (REPEATS - 1)).drop("_most")
-    fold = lambda pdf: _collapsed(pdf.sort_values("pos").reset_index(drop=True), size)
-    return df.where(F.col("_most") < size * (REPEATS - 1)).drop("_most").unionByName(rows.groupBy(*keys).applyInPandas(fold, rows.schema))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        return pdf[kept_once(pdf["_same"].to_numpy(bool), size)]
+
+    done = rows.groupBy(*keys).applyInPandas(fold, rows.schema)
+    return df.where(F.col("_most") < size * (REPEATS - 1)).drop("_most").unionByName(done).drop("_same")
+
+
+def _no_repeat_across(size: int):
+    """A row before which no pattern of `size` words can have begun that goes on in it."""
+    return lambda w: F.reduce(F.array(*[F.lead("word", k).over(w) != F.lag("word", size - k).over(w) for k in range(size)]), F.lit(True), lambda a, x: a & x)
 
 
 def shorten_long(df: DataFrame) -> DataFrame:
@@ -111,18 +194,45 @@ def finished(df: DataFrame) -> DataFrame:
     return df.withColumn("word", X.trim(F.col("word"))).where((F.col("word") != "") & F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
-#: The rules in their order.
+def _alone(word="word"):
+    return F.trim(word).rlike(f"^[{ASCII_PUNCT}]+$")
+
+
+#: The rules in their order: name, rule(rows, keys), and for rules that look at neighbours, which row may begin a piece of a long video (by a window over a chunk).
+RULES = [
+    ("W1", drop_untimed_repeats, lambda w: F.col("start").isNotNull()),
+    ("W2", fill_times, None),
+    ("W5", attach_ascii, lambda w: ~_alone()),
+    ("W3x2", lambda d, keys: collapse_repeats(d, keys, 2), _no_repeat_across(2)),
+    ("W3x3", lambda d, keys: collapse_repeats(d, keys, 3), _no_repeat_across(3)),
+    ("W4", lambda d, keys: shorten_long(d), None),
+    ("FIN", lambda d, keys: finished(d), None),
+]
+
+
 def steps(keys: list[str]):
-    return [
-        ("W1", lambda d: drop_untimed_repeats(d, keys)), ("W2", lambda d: fill_times(d, keys)), ("W5", lambda d: attach_ascii(d, keys)),
-        ("W3x2", lambda d: collapse_repeats(d, keys, 2)), ("W3x3", lambda d: collapse_repeats(d, keys, 3)), ("W4", shorten_long), ("FIN", finished),
-    ]
+    """(name, rule of the rows) for each rule."""
+    return [(name, lambda d, rule=rule: rule(d, keys)) for name, rule, _ in RULES]
 
 
 def clean_words(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All word rules. Videos of more than folds.CHUNK positions are cut into pieces, rule by rule, and written after each."""
+    short, long = folds.split_long(df, keys)
     for _, rule in steps(keys):
-        df = rule(df)
-    return df
+        short = rule(short)
+    if long is None:
+        return short
+    for name, rule, fresh in RULES:
+        if name == "W2":
+            long = fill_times_long(long, keys)
+        elif fresh is None:
+            long = rule(long, keys)
+            continue
+        else:
+            cut = folds.pieces(long, keys, fresh(Window.partitionBy(*keys, "_chunk").orderBy("pos")))
+            long = rule(cut, [*keys, "_piece"]).drop("_piece")
+        long = written(long, "words")
+    return short.unionByName(long.drop("_chunk"))
 
 
 def usable(df: DataFrame) -> DataFrame:

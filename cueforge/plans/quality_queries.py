@@ -10,6 +10,7 @@ from cueforge.functions import tables as T
 from cueforge.functions import text as X
 from cueforge.operators import select as G
 from cueforge.operators import structure as S
+from cueforge.plans import cue_queries
 from cueforge.sources import bindings as B
 
 QUERIES: dict = {}
@@ -244,7 +245,14 @@ def corpus_blocks(spark, sf_dir):
     return G.corpus_block(B.turns(spark, sf_dir), ["video"]).select("video", F.md5("block").alias("block_md5"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE t AS (SELECT conv_id AS video, turn AS pos, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM conversations WHERE regexp_replace(text, '\s', '', 'g') <> ''),
+    n AS (SELECT video, pos, text, CAST(CASE WHEN w > 1 THEN w ELSE greatest(1, length(text) // 2) END AS BIGINT) AS n, row_number() OVER (PARTITION BY video ORDER BY pos) AS k FROM t),
+    f AS (SELECT video, pos, text, n, k, n AS s, 1 AS g FROM n WHERE k = 1 UNION ALL
+      SELECT n.video, n.pos, n.text, n.n, n.k, CASE WHEN f.s >= 60 THEN n.n ELSE f.s + n.n END, CASE WHEN f.s >= 60 THEN f.g + 1 ELSE f.g END FROM f JOIN n ON n.video = f.video AND n.k = f.k + 1)
+    SELECT video, CAST(g AS INTEGER) AS version, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos, CAST(sum(n) AS BIGINT) AS words, md5(substr(string_agg(text, chr(10) ORDER BY pos), 1, 12000)) AS body_md5
+    FROM f GROUP BY video, g HAVING sum(n) >= 60"""
+)
 def summary_windows(spark, sf_dir):
     """Texts gathered until the word budget is reached."""
     return G.summary_windows(B.turns(spark, sf_dir), ["video"], budget=60).select("video", "version", "first_pos", "last_pos", "words", F.md5("body").alias("body_md5"))
@@ -304,7 +312,20 @@ def speaker_runs(spark, sf_dir):
     return runs.groupBy("video", F.col("run").cast("long").alias("run")).agg(F.min("speaker").alias("speaker"), F.count("*").alias("turns"), F.min("pos").alias("first_pos"))
 
 
-@query()
+_RECORD_TOKENS = cue_queries._TOKENS.format(x="text")
+
+
+@query(
+    "WITH RECURSIVE k AS (SELECT conv_id AS video, turn AS pos, unnest(" + _RECORD_TOKENS + ") AS token, generate_subscripts(" + _RECORD_TOKENS + ", 1) AS j, 'en' AS lang FROM conversations)"
+    + r""", c AS (SELECT *, regexp_replace(token, '["”''’」』]+$', '') AS core, regexp_matches(token, '^["”''’」』]+$') AS lone FROM k)"""
+    + ", e AS (SELECT *, CASE WHEN NOT lone THEN " + cue_queries._ends_sql("core", "lang") + " END AS fin FROM c)"
+    + """, b AS (SELECT *, coalesce(last_value(fin IGNORE NULLS) OVER (PARTITION BY video ORDER BY pos, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AND NOT lone AS fresh FROM e),
+    s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY pos, j) AS sent FROM b),
+    r AS (SELECT video, CAST(sent AS BIGINT) AS pos, string_agg(token, ' ' ORDER BY pos, j) AS t, min(pos) * 2.0 AS a, max(pos) * 2.0 + 1.5 AS z, row_number() OVER (PARTITION BY video ORDER BY sent) AS k FROM s GROUP BY video, sent),
+    f AS (SELECT *, length(t) AS n, 1 AS g FROM r WHERE k = 1 UNION ALL
+      SELECT r.*, CASE WHEN f.n + 1 + length(r.t) <= 120 THEN f.n + 1 + length(r.t) ELSE length(r.t) END, CASE WHEN f.n + 1 + length(r.t) <= 120 THEN f.g ELSE f.g + 1 END FROM f JOIN r ON r.video = f.video AND r.k = f.k + 1)
+    SELECT video, min(pos) AS pos, md5(string_agg(t, ' ' ORDER BY pos)) AS text_md5, CAST(min(a) AS DOUBLE) AS "start", CAST(arg_max(z, pos) AS DOUBLE) AS "end" FROM f GROUP BY video, g"""
+)
 def merged_records(spark, sf_dir):
     """Q12, Q15, Q16: sentences as records, neighbours merged up to 120 characters."""
     rows = B.turns(spark, sf_dir).withColumns({"start": F.col("pos") * 2.0, "end": F.col("pos") * 2.0 + 1.5})

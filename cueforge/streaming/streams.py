@@ -7,8 +7,6 @@ State is kept per video in the state store; a row with `last` true ends its vide
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,21 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cueforge.functions import tables as T
+from cueforge.sources.shared import folder
 
 SEGMENT = "video bigint, seq bigint, start double, end double, text string, speaker string, last boolean"
 SENTENCE = "video bigint, rec_id bigint, start double, end double, text string, speaker string"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or where that is unset and the master is local, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
     """A stream of files with a rate limit."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
