@@ -221,11 +221,16 @@ def cue_times(spark, sf_dir):
     return out.select("video", "pos", "start_ms", "end_ms", "note", F.col("number").cast("long").alias("number"))
 
 
+def _repairable(spark, sf_dir):
+    """Cues of which some have no length, every third of them at its neighbour's start."""
+    cues = B.cues(spark, sf_dir).withColumn("end_ms", F.when(F.col("pos") % 3 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))
+    return cues.withColumn("start_ms", F.when(F.col("pos") % 6 == 0, F.col("start_ms") + 2000).otherwise(F.col("start_ms"))).withColumn("end_ms", F.greatest("start_ms", "end_ms"))
+
+
 @query()
 def cue_repairs(spark, sf_dir):
     """T1M, T1, T-ISSUE: empty lines are cues of no length, every third of them at its neighbour's start."""
-    cues = B.cues(spark, sf_dir).withColumn("end_ms", F.when(F.col("pos") % 3 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))
-    cues = cues.withColumn("start_ms", F.when(F.col("pos") % 6 == 0, F.col("start_ms") + 2000).otherwise(F.col("start_ms"))).withColumn("end_ms", F.greatest("start_ms", "end_ms"))
+    cues = _repairable(spark, sf_dir)
     out = C.repair_times(cues, ["video"])
     return out.select("video", "pos", "start_ms", "end_ms", "note", F.md5("text").alias("text_md5"), F.array_join("issues", ",").alias("issues"))
 

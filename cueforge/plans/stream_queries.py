@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cueforge.plans import cue_queries, state_queries
+from cueforge.plans import cue_queries, quality_queries, state_queries
 from cueforge.sources import bindings as B
 from cueforge.streaming import streams as V
 
@@ -30,6 +30,15 @@ def _fed(spark, rows, name):
     return V.source(spark, path, rows.schema, per_trigger=1000)
 
 
+def _fed_in_order(spark, rows, name, order="pos"):
+    """A table as a feed of several micro-batches, by the place of a row in its video."""
+    path = V.folder(spark, name)
+    for low, high in ((0, 4), (4, 16), (16, 64), (64, None)):
+        part = rows.where(F.col(order) >= low)
+        (part if high is None else part.where(F.col(order) < high)).coalesce(1).write.mode("append").parquet(path)
+    return V.source(spark, path, rows.schema, per_trigger=1)
+
+
 def _segments(spark, sf_dir):
     w = Window.partitionBy("video")
     rows = B.turns(spark, sf_dir).withColumn("last", F.max("pos").over(w) == F.col("pos"))
@@ -49,7 +58,7 @@ _TURN_TOKENS = cue_queries._TOKENS.format(x="text")
 )
 def stream_sentences(spark, sf_dir):
     """V01, V03, V04."""
-    out = V.drained(V.sentences(_fed(spark, _segments(spark, sf_dir), "segments")), "sentences")
+    out = V.drained(V.sentences(_fed_in_order(spark, _segments(spark, sf_dir), "segments", "seq")), "sentences")
     return out.select("video", "rec_id", "start", "end", F.md5("text").alias("text_md5"), "speaker")
 
 
@@ -57,14 +66,43 @@ def stream_sentences(spark, sf_dir):
 def stream_cue_times(spark, sf_dir):
     """Stream and batch give the same."""
     rows = cue_queries._timed(spark, sf_dir).withColumn("last", F.max("pos").over(Window.partitionBy("video")) == F.col("pos"))
-    return V.drained(V.settled_cues(_fed(spark, rows.select("video", "pos", "start_ms", "end_ms", "last"), "cues")), "settled")
+    fed = _fed_in_order(spark, rows.select("video", "pos", "start_ms", "end_ms", "text", "last"), "cues")
+    return V.by_batch(V.settled_cues(fed, clean=False), "settled", V.repaired).select("video", "pos", "start_ms", "end_ms", "note")
+
+
+@query()
+def stream_clean_cues(spark, sf_dir):
+    """The text rules and all time rules on cues that come in several micro-batches."""
+    rows = cue_queries._repairable(spark, sf_dir).withColumn("last", F.max("pos").over(Window.partitionBy("video")) == F.col("pos"))
+    fed = _fed_in_order(spark, rows.select("video", "pos", "start_ms", "end_ms", "text", "last"), "cues")
+    out = V.by_batch(V.settled_cues(fed), "clean", V.repaired)
+    return out.select("video", "pos", "start_ms", "end_ms", "note", F.md5("text").alias("text_md5"), F.array_join("issues", ",").alias("issues"))
 
 
 @query()
+def stream_clean_words(spark, sf_dir):
+    """All word rules on words that come in several micro-batches."""
+    rows = B.words(spark, sf_dir).withColumn("last", F.max("pos").over(Window.partitionBy("video")) == F.col("pos"))
+    out = V.by_batch(V.settled_words(_fed_in_order(spark, rows, "words")), "words", V.finished_words)
+    return out.select("video", "pos", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "score")
+
+
+_SUMMARIES = quality_queries.ORACLE["summary_windows"]
+
+
+@query("SELECT video, version, words, body_md5 FROM (" + _SUMMARIES + ")")
 def stream_summaries(spark, sf_dir):
-    """V06."""
-    out = V.drained(V.summary_windows(_fed(spark, _segments(spark, sf_dir), "segments"), 60), "summaries")
-    return out.select("video", "version", "words", F.md5("body").alias("body_md5"))
+    """Stream and batch give the same."""
+    fed = _fed_in_order(spark, _segments(spark, sf_dir), "segments", "seq")
+    return V.drained(V.summary_windows(fed, 60), "summaries").select("video", "version", "words", F.md5("body").alias("body_md5"))
+
+
+@query("SELECT conv_id AS video, CAST(turn AS BIGINT) AS seq, CAST(coalesce(greatest(turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, 0), 0) AS BIGINT) AS missing FROM conversations WHERE turn % 3 <> 1")
+def stream_gaps(spark, sf_dir):
+    """Turns missing from a feed that comes in several micro-batches, each in no order."""
+    rows = _segments(spark, sf_dir).where("seq % 3 <> 1")
+    rows = rows.withColumn("last", F.max("seq").over(Window.partitionBy("video")) == F.col("seq")).orderBy(F.xxhash64("video", "seq"))
+    return V.drained(V.sequence_gaps(_fed_in_order(spark, rows, "turns", "seq")), "gaps")
 
 
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events WHERE event_type LIKE 'c%' GROUP BY event_type")

@@ -1,6 +1,6 @@
 """Streams of segments and events with Structured Streaming.
 
-State is kept per video in the state store; a row with `last` true ends its video and flushes what is held. File sources take
+State is kept per video in the state store; a row with `last` true ends its video and flushes what is held, and so does a timer. File sources take
 `per_trigger` files at a time, which stands for the bounded queues of a live feed.
 """
 
@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from cueforge.functions import tables as T
+from cueforge.operators import cues as C
+from cueforge.operators import words as W
 from cueforge.sources.shared import folder
 
 SEGMENT = "video bigint, seq bigint, start double, end double, text string, speaker string, last boolean"
@@ -37,125 +40,379 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def by_batch(stream: DataFrame, name: str, rule=lambda df: df) -> DataFrame:
+    """Run a stream over all that is there, with rule(rows) for each micro-batch, and read what was written. A batch that is tried again replaces what it wrote."""
+    spark = stream.sparkSession
+    out, marks = folder(spark, name), folder(spark, name + "-marks")
+    empty = rule(spark.createDataFrame([], stream.schema))
+    empty.write.parquet(f"{out}/batch=none")
+    stream.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(batch_writer(out, rule)).start().awaitTermination()
+    return spark.read.schema(empty.schema).parquet(f"{out}/batch=*")
+
+
+def batch_writer(to: str, rule=lambda df: df, fmt: str = "parquet", by: tuple = ()):
+    """For foreachBatch: each batch has a folder of its own, batch=N, that is overwritten, so a batch that comes twice is there once."""
+
+    def write(df: DataFrame, batch: int):
+        rule(df).write.mode("overwrite").format(fmt).partitionBy(*by).save(f"{to}/batch={batch}")
+
+    return write
+
+
+# --- rows held in state ---
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Held(StatefulProcessor):
+    """Rows of a video that are held until step() lets them go.
+
+    A row with `last` true ends the video. With `idle_ms`, an event-time timer ends one from which nothing has come for so long: what is held goes out, and what
+    the video is known by (`value`) stays for FORGET times as long in case it goes on. Rows of a batch are put in order first.
+    """
+
+    FORGET = 24
+    #: schemas of what is held and known
+    rows = value = ""
+    order = "seq"
+    first: tuple = ()
+
+    def __init__(self, idle_ms: int | None = None, ts: str = "ts"):
+        self.idle_ms, self.ts = idle_ms, ts
+
+    def step(self, video, held: pd.DataFrame, value: tuple, over: bool) -> tuple[list[tuple], pd.DataFrame, tuple]:
+        """(rows to emit, rows to hold, what is known) from the rows held so far with the new ones after them."""
+        raise NotImplementedError
+
+    def init(self, handle):
+        self.handle = handle
+        self.held, self.known = handle.getListState("held", self.rows), handle.getValueState("known", self.value)
+        self.names = [c.split()[0] for c in self.rows.split(", ")]
+
+    def _go(self, key, fresh: pd.DataFrame, over: bool):
+        before = list(self.held.get()) if self.held.exists() else []
+        value = self.known.get() if self.known.exists() else self.first
+        rows = pd.concat([pd.DataFrame(before, columns=self.names), fresh[self.names]], ignore_index=True) if before else fresh[self.names].reset_index(drop=True)
+        out, rest, value = self.step(key[0], rows, tuple(value), over)
+        if len(rest):
+            self.held.put([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in rest.itertuples(index=False)])
+        else:
+            self.held.clear()
+        return out, value
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh = pd.concat(list(rows)).sort_values(self.order)
+        over = bool(fresh["last"].fillna(False).any()) if "last" in fresh else False
+        out, value = self._go(key, fresh, over)
+        self._set_timer(fresh[self.ts].max().timestamp() * 1000 + self.idle_ms if self.idle_ms and not over else None)
+        if over:
+            self.known.clear()
+        else:
+            self.known.update(value)
+        yield pd.DataFrame(out, columns=self.emitted())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out = []
+        if self.held.exists():
+            out, value = self._go(key, pd.DataFrame(columns=self.names), True)
+            self.known.update(value)
+            self._set_timer(expiredTimerInfo.getExpiryTimeInMs() + self.FORGET * self.idle_ms)
+        else:
+            self.known.clear()
+        yield pd.DataFrame(out, columns=self.emitted())
+
+    def _set_timer(self, at):
+        if self.idle_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if at is not None:
+                self.handle.registerTimer(int(at))
+
+    def emitted(self):
+        return [c.split()[0] for c in self.out.split(", ")]
+
+    def close(self):
+        pass
+
+
+def held(rows: DataFrame, kind: type[Held], *args, ts: str | None = None, late: str = "10 minutes", idle: float | None = None) -> DataFrame:
+    """A stream through a processor of that kind, by video. With `ts` and `idle` (seconds), videos end after so long without a row, by event time."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    if ts is None or idle is None:
+        return rows.groupBy("video").transformWithStateInPandas(kind(*args), kind.out, "Append", "None")
+    return rows.withWatermark(ts, late).groupBy("video").transformWithStateInPandas(kind(*args, idle_ms=int(idle * 1000), ts=ts), kind.out, "Append", "EventTime")
+
+
+# --- sentences ---
+
 _QUOTES = re.escape(T.CLOSING_QUOTES)
-_SHORT = set(T.ABBREVIATIONS["en"].split())
+_SHORT = {lang: set(words.split()) for lang, words in T.ABBREVIATIONS.items()}
 
 
-def _ends(token: str) -> bool:
+def _ends(token: str, lang: str = "en") -> bool:
     """The sentence test of the batch operator, for one token."""
     core = re.sub(f"[{_QUOTES}]+$", "", token)
     if core[-1:] not in (".", "!", "?") or core.endswith("..."):
         return False
     word = core.rstrip(".")
-    return not (core.endswith(".") and (re.fullmatch(r"(?:[A-Za-z]\.){2,}", core) or word in _SHORT or re.fullmatch("[A-Za-z]", word)))
+    return not (core.endswith(".") and (re.fullmatch(r"(?:[A-Za-z]\.){2,}", core) or word in _SHORT.get(lang, _SHORT["en"]) or re.fullmatch("[A-Za-z]", word)))
 
 
 def _tokens(text: str) -> list[str]:
     return re.sub(r"([(\[{¡¿]) +", r"\1", re.sub(r" +([.,!?);:}\]])", r"\1", text or "")).split()
 
 
-def _sentences(key, frames, state: GroupState):
-    """Whole sentences as they complete; a change of speaker ends one."""
-    words, start, end, speaker, count = state.get if state.exists else ([], None, None, None, 0)
-    words, out, over = list(words or []), [], False
+class Sentences(Held):
+    """Whole sentences as they complete; a change of speaker ends one. The segments of the open sentence are held, with the tokens of the first that are gone (`skip`)."""
 
-    def emit():
-        nonlocal words, count
-        if words:
-            out.append((key[0], count, start, end, " ".join(words), speaker))
-            count += 1
-        words = []
+    rows = "seq bigint, start double, end double, text string, speaker string, lang string, skip int"
+    value = "count bigint"
+    first = (0,)
+    out = SENTENCE
 
-    for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-        if words and row.speaker != speaker:
-            emit()
-        speaker = row.speaker
-        # held words may be closing quotes alone, which end nothing
-        fresh = next((_ends(w) for w in reversed(words) if not re.fullmatch(f"[{_QUOTES}]+", w)), False)
-        for token in _tokens(row.text):
-            lone = re.fullmatch(f"[{_QUOTES}]+", token) is not None
-            if fresh and not lone:
+    def step(self, video, held, value, over):
+        out, words, count = [], [], value[0]
+        start = end = speaker = begin = None
+        fresh = False
+
+        def emit():
+            nonlocal words, count
+            if words:
+                out.append((video, count, start, end, " ".join(words), speaker))
+                count += 1
+            words = []
+
+        for at, row in enumerate(held.itertuples()):
+            if words and row.speaker != speaker:
                 emit()
-            if not words:
-                start = row.start
-            words.append(token)
-            end = row.end
-            if not lone:
-                fresh = _ends(token)
-        over = over or bool(row.last)
-    if over:
-        emit()
-        state.remove()
-    else:
-        state.update((words, start, end, speaker, count))
-    yield pd.DataFrame(out, columns=["video", "rec_id", "start", "end", "text", "speaker"])
-
-
-def sentences(segments: DataFrame) -> DataFrame:
-    """Records of whole sentences from a stream of segments."""
-    held = "words array<string>, start double, end double, speaker string, count bigint"
-    return segments.groupBy("video").applyInPandasWithState(_sentences, SENTENCE, held, "append", GroupStateTimeout.NoTimeout)
-
-
-def _settled(key, frames, state: GroupState):
-    """A cue is emitted once the next one has come, so that a small overlap can be cut off."""
-    held = list(state.get) if state.exists else None
-    out, over = [], False
-
-    def emit(nxt):
-        pos, start, end = held
-        note = ""
-        if nxt is not None and end > nxt:
-            if end - nxt <= 100 and nxt > start:
-                end = nxt
-            else:
-                note = "overlap"
-        out.append((key[0], pos, start, max(end, start + 1), note))
-
-    for row in pd.concat(list(frames)).sort_values("pos").itertuples():
-        if held is not None:
-            emit(row.start_ms)
-        held = [row.pos, row.start_ms, row.end_ms]
-        over = over or bool(row.last)
-    if over:
-        emit(None)
-        state.remove()
-    elif held is not None:
-        state.update(tuple(held))
-    yield pd.DataFrame(out, columns=["video", "pos", "start_ms", "end_ms", "note"])
-
-
-def settled_cues(cues: DataFrame) -> DataFrame:
-    return cues.groupBy("video").applyInPandasWithState(_settled, "video bigint, pos bigint, start_ms bigint, end_ms bigint, note string", "pos bigint, start_ms bigint, end_ms bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def _windows(budget: int):
-    def gather(key, frames, state: GroupState):
-        """Texts gathered until their words reach the budget."""
-        texts, words, version = state.get if state.exists else ([], 0, 0)
-        texts, out, over = list(texts or []), [], False
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            over = over or bool(row.last)
-            if not row.text or not row.text.strip():
-                continue
-            n = len(row.text.split())
-            texts.append(row.text)
-            words += max(1, n if n > 1 else len(row.text) // 2)
-            if words >= budget:
-                version += 1
-                out.append((key[0], version, words, "\n".join(texts)))
-                texts, words = [], 0
+                fresh = False
+            speaker = row.speaker
+            skip = 0 if pd.isna(row.skip) else int(row.skip)
+            for k, token in enumerate(_tokens(row.text)):
+                if k < skip:
+                    continue
+                # closing quotes alone end nothing and stay with the sentence before
+                lone = re.fullmatch(f"[{_QUOTES}]+", token) is not None
+                if fresh and not lone:
+                    emit()
+                if not words:
+                    start, begin = row.start, (at, k)
+                words.append(token)
+                end = row.end
+                if not lone:
+                    fresh = _ends(token, row.lang or "en")
         if over:
-            state.remove()
+            emit()
+        if not words:
+            return out, held.iloc[:0], (count,)
+        rest = held.iloc[begin[0] :].copy()
+        rest["skip"] = [begin[1]] + [0] * (len(rest) - 1)
+        return out, rest, (count,)
+
+
+def _with(df: DataFrame, **defaults) -> DataFrame:
+    for name, value in defaults.items():
+        if name not in df.columns:
+            df = df.withColumn(name, value)
+    return df
+
+
+def sentences(segments: DataFrame, **timing) -> DataFrame:
+    """Records of whole sentences from a stream of segments, by the rules of each row's `lang` (English without one). timing: see held()."""
+    return held(_with(segments, lang=F.lit("en"), skip=F.lit(0)), Sentences, **timing)
+
+
+# --- cues and words cleaned as they come ---
+
+
+def _break_of_cues(start, end) -> int:
+    """The last cue that may begin a piece (see cues.repair_times): 0 if none but the first."""
+    n = len(start)
+    new = np.append(True, start[1:] != start[:-1])
+    so_far = np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+    room = np.append(start[1:], start[-1:]) - start
+    pushes = (end <= start) & ~((room > 0) & (room >= so_far))
+    total = np.cumsum(np.maximum(1, end - start))
+    pushed = total + np.maximum.accumulate(np.where(pushes, start + 1 - total, -(1 << 60)))
+    fresh = (start[1:] > np.maximum.accumulate(start)[:-1]) & (start[1:] >= pushed[:-1])
+    return int(np.flatnonzero(fresh)[-1]) + 1 if fresh.any() else 0
+
+
+class CuePieces(Held):
+    """Valid cues go out in whole pieces, once a cue has come that nothing before it can reach. Without `empty`, cues without a text go first."""
+
+    order = "pos"
+    rows = "pos bigint, start_ms bigint, end_ms bigint, text string"
+    value = "piece bigint"
+    first = (0,)
+    out = "video bigint, pos bigint, start_ms bigint, end_ms bigint, text string, _piece bigint, _coming bigint"
+
+    def __init__(self, empty: bool = True, **timing):
+        super().__init__(**timing)
+        self.empty = empty
+
+    def step(self, video, held, value, over):
+        start, end = (held[c].to_numpy(np.float64, na_value=np.nan) for c in ("start_ms", "end_ms"))
+        fine = (start >= 0) & (start <= end) & (end < C.MAX_MS)
+        if not self.empty:
+            fine &= held["text"].fillna("").to_numpy() != ""
+        held, start, end = held[fine], start[fine].astype(np.int64), end[fine].astype(np.int64)
+        cut = len(held) if over else _break_of_cues(start, end) if len(held) else 0
+        if not cut:
+            return [], held, value
+        coming = None if over else int(start[cut])
+        return [(video, r.pos, r.start_ms, r.end_ms, r.text, value[0], coming) for r in held.iloc[:cut].itertuples()], held.iloc[cut:], (value[0] + 1,)
+
+
+def settled_cues(cues: DataFrame, clean: bool = True, **timing) -> DataFrame:
+    """A stream of cues in whole pieces, with the text rules done. repaired() is what is left to do on a batch of them."""
+    return held(C.clean_text(cues) if clean else cues, CuePieces, not clean, **timing)
+
+
+def repaired(pieces: DataFrame) -> DataFrame:
+    """The time rules on whole pieces: what cues.repair_times gives on whole videos."""
+    return C.repaired(C.with_notes(pieces), ["video", "_piece"]).drop("_piece", "_coming")
+
+
+#: Words that must have come after one before it may begin a piece.
+WORDS_AHEAD = 5
+_ASCII_PUNCT = re.compile(rf"[{W.ASCII_PUNCT}]+")
+
+
+def _attached(words: list[str]) -> list[str]:
+    """W5 on texts alone; the first word isn't punctuation."""
+    out = []
+    for word in words:
+        if out and _ASCII_PUNCT.fullmatch(word.strip(" ")):
+            out[-1] += word
         else:
-            state.update((texts, words, version))
-        yield pd.DataFrame(out, columns=["video", "version", "words", "body"])
+            out.append(word)
+    return out
+
+
+def _meets(before: list[str], ahead: list[str], size: int) -> bool:
+    """Whether a word after the place is equal to the one `size` words before it, before the place."""
+    return any(before[k - size] == ahead[k] for k in range(size))
+
+
+def _break_of_words(words: list[str], start, tries: int = 16) -> int:
+    """The last timed word before which no rule looks at what comes after, and after which none looks at what came before: 0 if none of the last `tries`."""
+    alone = [_ASCII_PUNCT.fullmatch(w.strip(" ")) is not None for w in words]
+    begins = [k for k in range(1, len(words)) if not alone[k] and not np.isnan(start[k])]
+    for k in reversed(begins[-tries - WORDS_AHEAD :]):
+        ahead = _attached(words[k : k + 400])
+        if len(ahead) <= WORDS_AHEAD:
+            continue
+        before = _attached(words[:k])
+        same = np.array([i >= 2 and before[i] == before[i - 2] for i in range(len(before))], bool)
+        kept = [w for w, keep in zip(before, W.kept_once(same, 2), strict=True) if keep]
+        if len(kept) >= 3 and not _meets(before, ahead, 2) and not _meets(kept, ahead, 3) and ahead[:2] != ahead[2:4]:
+            return k
+    return 0
+
+
+class WordPieces(Held):
+    """Recognised words go out in whole pieces with W1 and W2 done; the sums that W2 needs are kept."""
+
+    order = "pos"
+    rows = "pos bigint, word string, start double, end double, score double"
+    value = "piece bigint, letters double, timed double, filled double"
+    first = (0, 1e-7, 0.0, 0.0)
+    out = "video bigint, pos bigint, word string, start double, end double, score double, _piece bigint"
+
+    def step(self, video, held, value, over):
+        piece, letters, timed, filled = value
+        start, end = (held[c].to_numpy(np.float64, na_value=np.nan).copy() for c in ("start", "end"))
+        words = held["word"].tolist()
+        # W1
+        stay = np.array([not (k and np.isnan(start[k]) and np.isnan(start[k - 1]) and words[k] == words[k - 1]) for k in range(len(words))], bool)
+        held, start, end, words = held[stay], start[stay], end[stay], [w for w, s in zip(words, stay, strict=True) if s]
+        cut = len(words) if over else _break_of_words(words, start)
+        if not cut:
+            return [], held, value
+        bare, n = np.isnan(start[:cut]), np.array([len(w) for w in words[:cut]], np.int64)
+        seconds = float(np.where(bare, 0.0, end[:cut] - start[:cut]).sum())
+        done_start, done_end = start[:cut].copy(), end[:cut].copy()
+        filled, _ = W.fill_gaps(done_start, done_end, n, np.inf if over else start[cut], letters, timed, filled)
+        score = np.where(bare, 0.0, held["score"].to_numpy(np.float64, na_value=np.nan)[:cut])
+        out = list(zip([video] * cut, held["pos"].tolist()[:cut], words[:cut], done_start.tolist(), done_end.tolist(), score.tolist(), [piece] * cut, strict=True))
+        return out, held.iloc[cut:], (piece + 1, letters + float(n.sum()), timed + seconds, filled)
+
+
+def settled_words(words: DataFrame, **timing) -> DataFrame:
+    """A stream of recognised words in whole pieces. finished_words() is what is left to do on a batch of them."""
+    return held(words, WordPieces, **timing)
+
+
+def finished_words(pieces: DataFrame) -> DataFrame:
+    """W5, W3, W4 and W-FIN on whole pieces: what words.clean_words gives on whole videos."""
+    for name, rule, _ in W.RULES:
+        if name not in ("W1", "W2"):
+            pieces = rule(pieces, ["video", "_piece"])
+    return pieces.drop("_piece")
+
+
+# --- summaries, gaps ---
+
+
+class Summaries(Held):
+    """Texts gathered until their words reach the budget; a version's body is cut to `longest` characters."""
+
+    rows = "seq bigint, text string"
+    value = "version int"
+    first = (0,)
+    out = "video bigint, version int, words bigint, body string"
+
+    def __init__(self, budget: int = 4500, longest: int = 12000, **timing):
+        super().__init__(**timing)
+        self.budget, self.longest = budget, longest
+
+    def step(self, video, held, value, over):
+        out, version, words, begin = [], value[0], 0, 0
+        for k, text in enumerate(held["text"].tolist()):
+            if not text or not text.strip():
+                continue
+            n = len(text.split())
+            words += n if n > 1 else max(1, len(text) // 2)
+            if words >= self.budget:
+                version += 1
+                texts = [t for t in held["text"].tolist()[begin : k + 1] if t and t.strip()]
+                out.append((video, version, words, "\n".join(texts)[: self.longest]))
+                words, begin = 0, k + 1
+        return out, held.iloc[begin:], (version,)
 
-    return gather
 
+def summary_windows(segments: DataFrame, budget: int = 4500, longest: int = 12000, **timing) -> DataFrame:
+    """V06. A video that ends, or whose timer does, leaves no version for what has not reached the budget."""
+    return held(segments, Summaries, budget, longest, **timing)
 
-def summary_windows(segments: DataFrame, budget: int = 4500) -> DataFrame:
-    return segments.groupBy("video").applyInPandasWithState(_windows(budget), "video bigint, version int, words bigint, body string", "texts array<string>, words bigint, version int", "append", GroupStateTimeout.NoTimeout)
+
+class Gaps(Held):
+    """Numbers missing before a row, of rows that may come out of order by `slack` numbers; a video's largest number so far is known."""
+
+    rows = "seq bigint"
+    value = "top bigint"
+    first = (None,)
+    out = "video bigint, seq bigint, missing bigint"
+
+    def __init__(self, slack: int = 100, **timing):
+        super().__init__(**timing)
+        self.slack = slack
+
+    def step(self, video, held, value, over):
+        held = held.sort_values("seq")
+        seqs, top = held["seq"].tolist(), value[0]
+        many = len(seqs) if over else sum(s <= seqs[-1] - self.slack for s in seqs)
+        out = []
+        for s in seqs[:many]:
+            out.append((video, s, max(s - top - 1, 0) if top is not None else 0))
+            top = s if top is None else max(top, s)
+        return out, held.iloc[many:], (top,)
+
+
+def sequence_gaps(rows: DataFrame, slack: int = 100, **timing) -> DataFrame:
+    """V05 as a stream: equals words.gaps() while no row comes more than `slack` numbers late."""
+    return held(rows, Gaps, slack, **timing)
 
 
 def matching(events: DataFrame, prefix: str | None = None, **equal) -> DataFrame:
@@ -180,12 +437,8 @@ def daily_usage(usage: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def error_outputs(errors: DataFrame, to: str, categories: tuple = ("permanent", "degraded")):
-    """A foreachBatch sink that appends the kept categories, one folder each."""
-
-    def write(df: DataFrame, _batch):
-        df.where(F.col("category").isin(*categories)).write.mode("append").partitionBy("category").json(to)
-
-    return errors.writeStream.foreachBatch(write)
+    """A foreachBatch sink of the kept categories, by batch and category; a batch that is tried again replaces what it wrote."""
+    return errors.writeStream.foreachBatch(batch_writer(to, lambda df: df.where(F.col("category").isin(*categories)), "json", ("category",)))
 
 
 def event_windows(events: DataFrame, kind: str = "tumbling") -> DataFrame:
