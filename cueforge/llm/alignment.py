@@ -20,10 +20,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import operator
 import os
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ from .store import scratch, stored
 MARK = "▁"
 SLICE_BYTES = 2 << 20
 #: Bytes whose ends are in the dictionaries together.
-STRETCH = 1 << 17
+STRETCH = 1 << 13
 KNOWN_WORDS, KNOWN_BYTES = 400_000, 32 << 20
 #: A run of spaces and what follows it. No piece goes on after a space, so these encode each by itself.
 _WORDS = re.compile(" +[^ ]*")
@@ -53,30 +56,43 @@ class Pieces:
             raise ValueError("a piece goes over the end of a word")
         self.raw = [bytes([int(name[3:5], 16)]) if self.model.is_byte(k) else name.replace(MARK, " ").encode() for k, name in enumerate(names)]
         self.space = self.model.piece_to_id(MARK)
-        self.known: dict[str, np.ndarray | None] = {}
+        self.forget()
+
+    def forget(self):
+        """Known words: number by word, whether the ids give the word back, and the ids one after another."""
+        self.known: dict[str, int] = {}
+        self.same = np.zeros(0, bool)
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.bytes = 0
 
-    def learn(self, words):
-        if len(self.known) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
-            self.known.clear()
-            self.bytes = 0
-        words = [w for w in dict.fromkeys(words) if w not in self.known]
+    def learn(self, words: set[str]):
+        words = list(words)
         # the model puts the first space there itself
-        for word, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True):
-            ids = ids if word != " " else [self.space]
-            same = b"".join([self.raw[k] for k in ids]) == word.encode()
-            self.known[word] = np.array(ids, np.int32) if same else None
-            self.bytes += len(word)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """The ids of each text, which begins with a space; None where they don't give it back."""
+        found = [ids if word != " " else [self.space] for word, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True)]
+        raw = self.raw.__getitem__
+        if b"\n".join([b"".join(map(raw, ids)) for ids in found]) == "\n".join(words).encode():
+            same = [True] * len(words)
+        else:
+            same = [b"".join(map(raw, ids)) == word.encode() for word, ids in zip(words, found, strict=True)]
+        self.same = np.append(self.same, same)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in found]))
+        self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.bytes += sum(map(len, words))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has, whether they give it back). Each text begins with a space."""
+        if len(self.known) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
+            self.forget()
         split = [_WORDS.findall(t) for t in texts]
-        self.learn(w for ws in split for w in ws)
-        out = []
-        for ws in split:
-            parts = list(map(self.known.__getitem__, ws))
-            out.append(None if any(p is None for p in parts) else np.concatenate(parts))
-        return out
+        found = list(itertools.chain.from_iterable(split))
+        if fresh := set(found) - self.known.keys():
+            self.learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        lengths = self.ends[at + 1] - self.ends[at]
+        bounds = np.append(0, np.cumsum([len(ws) for ws in split]))
+        ends, wrong = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(~self.same[at]))
+        return self.ids[W.ragged(self.ends[at], lengths)], np.diff(ends[bounds]), np.diff(wrong[bounds]) == 0
 
 
 class Pair:
@@ -100,13 +116,16 @@ class Aligned:
 
     def __init__(self, of: Pair, texts: list[str | None]):
         spaced = [f" {t}" if t else "" for t in texts]
-        a, b = of.a.encode(spaced), of.b.encode([t or " " for t in spaced])
-        none = np.zeros(0, np.int32)
-        fits = [bool(t) and y is not None and int(of.a_bytes[x].sum()) == int(of.b_bytes[y].sum()) for t, x, y in zip(spaced, a, b, strict=True)]
-        a, b = ([ids if ok else none for ids, ok in zip(side, fits, strict=True)] for side in (a, b))
-        self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+        a = of.a.encode(spaced)
+        b, n_b, same = of.b.encode([t or " " for t in spaced])
+        some = np.array([bool(t) for t in texts], bool)
+        n_a, a = np.array([len(x) for x in a], np.int64), np.concatenate([np.zeros(0, np.int32), *a])
+        sums = [np.append(0, np.cumsum(size[ids])) for size, ids in ((of.a_bytes, a), (of.b_bytes, b))]
+        firsts = [np.append(0, np.cumsum(n)) for n in (n_a, n_b)]
+        fits = some & same & (np.diff(sums[0][firsts[0]]) == np.diff(sums[1][firsts[1]]))
+        self.a, self.b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)]
+        self.n_a, self.n_b = np.where(fits, n_a, 0), np.where(fits, n_b, 0)
         self.first_a, self.first_b = (np.append(0, np.cumsum(n)) for n in (self.n_a, self.n_b))
-        self.a, self.b = np.concatenate([none, *a]), np.concatenate([none, *b])
         self.ends_a, self.ends_b = np.cumsum(of.a_bytes[self.a]), np.cumsum(of.b_bytes[self.b])
         self.cut_a, self.cut_b = self._cuts()
         self.signs = of.signs
@@ -119,9 +138,9 @@ class Aligned:
             (a0, a1), (b0, b1) = (np.searchsorted(ends, [low, low + STRETCH], "right") for ends in (self.ends_a, self.ends_b))
             at_a = dict(zip(self.ends_a[a0:a1].tolist(), range(a0 + 1, a1 + 1), strict=True))
             at_b = dict(zip(self.ends_b[b0:b1].tolist(), range(b0 + 1, b1 + 1), strict=True))
-            common = sorted(at_a.keys() & at_b.keys())
-            cuts_a.append(np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)))
-            cuts_b.append(np.fromiter(map(at_b.__getitem__, common), np.int64, len(common)))
+            common = list(filter(at_b.__contains__, at_a))  # in order, as A's ends are
+            for at, cuts in ((at_a, cuts_a), (at_b, cuts_b)):
+                cuts.append(np.array(operator.itemgetter(*common)(at) if len(common) > 1 else [at[e] for e in common], np.int64))
         return np.concatenate(cuts_a), np.concatenate(cuts_b)
 
     def groups_of(self) -> np.ndarray:
@@ -130,10 +149,12 @@ class Aligned:
 
     def links(self):
         """(row, A token, B token) by index, in order of place: one for each stretch between neighbouring ends."""
-        ends = np.sort(np.concatenate([self.ends_a, self.ends_b]), kind="stable")
-        ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
-        a, b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
-        return np.searchsorted(self.first_a, a, "right") - 1, a, b
+        total = int(self.ends_a[-1]) + 1 if len(self.ends_a) else 0
+        in_a, in_b = np.zeros(total, bool), np.zeros(total, bool)
+        in_a[self.ends_a] = in_b[self.ends_b] = True
+        ends = np.flatnonzero(in_a | in_b)
+        a, b = (np.cumsum(inside)[ends] - inside[ends] for inside in (in_a, in_b))
+        return np.repeat(np.arange(len(self.n_a)), np.diff(np.append(0, np.searchsorted(ends, np.append(0, self.ends_a)[self.first_a[1:]], "right")))), a, b
 
     def digests(self) -> list[str]:
         """SHA-256 of each text's groups as a1,a2|b1;a3|b2,b3."""
@@ -177,10 +198,12 @@ def _slices(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str) -
             x = Aligned(pair(a_path, b_path), batch.column(text).to_pylist())
             n = batch.num_rows
             row, a, b = x.links()
-            pairs, kind = np.unique(x.a[a].astype(np.int64) << 32 | x.b[b], return_inverse=True)
+            kind, pairs = pd.factorize(x.a[a].astype(np.int64) << 32 | x.b[b])
             n_links = np.bincount(row, minlength=n)
             del a, b
-            has, times = np.unique(row * max(len(pairs), 1) + kind, return_counts=True)
+            # rows come in order, and so do the first places of what each has
+            each, has = pd.factorize(row * max(len(pairs), 1) + kind)
+            times = np.bincount(each, minlength=len(has))
             row, kind = np.divmod(has, max(len(pairs), 1))
             columns = {
                 "slice": np.frombuffer(os.urandom(8), np.int64), "id": batch.column(id_col), "n_a": x.n_a, "n_b": x.n_b, "n_groups": np.diff(x.groups_of()), "n_links": n_links,
