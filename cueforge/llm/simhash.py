@@ -107,7 +107,9 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
         signed = kept(fingerprints(docs, id_col, text, width), "fingerprints")
         known = signed.where(F.col(id_col).isNotNull())
         classes = kept(known.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-        met = _owners(classes.select("fp"))
+        # a fingerprint becomes 65 rows: spread them first, the table has few files
+        spread = classes.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+        met = _owners(spread)
         near = met.select(F.explode("owners").alias("u"), F.col("owners")[0].alias("v")).where(F.col("u") != F.col("v")).where(_near()).distinct()
         # an id with several fingerprints ties them
         tied = known.groupBy(id_col).agg(F.min("fp").alias("v"), F.max("fp").alias("top")).where("v <> top").select(id_col, "v")
