@@ -110,21 +110,22 @@ CUE_RULES = [
 FENCE = r"\[\?.*?\?\]|\[!.*?!\]"
 
 
+MARK = "⟦[0-9]+⟧"
+
+
 def mask_fences(c: Column) -> tuple[Column, Column]:
-    """(text with numbered marks for the fenced spans, the spans)."""
-    spans = F.regexp_extract_all(c, F.lit(f"(?s)({FENCE})"), 1)
+    """(text with numbered marks for the fenced spans, the spans). A mark's first character in the text is a span too, so every mark is one of ours."""
+    fence = f"(?s)({FENCE}|⟦)"
+    spans = F.regexp_extract_all(c, F.lit(fence), 1)
     # the text between spans, with a mark after each but the last
-    outside = F.split(c, f"(?s){FENCE}")
+    outside = F.split(c, fence)
     masked = F.array_join(F.transform(outside, lambda part, k: F.concat(part, F.when(k < F.size(outside) - 1, F.concat(F.lit("⟦"), k.cast("string"), F.lit("⟧"))).otherwise(F.lit("")))), "")
     return masked, spans
 
 
 def unmask_fences(c: Column, spans: Column) -> Column:
-    return F.aggregate(
-        F.transform(spans, lambda s, k: F.struct(s.alias("s"), F.concat(F.lit("⟦"), k.cast("string"), F.lit("⟧")).alias("mark"))),
-        c,
-        lambda text, x: F.replace(text, x["mark"], x["s"]),
-    )
+    """The text with the spans in the places of the marks, which are in order."""
+    return F.array_join(F.transform(F.split(c, MARK), lambda part, k: F.concat(part, F.coalesce(F.get(spans, k), F.lit("")))), "")
 
 
 def clean_decoded(c: Column) -> Column:
@@ -231,13 +232,15 @@ def _join_marks(rows: pd.Series) -> pd.Series:
     def one(tokens):
         if tokens is None:
             return None
-        out, glue, quoted = "", True, False
+        out, glue, quoted, lone = "", True, False, ""
         for token in tokens:
             before, after = not glue, False
             if token == '"':
                 quoted = not quoted
                 after = quoted
                 before = before and quoted
+                if lone and not quoted:  # a mark before a closing quote stands with the word before it
+                    out = out[: -len(lone) - 1] + lone
             elif token == "'":
                 before, after = False, True
             elif token in (",", ".", ")", "]", "}"):
@@ -245,6 +248,7 @@ def _join_marks(rows: pd.Series) -> pd.Series:
             elif token in ("(", "[", "{", "¡", "¿"):
                 after = True
             out += (" " if before else "") + token
+            lone = token if before and len(token) == 1 and not token.isalnum() else ""
             glue = after
         return out
 

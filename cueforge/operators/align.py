@@ -7,6 +7,7 @@ punctuation, whatever the case, and by letters and digits alone.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -23,25 +24,37 @@ def _letters(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
+_OUTER = re.compile(rf"^[\s{X.chars(X.T.ALL_PUNCT)}]+|[\s{X.chars(X.T.ALL_PUNCT)}]+$")
+
+
 def find_span(words: list[str], text: str, start: int = 0) -> tuple[int, int]:
-    """The words from `start` on that make up the text, as (first, stop); (start, start) if none do."""
-    outer = re.compile(rf"^[{X.chars(X.T.ALL_PUNCT)}]+|[{X.chars(X.T.ALL_PUNCT)}]+$")
-    forms = [lambda s: s.replace(" ", ""), lambda s: "".join(outer.sub("", w) for w in s.split()), lambda s: "".join(outer.sub("", w) for w in s.lower().split()), _letters]
-    for form in forms:
-        wanted = form(text)
-        if not wanted:
+    """The words from `start` on that come in the text one after another, as (first, stop); (start, start) if the first doesn't.
+
+    Each word is looked up behind the one before: as it stands, without outer punctuation, in any case (all three as a word of its own), and by its letters
+    and digits alone. The text may have more between words; the first word that isn't there ends the span. Punctuation alone goes with the word before.
+    """
+    if not text or not text.strip():
+        return start, start
+    letters = [(low, at + 1) for at, c in enumerate(text) if c.isalnum() for low in c.lower()]
+    bare, ends = "".join(c for c, _ in letters), [e for _, e in letters]
+    at, first, stop = 0, None, start
+    for k in range(start, len(words)):
+        core = _OUTER.sub("", words[k])
+        if not core:
+            stop = stop if first is None else k + 1
             continue
-        parts = [form(w) for w in words]
-        for first in range(start, len(words)):
-            if not parts[first] or not wanted.startswith(parts[first]):
-                continue
-            at, stop = 0, first
-            while stop < len(words) and at < len(wanted) and wanted.startswith(parts[stop], at):
-                at += len(parts[stop])
-                stop += 1
-            if at == len(wanted):
-                return first, stop
-    return start, start
+        tries = ((words[k].strip(), re.NOFLAG), (core, re.NOFLAG), (core, re.IGNORECASE))
+        hit = next((m for form, how in tries if (m := re.compile(rf"(?<![^\W_]){re.escape(form)}(?![^\W_])", how).search(text, at))), None)
+        if hit:
+            at = hit.end()
+        else:
+            own = _letters(core)
+            place = bare.find(own, bisect.bisect_right(ends, at)) if own else -1
+            if place < 0:
+                break
+            at = ends[place + len(own) - 1]
+        first, stop = k if first is None else first, k + 1
+    return (start, start) if first is None else (first, stop)
 
 
 @F.pandas_udf(SPANS)
@@ -59,9 +72,11 @@ def _spans(words: pd.Series, chunks: pd.Series) -> pd.Series:
 
 
 def distributed(words: Column, chunks: Column) -> Column:
-    """For each chunk the span of words that it takes: array of (first, stop). Both are arrays of strings."""
+    """For each chunk the span of words that it takes: array of (first, stop). Both are arrays of strings.
+
+    Chunks that are the words with single spaces between are counted off; all others go through find_span().
+    """
     key = lambda c: F.transform(c, lambda s: F.length(X.alnum_key(s)))
-    same = (X.alnum_key(F.array_join(words, "")) == X.alnum_key(F.array_join(chunks, ""))) & (F.array_min(key(words)) > 0)
     total = lambda c: F.aggregate(c, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
 
     def fast(lengths):
@@ -70,11 +85,11 @@ def distributed(words: Column, chunks: Column) -> Column:
         place = lambda g: F.array_position(ends, g)
         return F.transform(F.sequence(F.lit(1), F.size(chunks)), lambda i: F.struct((place(F.element_at(goals, i)) - 1).cast("int").alias("first"), (place(F.element_at(goals, i + 1)) - 1).cast("int").alias("stop")))
 
-    clean = X.let(key(words), fast)
-    # a chunk that ends inside a word has no place there
-    whole = F.forall(clean, lambda s: (s["first"] >= 0) & (s["stop"] >= s["first"]))
-    easy = F.coalesce(same & whole, F.lit(False))
-    return F.when(easy, clean).otherwise(_spans(F.when(~easy, words), F.when(~easy, chunks)))
+    # Spark leaves a Python function in place whose arguments hold lambdas, so the test has none
+    spaced = F.array_join(words, " ")
+    tidy = (spaced == F.array_join(chunks, " ")) & ~F.contains(F.array_join(words, ""), F.lit(" ")) & ~spaced.rlike(r"(?U)(^| )[^\p{IsAlphabetic}\p{N} ]*( |$)")
+    tidy = F.coalesce(tidy, F.lit(False))
+    return F.when(tidy, X.let(key(words), fast)).otherwise(_spans(F.when(~tidy, words), F.when(~tidy, chunks)))
 
 
 def aligned_segments(rows: DataFrame, words: str = "words", chunks: str = "chunks") -> DataFrame:
@@ -88,34 +103,62 @@ def aligned_segments(rows: DataFrame, words: str = "words", chunks: str = "chunk
     )
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _repaired(pieces: pd.Series, sentences: pd.Series) -> pd.Series:
-    bare = lambda s: re.sub(r"\s", "", s)
+#: Marks at the end of a piece.
+_TAIL = re.compile(r"[^\w\s]+$")
+
+
+def swapped_tails(first: str, second: str) -> tuple[str, str]:
+    """Two pieces with each other's final marks, if both have some."""
+    a, b = _TAIL.search(first), _TAIL.search(second)
+    return (first[: a.start()] + b[0], second[: b.start()] + a[0]) if a and b else (first, second)
 
-    def one(pair, sentence):
-        if pair is None or len(pair) != 2 or not sentence:
-            return None
-        words = sentence.split()
 
-        def window(piece):
-            first, stop = find_span(words, piece or "")
-            return " ".join(words[first:stop])
+def repair_pair(pieces: list[str], sentence: str, keep_order: bool = False) -> list[str] | None:
+    """Two pieces as stretches of the sentence's words, compared without outer punctuation, that make it up; a piece that isn't there is what the other leaves.
 
-        a, b = window(pair[0]), window(pair[1])
-        rest = lambda part: sentence.replace(part, "", 1).strip()
-        for left, right in ((a, b), (b, a), (a, rest(a)) if a else ("", ""), (rest(b), b) if b else ("", "")):
-            if left and right and bare(left + right) == bare(sentence):
-                return [left, right]
+    Pieces in the other order are put in the sentence's, or with `keep_order` stay and exchange their final marks. None if the two don't make up the sentence.
+    """
+    taken: set[int] = set()
+    words = sentence.split()
+    cores = [_OUTER.sub("", w) for w in words]
+
+    def stretch(piece: str) -> str:
+        wanted = [_OUTER.sub("", w) for w in piece.split()]
+        for k in range(len(words) - len(wanted) + 1 if wanted else 0):
+            span = range(k, k + len(wanted))
+            if cores[k : span.stop] == wanted and not taken & set(span):
+                taken.update(span)
+                return " ".join(words[k : span.stop])
+        return ""
+
+    def bare(*texts: str) -> str:
+        return re.sub(r"\s", "", "".join(texts))
+
+    def rest(part: str) -> str:
+        return sentence.replace(part, "", 1).strip()
+
+    a, b = map(stretch, pieces)
+    if not a and not b:
         return None
+    a, b = a or rest(b), b or rest(a)
+    whole = bare(sentence)
+    if bare(a, b) == whole:
+        return [a, b]
+    if bare(b, a) == whole:
+        return list(swapped_tails(a, b)) if keep_order else [b, a]
+    return next(([x, y] for x, y in ((a, rest(a)), (rest(b), b)) if x and y and bare(x, y) == whole), None)
+
 
-    return pd.Series([one(p, s) for p, s in zip(pieces, sentences, strict=True)])
+def repaired_pair(pieces: Column, sentence: Column, keep_order: bool = False) -> Column:
+    """repair_pair() on columns. Pieces that make up the sentence as they are stay so; null if they can't be put right."""
 
+    @F.pandas_udf(ArrayType(StringType()))
+    def repair(pieces: pd.Series, sentences: pd.Series) -> pd.Series:
+        fine = lambda pair, s: pair is not None and len(pair) == 2 and s
+        return pd.Series([repair_pair([x or "" for x in p], s, keep_order) if fine(p, s) else None for p, s in zip(pieces, sentences, strict=True)])
 
-def repaired_pair(pieces: Column, sentence: Column) -> Column:
-    """Two pieces put right so that they make up the sentence, in its order; a missing one is what the other leaves; null if that fails."""
-    plain = (F.size(pieces) == 2) & (F.array_join(pieces, " ") == sentence)
-    plain = F.coalesce(plain, F.lit(False))
-    return F.when(plain, pieces).otherwise(_repaired(F.when(~plain, pieces), F.when(~plain, sentence)))
+    plain = F.coalesce((F.size(pieces) == 2) & (F.array_join(pieces, " ") == sentence), F.lit(False))
+    return F.when(plain, pieces).otherwise(repair(F.when(~plain, pieces), F.when(~plain, sentence)))
 
 
 def from_words(words: DataFrame, keys: list[str]) -> DataFrame:

@@ -71,3 +71,26 @@ def corpus_report(flags: DataFrame, names: list[str], total: str = "rows") -> Da
 def first_failures(flags: DataFrame, keys: list[str], kind: str, n: int = 10) -> DataFrame:
     """The first failures of each kind."""
     return flags.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(*keys))).where(F.col("_k") <= n).drop("_k")
+
+
+def seek_order(rows: DataFrame, seeks: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """O3: for many seek points at once, the first `top` rows in the order after a seek: by priority, then distance of start from the point, then seq.
+
+    rows: keys, priority, start, seq; seeks: keys, seek_id, at. Of each priority the nearest rows are the `top` before the point and the `top` after it in order of time, so a seek
+    point is given its place among the rows of each priority and looks at those alone.
+    """
+    lanes = rows.select(*keys, "priority").distinct()
+    lane = [*keys, "priority"]
+    points = seeks.join(lanes, keys).select(*lane, F.col("at").alias("start"), "seek_id")
+    # rows at the point's own time count as after it
+    both = rows.select(*lane, "start", F.lit(None).cast(seeks.schema["seek_id"].dataType).alias("seek_id"), F.lit(1).alias("_row")).unionByName(points.withColumn("_row", F.lit(0)))
+    placed = both.withColumn("_n", F.coalesce(F.sum("_row").over(Window.partitionBy(*lane).orderBy("start", "_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.where("_row = 0").select(*lane, "seek_id", F.col("start").alias("at"), "_n")
+    out = None
+    for rank, span in ((F.desc("seq"), F.sequence(F.col("_n") - top + 1, F.col("_n"))), (F.asc("seq"), F.sequence(F.col("_n") + 1, F.col("_n") + top))):
+        # of rows that start together the smaller seq is nearer, from either side
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*lane).orderBy("start", rank)).cast("long"))
+        side = placed.withColumn("_r", F.explode(span)).drop("_n").join(ranked, [*lane, "_r"]).drop("_r")
+        out = side if out is None else out.unionByName(side)
+    order = Window.partitionBy(*keys, "seek_id").orderBy("priority", F.abs(F.col("start") - F.col("at")), "seq")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)

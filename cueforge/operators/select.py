@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from cueforge.functions import text as X
 from cueforge.operators import folds
+from cueforge.operators.align import repaired_pair
+from cueforge.sources.shared import written
 
 
 def first_accepted(attempts: DataFrame, keys: list[str], attempt: str = "attempt", passed: str = "passed") -> DataFrame:
@@ -138,6 +140,56 @@ def aligned(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.coalesce(whole, _aligned(F.when(several, F.col("segments")), F.when(several, F.col("translation")))).alias("pieces"))
 
 
+def bisected_groups(rows: DataFrame, proposals: DataFrame, keys: list[str], norm: float, accept: float, short: int = 2) -> DataFrame:
+    """Translations cut over their segments in two again and again, as replies propose: keys, low, high, text, decision, one row per group that is left.
+
+    rows: keys, segments (array of texts), translation; proposals: keys, low, high, cut, attempt, left, right: a reply for the segments from `low` to before `high`, cut before
+    `cut`. A reply counts if it makes up the group's text, or can be put right so (L20), and its lengths and those of the source are in proportion (L19, `decision`). Of those that count
+    the best balanced cut (L17) and then the first attempt is taken. Two segments of which one has at most `short` characters aren't cut.
+
+    The groups that can still be cut are a table that is joined with the proposals, round by round, until it is empty; each round cuts every group that has a reply, and a group
+    without one is done. `decision` is that of the cut that made the group (null: never cut); groups of several segments are those that no reply could cut.
+    """
+    group = [*keys, "low", "high"]
+    n = F.size("_texts")
+    start = rows.where((F.size("segments") > 0) & (X.trim(F.coalesce("translation", F.lit(""))) != ""))
+    open_ = start.select(*keys, F.lit(0).alias("low"), F.size("segments").alias("high"), F.col("translation").alias("text"), F.col("segments").alias("_texts"), F.lit(None).cast("string").alias("decision"))
+    open_, done = written(open_, "frontier"), []
+    may = (n > 1) & ~((n == 2) & (F.least(F.length(F.get("_texts", F.lit(0))), F.length(F.get("_texts", F.lit(1)))) <= short))
+    while True:
+        done.append(open_.where(~may).select(*group, "text", "decision"))
+        asked = open_.where(may)
+        if asked.isEmpty():
+            break
+        tried = asked.join(proposals.where((F.col("cut") > F.col("low")) & (F.col("cut") < F.col("high"))), group)
+        tried = tried.select(*asked.columns, "cut", "attempt", repaired_pair(F.array("left", "right"), F.col("text")).alias("_pair")).where("_pair is not null")
+        own = F.col("cut") - F.col("low")
+        a, b = F.array_join(F.slice("_texts", F.lit(1), own), " "), F.array_join(F.slice("_texts", own + 1, n), " ")
+        ratio = X.cross_ratio(F.length(a), F.length(F.col("_pair")[0]), F.length(b), F.length(F.col("_pair")[1]))
+        tried = tried.withColumn("_how", decision(ratio, norm, accept)).where("_how <> 'reject'").withColumn("_rank", F.array_position(X.split_candidates(F.col("_texts")), own))
+        best = tried.groupBy(*group).agg(F.min_by(F.struct("cut", "_pair", "_how"), F.struct("_rank", "attempt")).alias("b"))
+        cut = written(asked.join(best, group, "left"), "cut")
+        done.append(cut.where("b is null").select(*group, "text", "decision"))
+        halves = F.array(
+            F.struct(F.col("low").alias("low"), F.col("b.cut").alias("high"), F.col("b._pair")[0].alias("text"), F.slice("_texts", F.lit(1), F.col("b.cut") - F.col("low")).alias("_texts")),
+            F.struct(F.col("b.cut").alias("low"), F.col("high").alias("high"), F.col("b._pair")[1].alias("text"), F.slice("_texts", F.col("b.cut") - F.col("low") + 1, n).alias("_texts")),
+        )
+        parts = cut.where("b is not null").select(*keys, F.explode(halves).alias("h"), F.col("b._how").alias("decision"))
+        open_ = written(parts.select(*keys, "h.low", "h.high", "h.text", "h._texts", "decision"), "frontier")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def pieces_of(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pieces, rearranged: one text per segment out of bisected_groups(), a group's text on its first segment and the others empty; how many groups want their source rearranged."""
+    padded = F.concat(F.array("text"), F.array_repeat(F.lit(""), F.col("high") - F.col("low") - 1))
+    rows = groups.select(*keys, "low", "decision", padded.alias("_p"))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("low", "_p"))), lambda s: s["_p"]))
+    return rows.groupBy(*keys).agg(parts.alias("pieces"), F.count_if(F.col("decision") == "rearrange").alias("rearranged"))
+
+
 # --- summaries, terms and speech ---
 
 

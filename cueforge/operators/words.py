@@ -287,18 +287,50 @@ def synthesized(tokens: DataFrame, keys: list[str], start: str = "start", end: s
     return tokens.withColumns({"w_start": F.col(start) + span * (done - n) / whole, "w_end": F.col(start) + span * done / whole})
 
 
-def assign_to_segments(words: DataFrame, segments: DataFrame, keys: list[str], slack: float = 1e-6, bucket: float = 60.0) -> DataFrame:
+def assign_to_segments(words: DataFrame, segments: DataFrame, keys: list[str], slack: float = 1e-6) -> DataFrame:
     """Each word goes to the first segment that holds it; words that none holds are dropped.
 
-    An interval join: equal keys and time buckets, then the containment. A segment is listed in every bucket that it touches.
+    An interval join whose bins fit the segments: one of up to 2^k seconds is listed in the bins of that width that it touches, which are two at most, whatever its
+    length. A word is looked up once in each width that its keys' segments have. Segments without times, or that end before they start, hold nothing.
     """
-    segs = segments.withColumn("_b", F.explode(F.sequence(F.floor((F.col("seg_start") - slack) / bucket), F.floor((F.col("seg_end") + slack) / bucket))))
-    found = words.withColumn("_b", F.floor(F.col("start") / bucket)).join(segs, [*keys, "_b"])
+    a, b = F.col("seg_start") - slack, F.col("seg_end") + slack
+    level = F.greatest(F.lit(0), F.ceil(F.log2(b - a))).cast("int")
+    bin_of = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level))
+    segs = segments.where("seg_end >= seg_start").withColumn("_level", level)
+    segs = segs.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(a, F.col("_level")), bin_of(b, F.col("_level"))))))
+    levels = segs.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # a few dozen at most
+    found = words.join(levels, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
+    found = found.withColumn("_bin", bin_of(F.col("start"), F.col("_level"))).join(segs, [*keys, "_level", "_bin"])
     found = found.where((F.col("seg_start") - slack <= F.col("start")) & (F.col("end") <= F.col("seg_end") + slack))
     rest = [c for c in words.columns if c not in (*keys, "pos")]
     return found.groupBy(*keys, "pos").agg(F.min("seg_pos").alias("seg_pos"), *[F.first(c).alias(c) for c in rest])
 
 
+def with_whole_texts(segments: DataFrame, payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """Payloads (keys, text, duration) that have a text and no segment become one segment each, from 0 to their duration."""
+    alone = payloads.where(F.coalesce(F.col("text"), F.lit("")) != "").join(segments.select(*keys).distinct(), keys, "left_anti")
+    whole = {"seg_pos": F.lit(0), "seg_start": F.lit(0.0), "seg_end": F.coalesce(F.col("duration"), F.lit(0.0)), "text": X.trim(F.col("text"))}
+    return segments.unionByName(alone.select(*keys, *[v.cast(segments.schema[c].dataType).alias(c) for c, v in whole.items()]), allowMissingColumns=True)
+
+
+def reconciled(segments: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Words and text of each segment made to fit; keys name the segment. segments: keys, start, end, text; words: keys, pos, word, start, end.
+
+    A text without words gets words in proportion to their lengths (A02), words without a text give it, joined as they stand; in all cases punctuation
+    is attached to words (A01). Returns keys, text, words: an array of (pos, word, start, end), empty where there is neither.
+    """
+    has = words.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), "").alias("_joined"))
+    both = segments.join(has, keys, "left")
+    some = X.trim(F.coalesce("text", F.lit(""))) != ""
+    bare = both.where(some & F.col("_joined").isNull()).select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b"), F.posexplode(X.white_split(F.col("text"))).alias("pos", "word"))
+    made = synthesized(bare, keys, "_a", "_b").select(*keys, F.col("pos").cast("long").alias("pos"), "word", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    given = words.join(segments.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("pos").cast("long").alias("pos"), "word", "start", "end")
+    rows = attach_punctuation(given.unionByName(made), keys)
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start", "end"))).alias("words"))
+    empty = F.array().cast("array<struct<pos:bigint,word:string,start:double,end:double>>")
+    return both.join(rows, keys, "left").select(*keys, F.when(some, F.col("text")).otherwise(F.coalesce("_joined", "text", F.lit(""))).alias("text"), F.coalesce("words", empty).alias("words"))
+
+
 def gaps(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Numbers missing before a row."""
     return df.withColumn("missing", F.coalesce(F.greatest(F.col(seq) - F.lag(seq).over(Window.partitionBy(*keys).orderBy(seq)) - 1, F.lit(0)), F.lit(0)))

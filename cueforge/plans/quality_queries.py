@@ -278,6 +278,44 @@ def aligned_translations(spark, sf_dir):
     return out.select("rec_id", F.size("pieces").alias("n"), F.md5(X.single_spaces(F.array_join(F.filter("pieces", lambda x: x != ""), " "))).alias("whole_md5"))
 
 
+_RATIO = "((length(s[low + 1]) * length(r) + 1e-4) / (length(l) * length(s[high]) + 1e-7))"
+
+
+@query(
+    r"""WITH RECURSIVE w AS (SELECT conv_id AS rec_id, turn, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') AS t FROM conversations),
+    p AS (SELECT rec_id, list(t ORDER BY turn) AS s FROM w WHERE t <> '' GROUP BY rec_id),
+    g AS (SELECT rec_id, s, 0 AS low, len(s) AS high, NULL::VARCHAR AS d FROM p UNION ALL
+      SELECT rec_id, s, CASE WHEN side = 0 THEN low ELSE low + (high - low + 1) // 2 END, CASE WHEN side = 0 THEN low + (high - low + 1) // 2 ELSE high END, 'accept' FROM g, (SELECT unnest([0, 1]) AS side) WHERE high - low > 2),
+    e AS (SELECT *, string_split(array_to_string(s[low + 1:high], ' '), ' ') AS ws, greatest(1, least(len(string_split(s[low + 1], ' ')) + rec_id % 4, len(string_split(array_to_string(s[low + 1:high], ' '), ' ')) - 1)) AS j FROM g WHERE high - low <= 2),
+    c AS (SELECT *, array_to_string(ws[1:j], ' ') AS l, array_to_string(ws[j + 1:], ' ') AS r FROM e),
+    f AS (SELECT *, CASE WHEN high - low = 2 AND least(length(s[low + 1]), length(s[high])) > 2 THEN greatest(@, 1 / @) END AS ratio FROM c),
+    o AS (SELECT rec_id, low, CASE WHEN high - low = 1 THEN [s[high]] WHEN ratio < 1.5 THEN [l, r] ELSE [array_to_string(ws, ' '), ''] END AS ps, CASE WHEN ratio > 1.05 AND ratio < 1.5 THEN 2 ELSE 0 END AS re FROM f)
+    SELECT rec_id, md5(array_to_string(flatten(list(ps ORDER BY low)), '|')) AS pieces_md5, CAST(sum(re) AS BIGINT) AS rearranged FROM o GROUP BY rec_id""".replace("@", _RATIO)
+)
+def bisected_translations(spark, sf_dir):
+    """A record's translation cut over its segments as replies propose; some replies move words over the boundary, and are accepted, accepted for rearranging, or rejected."""
+    one = F.array_join(X.white_split(F.col("text")), " ")
+    rows = B.turns(spark, sf_dir).select(F.col("video").alias("rec_id"), "pos", one.alias("text")).where("text <> ''")
+    rows = rows.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("segments"))
+    # replies: every group of a halving tree is cut in the middle, pairs with up to three words moved
+    tree, level, depth = None, rows.select("rec_id", "segments", F.lit(0).alias("low"), F.size("segments").alias("high")), 0
+    deepest = rows.agg(F.coalesce(F.max(F.size("segments")), F.lit(1))).first()[0]
+    middle = F.col("low") + F.expr("(high - low + 1) div 2").cast("int")
+    while 1 << depth < deepest:
+        level = level.where("high - low > 1").withColumn("cut", middle)
+        tree = level if tree is None else tree.unionByName(level)
+        level = level.select("rec_id", "segments", F.explode(F.array(F.struct("low", F.col("cut").alias("high")), F.struct(F.col("cut").alias("low"), "high"))).alias("h")).select("rec_id", "segments", "h.low", "h.high")
+        depth += 1
+    tree = level.where("false").withColumn("cut", middle) if tree is None else tree
+    words = F.split(F.array_join(F.slice("segments", F.col("low") + 1, F.col("high") - F.col("low")), " "), " ")
+    left = F.size(F.split(F.array_join(F.slice("segments", F.col("low") + 1, F.col("cut") - F.col("low")), " "), " "))
+    moved = F.when(F.col("high") - F.col("low") == 2, (F.col("rec_id") % 4).cast("int")).otherwise(0)
+    tree = tree.select("rec_id", "low", "high", "cut", words.alias("ws"), (left + moved).alias("j")).withColumn("j", F.greatest(F.lit(1), F.least("j", F.size("ws") - 1)))
+    replies = tree.select("rec_id", "low", "high", "cut", F.lit(0).alias("attempt"), F.array_join(F.slice("ws", F.lit(1), F.col("j")), " ").alias("left"), F.array_join(F.slice("ws", F.col("j") + 1, F.size("ws")), " ").alias("right"))
+    groups = G.bisected_groups(rows.withColumn("translation", F.array_join("segments", " ")), replies, ["rec_id"], 1.05, 1.5)
+    return G.pieces_of(groups, ["rec_id"]).select("rec_id", F.md5(F.array_join("pieces", "|")).alias("pieces_md5"), "rearranged")
+
+
 # --- structuring functions over texts ---
 
 

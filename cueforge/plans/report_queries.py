@@ -115,3 +115,17 @@ def structure_invariants(spark, sf_dir):
 def corpus_report(spark, sf_dir):
     """U14, U15."""
     return R.corpus_report(C.issue_flags(cue_queries._timed(spark, sf_dir), ["video"]), ["overlaps", "leading_punct", "punct_only"])
+
+
+@query(
+    r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS ws FROM conversations), n AS (SELECT *, CAST(len(ws) AS INTEGER) AS n, CAST((len(ws) + 1) // 2 AS INTEGER) AS k FROM w WHERE len(ws) > 1)
+    SELECT conv_id, turn, 0 AS chunk, 0 AS first, k AS stop FROM n UNION ALL SELECT conv_id, turn, 1, k, n FROM n"""
+)
+def words_of_texts(spark, sf_dir):
+    """Spans of words in texts that have more than the words."""
+    ws = F.filter(X.white_split(F.col("text")), lambda x: x.rlike("[A-Za-z0-9]"))
+    rows = B.turns(spark, sf_dir).select(F.col("video").alias("conv_id"), F.col("pos").alias("turn"), ws.alias("ws")).where(F.size("ws") > 1)
+    half = F.expr("(size(ws) + 1) div 2").cast("int")
+    chunks = F.array(F.concat(F.array_join(F.slice("ws", F.lit(1), half), " "), F.lit(" 00000")), F.array_join(F.slice("ws", half + 1, F.size("ws")), " "))
+    spans = rows.select("conv_id", "turn", "ws", chunks.alias("chunks")).select("conv_id", "turn", F.posexplode(A.distributed(F.col("ws"), F.col("chunks"))).alias("chunk", "span"))
+    return spans.select("conv_id", "turn", "chunk", F.col("span.first").alias("first"), F.col("span.stop").alias("stop"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
 from cueforge.operators import ledger as U
+from cueforge.operators import reports as R
 from cueforge.operators import state as D
 from cueforge.operators import words as W
 from cueforge.sources import bindings as B
@@ -288,7 +289,7 @@ def migration_counts(spark, sf_dir):
 
 @query("SELECT url, array_to_string(list_transform(regexp_extract_all(lower(url), '(\\d+|\\D+)'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 20, '0') ELSE p END), '') AS sort_key FROM pages".replace("\\\\", "\\"))
 def natural_order(spark, sf_dir):
-    """O2, O3: keys for natural order."""
+    """O2: keys for natural order."""
     return B.table(spark, sf_dir, "pages").select("url", X.natural_key(F.col("url")).alias("sort_key"))
 
 
@@ -297,3 +298,41 @@ def sequence_gaps(spark, sf_dir):
     """Two videos of three skip numbers after every other turn."""
     rows = B.turns(spark, sf_dir).withColumn("seq", F.expr("pos + (video % 3) * (pos div 2)"))
     return W.gaps(rows, ["video"]).select("video", "seq", F.col("missing").cast("long").alias("missing"))
+
+
+_PATHS = """CASE event_id % 7 WHEN 0 THEN ['translations'] WHEN 1 THEN ['translations', 'fr'] WHEN 2 THEN ['translations', 'fr', 'a.b'] WHEN 3 THEN ['translations', 'de'] WHEN 4 THEN ['errors', event_type] WHEN 5 THEN ['errors'] ELSE ['log'] END"""
+
+
+def _path_log(spark, sf_dir):
+    """Events as writes to places of their user's document, to places within one another."""
+    kinds = [["translations"], ["translations", "fr"], ["translations", "fr", "a.b"], ["translations", "de"], ["errors"], ["errors"], ["log"]]
+    path = F.element_at(F.array(*[F.array(*map(F.lit, k)) for k in kinds]), (F.col("event_id") % 7 + 1).cast("int"))
+    path = F.when(F.col("event_id") % 7 == 4, F.array(F.lit("errors"), F.col("event_type"))).otherwise(path)
+    op = F.when(F.col("event_id") % 7 == 6, "append").when(F.col("event_id") % 35 == 5, "drop").otherwise("set")
+    e = B.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("doc"), F.col("event_id").alias("seq"), "event_type", op.alias("op"), path.alias("path"))
+    return e.select("doc", "seq", "op", "path", F.when(F.col("op") != "drop", F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("value"))
+
+
+@query(
+    "WITH w AS (SELECT user_id AS doc, event_id AS seq, CASE WHEN event_id % 7 = 6 THEN 'append' WHEN event_id % 35 = 5 THEN 'drop' ELSE 'set' END AS op, " + _PATHS + """ AS path, '"' || event_type || '"' AS value FROM events),
+    l AS (SELECT * FROM w a WHERE op <> 'drop' AND NOT EXISTS (SELECT 1 FROM w b WHERE b.doc = a.doc AND b.seq > a.seq AND (
+      (len(b.path) < len(a.path) AND a.path[1:len(b.path)] = b.path) OR (a.path = b.path AND (b.op <> 'append' OR a.op = 'set')) OR (b.op <> 'drop' AND len(b.path) > len(a.path) AND b.path[1:len(a.path)] = a.path)))),
+    g AS (SELECT doc, path, CASE WHEN op = 'append' THEN '[' || string_agg(value, ',' ORDER BY seq) || ']' ELSE min(value) END AS value FROM l GROUP BY doc, path, op)
+    SELECT doc, array_to_string(path, '/') AS path, value FROM g"""
+)
+def patched_places(spark, sf_dir):
+    """A log of writes to places within one another."""
+    return D.patched_paths(_path_log(spark, sf_dir), ["doc"]).select("doc", F.array_join("path", "/").alias("path"), "value")
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id AS seq, event_id % 3 AS priority, epoch(ts) AS t FROM events), s AS (SELECT user_id, event_id AS seek_id, epoch(ts) + 100 AS p FROM events WHERE event_id % 50 = 0),
+    o AS (SELECT s.user_id, seek_id, seq, row_number() OVER (PARTITION BY s.user_id, seek_id ORDER BY priority, abs(t - p), seq) AS place FROM s JOIN r ON s.user_id = r.user_id)
+    SELECT user_id, seek_id, seq, place FROM o WHERE place <= 5"""
+)
+def seek_orders(spark, sf_dir):
+    """O3: the five rows that come first after each of many seeks."""
+    e = B.table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = e.select("user_id", (F.col("event_id") % 3).alias("priority"), (F.col("us") / 1e6).alias("start"), F.col("event_id").alias("seq"))
+    seeks = e.where("event_id % 50 = 0").select("user_id", F.col("event_id").alias("seek_id"), (F.col("us") / 1e6 + 100).alias("at"))
+    return R.seek_order(rows, seeks, ["user_id"], 5).select("user_id", "seek_id", "seq", F.col("place").cast("long").alias("place"))

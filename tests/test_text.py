@@ -179,3 +179,18 @@ def test_clean_cue_paths(spark):
     masked, spans = X.mask_fences(F.col("t"))
     for got, want in df.select(X.clean_cue(F.col("t")), X.unmask_fences(plain(masked), spans)).collect():
         assert got == want
+
+
+@pytest.mark.parametrize("text", ["see ⟦0⟧ and [? a  ?] now", "x [? has ⟦1⟧ ?] y [! b ?] <i> !] z", "⟦1⟧ [? a ?] ⟦ [? b ?] ⟧0⟦", "[? ⟦0⟧ ?][! ⟦1⟧ !]"])
+def test_marks_of_fences_in_the_text(spark, text):
+    """What looks like a mark stays, whatever rules run between the fences."""
+    df = spark.createDataFrame([(text, "no fence ⟦0⟧")], "t string, u string")
+    masked = X.mask_fences(F.col("t"))
+    got = df.select(X.clean_cue(F.col("t")), X.sanitize_file(F.col("t")), X.unmask_fences(*masked), X.clean_cue(F.col("u"))).first()
+    assert list(got) == [text, text, text, "no fence ⟦0⟧"]
+
+
+def test_marks_before_a_closing_quote(spark):
+    said = [["He", "said", '"', "hi", "!", '"'], ['"', "a", "-", '"', "b", "!"], ["x", "!", '"', "y", '"']]
+    got = spark.createDataFrame([(t,) for t in said], "t array<string>").select(X.join_tokens(F.col("t"))).collect()
+    assert [r[0] for r in got] == ['He said "hi!"', '"a-" b !', 'x ! "y"']
