@@ -139,16 +139,7 @@ def register(name: str, check) -> None:
 
 
 #: Scenes: sanitize steps, then (check, severity); `extends` scenes come first, later rules of the same name win.
-SCENES = {
-    "translate.strict": {
-        "sanitize": ["strip_backticks", "trailing_annotation_strip", "colon_to_punctuation", "quote_strip", "leading_punct_strip"],
-        "rules": [(x, "error") for x in ("non_empty", "length_bounds", "length_ratio", "format_artifacts", "cjk_content", "trailing_annotation", "keywords")]
-        + [("question_mark", "warning"), ("output_tokens", "warning")],
-    },
-    "translate.lenient": {"extends": ["translate.strict"], "overrides": {x: {"severity": "warning"} for x in ("length_ratio", "length_bounds", "cjk_content")}},
-    "subtitle.line": {"sanitize": ["strip_backticks", "leading_punct_strip"], "rules": [("non_empty", "error")]},
-    "llm.response": {"sanitize": ["strip_backticks", "quote_strip"], "rules": [("non_empty", "error"), ("format_artifacts", "warning"), ("output_tokens", "warning")]},
-}
+SCENES = T.SCENES
 
 
 def resolve_scene(name: str, scenes: dict | None = None, _open: tuple = ()) -> dict:

@@ -92,13 +92,14 @@ def single_spaces(c: Column) -> Column:
 def attach_punctuation(c: Column) -> Column:
     """No space before a whole run of punctuation that no word or path follows; one after a comma-like mark between letters."""
     run = chars(T.ATTACHED + T.ATTACHED_CJK)
-    c = F.regexp_replace(c, rf" +([{run}]+)(?=[^{run}A-Za-z0-9_/\\\-]|$)", "$1")
-    return F.regexp_replace(c, r"(?U)(\w)([,:;!?])(?=[A-Za-z])", "$1$2 ")
+    pattern, kept = T.SPACE_BEFORE_MARKS
+    c = F.regexp_replace(c, pattern.replace("{run}", run), kept)
+    return F.regexp_replace(c, *T.MARK_BETWEEN_LETTERS)
 
 
 def dot_runs(c: Column) -> Column:
     """Two dots or more are an ellipsis, but not inside a path."""
-    return F.regexp_replace(c, r"\.{2,}(?=[^.A-Za-z0-9_/\\\-]|$)", "...")
+    return F.regexp_replace(c, *T.DOT_RUN)
 
 
 #: Rule id and expression, in the order they apply.
@@ -107,7 +108,7 @@ CUE_RULES = [
     ("C9", strip_controls), ("C8", single_spaces), ("C7", attach_punctuation), ("C5", dot_runs), ("C8", single_spaces), ("E3", trim),
 ]
 
-FENCE = r"\[\?.*?\?\]|\[!.*?!\]"
+FENCE = T.FENCE
 
 
 MARK = "⟦[0-9]+⟧"
@@ -199,12 +200,9 @@ def detect_language(c: Column) -> Column:
 
 def normalize_spacing(c: Column, lang: str = "en") -> Column:
     """L10, space family: spaces around punctuation."""
-    if lang == "fr":
-        c = F.regexp_replace(c, " +([.,])", "$1")
-        c = F.regexp_replace(c, " +([!?;:])", " $1")
-        c = F.regexp_replace(c, r"(?U)([^\s!?;:,.])([!?;])", "$1 $2")
-        return F.regexp_replace(c, r"([a-zA-Z\x{00C0}-\x{024F}])(:)", "$1 $2")
-    return F.regexp_replace(F.regexp_replace(c, r" +([.,!?);:}\]])", "$1"), r"([(\[{¡¿]) +", "$1")
+    for pattern, kept in T.FRENCH_SPACING if lang == "fr" else T.PLAIN_SPACING:
+        c = F.regexp_replace(c, pattern, kept)
+    return c
 
 
 def white_split(c: Column) -> Column:

@@ -52,7 +52,7 @@ def budget_decisions(df: DataFrame, tiers: DataFrame) -> DataFrame:
     """For each event: ok, soft_warn or deny, from the day's cost so far with this one. tiers: tier, daily_usd; events carry tier and byok (own key: always ok)."""
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     so_far = F.sum(F.greatest(F.coalesce("cost_usd", F.lit(0.0)), F.lit(0.0))).over(w)
-    rows = df.withColumn("projected", so_far).join(F.broadcast(tiers), "tier", "left")
+    rows = df.withColumn("projected", so_far).join(tiers, "tier", "left")
     verdict = F.when(F.col("byok") | F.col("daily_usd").isNull(), "ok").when(F.col("projected") >= F.col("daily_usd"), "deny").when(F.col("projected") >= WARN_SHARE * F.col("daily_usd"), "soft_warn")
     return rows.withColumn("decision", verdict.otherwise("ok"))
 

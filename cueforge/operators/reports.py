@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueforge.functions import text as X
 from cueforge.operators import cues as C
+from cueforge.sources.shared import written
 
 
 def file_languages(rows: DataFrame, keys: list[str], first: int = 20) -> DataFrame:
@@ -61,6 +62,55 @@ def structure_invariants(before: DataFrame, after: DataFrame, keys: list[str], m
     )
 
 
+def word_issues(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, kind, at, before, after: places where words or their times differ. Both: keys, pos, word, start, end.
+
+    A word's place is the number of letters and digits before it, so it is found again however texts were cut and joined. `text`: the first place of a video where the two part (a null word: nothing
+    of that place on that side); `time`: words before that place whose times differ. Words without letters or digits have no place.
+    """
+
+    def placed(d):
+        d = d.withColumn("_key", X.alnum_key(F.col("word"))).where("_key <> ''")
+        so_far = F.sum(F.length("_key")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        return d.select(*keys, F.coalesce(so_far, F.lit(0)).alias("at"), F.struct("_key", "word", "start", "end").alias("w"))
+
+    both = placed(before).withColumnRenamed("w", "a").join(placed(after).withColumnRenamed("w", "b"), [*keys, "at"], "full")
+    parted = ~F.coalesce(F.col("a._key") == F.col("b._key"), F.lit(False))
+    parts = both.withColumn("_parts", F.min(F.when(parted, F.col("at"))).over(Window.partitionBy(*keys)))
+    moved = (F.abs(F.col("a.start") - F.col("b.start")) > 1e-6) | (F.abs(F.col("a.end") - F.col("b.end")) > 1e-6)
+    kind = F.when(F.col("at") == F.col("_parts"), "text").when((F.col("_parts").isNull() | (F.col("at") < F.col("_parts"))) & F.coalesce(moved, F.lit(False)), "time")
+    return parts.withColumn("kind", kind).where("kind is not null").select(*keys, "kind", "at", F.col("a.word").alias("before"), F.col("b.word").alias("after"))
+
+
+def segment_issues(segments: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """Keys, kind, pos: segments that end before they start (`inverted`), start before the one before ends (`overlap`), or have over `most` characters and several words (`long`)."""
+    segments = segments.withColumn("_ended", F.lag("end").over(Window.partitionBy(*keys).orderBy("pos")))
+    text = X.trim(F.col("text"))
+    long = F.lit(False) if most is None else (F.length(text) > most) & (F.size(X.white_split(text)) > 1)
+    kinds = F.array(F.when(F.col("start") > F.col("end") + 1e-6, "inverted"), F.when(F.col("_ended") > F.col("start") + 1e-6, "overlap"), F.when(long, "long"))
+    return segments.select(*keys, "pos", F.explode(F.array_compact(kinds)).alias("kind")).select(*keys, "kind", "pos")
+
+
+def boundary_issues(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, kind, before, after: videos whose first start (`start`) or last end (`end`) differ."""
+    ends = lambda d, name: d.groupBy(*keys).agg(F.min_by("start", "pos").alias(f"{name}_start"), F.max_by("end", "pos").alias(f"{name}_end"))
+    both = ends(before, "a").join(ends(after, "b"), keys)
+    rows = both.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"a_{k}").alias("before"), F.col(f"b_{k}").alias("after")) for k in ("start", "end")])).alias("r"))
+    return rows.select(*keys, "r.*").where(F.abs(F.col("before") - F.col("after")) > 1e-6)
+
+
+def second_pass(df: DataFrame, keys: list[str], rules: list, columns: list[str]) -> DataFrame:
+    """Keys, pos, first, second: rows that a chain of rules (DataFrame -> DataFrame) changes when it runs over its own result; null where a pass has no such row."""
+    passes = []
+    for _ in range(2):
+        for rule in rules:
+            df = rule(df)
+        df = written(df, "pass")
+        passes.append(df.select(*keys, "pos", F.struct(*columns).alias("v")))
+    first, second = (d.withColumnRenamed("v", name) for d, name in zip(passes, ("first", "second"), strict=True))
+    return first.join(second, [*keys, "pos"], "full").where(~F.col("first").eqNullSafe(F.col("second")))
+
+
 def corpus_report(flags: DataFrame, names: list[str], total: str = "rows") -> DataFrame:
     """Each flag's count and percentage, most common first."""
     counts = flags.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c)).alias(c) for c in names])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cueforge.functions import cjk
@@ -129,3 +130,21 @@ def words_of_texts(spark, sf_dir):
     chunks = F.array(F.concat(F.array_join(F.slice("ws", F.lit(1), half), " "), F.lit(" 00000")), F.array_join(F.slice("ws", half + 1, F.size("ws")), " "))
     spans = rows.select("conv_id", "turn", "ws", chunks.alias("chunks")).select("conv_id", "turn", F.posexplode(A.distributed(F.col("ws"), F.col("chunks"))).alias("chunk", "span"))
     return spans.select("conv_id", "turn", "chunk", F.col("span.first").alias("first"), F.col("span.stop").alias("stop"))
+
+
+@query(
+    r"""WITH w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS ws FROM conversations)),
+    n AS (SELECT *, row_number() OVER v - 1 AS r, coalesce(sum(length(regexp_replace(lower(word), '[^\p{L}\p{N}]', '', 'g'))) OVER (PARTITION BY conv_id ORDER BY turn, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM w WINDOW v AS (PARTITION BY conv_id ORDER BY turn, k))
+    SELECT conv_id AS video, 'text' AS kind, CAST(o AS BIGINT) AS "at", word AS "before", 'zzzz' AS "after" FROM n WHERE conv_id % 5 = 1 AND r = 7
+    UNION ALL SELECT conv_id, 'time', CAST(o AS BIGINT), word, word FROM n WHERE conv_id % 5 IN (1, 2) AND r = 3"""
+)
+def planted_faults(spark, sf_dir):
+    """Words changed and times moved in some videos, found at their places."""
+    ws = F.filter(X.white_split(F.col("text")), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    rows = B.turns(spark, sf_dir).select("video", F.col("pos").alias("turn"), F.posexplode(ws).alias("k", "word"))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("video").orderBy("turn", "k")) - 1).withColumn("start", F.col("pos") * 0.5).withColumn("end", F.col("pos") * 0.5 + 0.4)
+    rows = rows.select("video", "pos", "word", "start", "end")
+    kind = F.col("video") % 5
+    late = F.when(kind.isin(1, 2) & (F.col("pos") == 3), 0.25).otherwise(0.0)
+    after = rows.withColumn("word", F.when((kind == 1) & (F.col("pos") == 7), "zzzz").otherwise(F.col("word"))).withColumn("start", F.col("start") + late)
+    return R.word_issues(rows, after, ["video"])

@@ -133,3 +133,26 @@ def test_bisection(spark):
     assert got[2] == (["x", "y"], 0) and got[3] == (["x y z", ""], 0) and got[4] == (["solo"], 0) and 5 not in got
     assert got[6] == (["p q", "r s"], 0)
     assert G.pieces_of(G.bisected_groups(rows.limit(0), spark.createDataFrame(replies, "k int, low int, high int, cut int, attempt int, left string, right string"), ["k"], 1.3, 3.0), ["k"]).count() == 0
+
+
+def test_invariants_find_planted_faults(spark):
+    words = "one, two three - four five six".split()
+    rows = [("v", k, w, k * 1.0, k + 0.9) for k, w in enumerate(words)]
+    schema = "video string, pos int, word string, start double, end double"
+    before = spark.createDataFrame(rows, schema)
+    found = lambda rows: sorted((r.kind, r.at, r.before, r.after) for r in R.word_issues(before, spark.createDataFrame(rows, schema), ["video"]).collect())
+    assert found(rows) == []
+    # cut and joined in another way, with other punctuation: the same places
+    assert found([("v", 10 * k, w.strip(",") + ".", k * 1.0, k + 0.9) for k, w in enumerate(words)]) == []
+    moved = [(*r[:3], r[3] + (0.5 if r[1] in (1, 5) else 0.0), r[4]) for r in rows]
+    assert found(moved) == [("time", 3, "two", "two"), ("time", 15, "five", "five")]
+    changed = [(*r[:2], "fore" if r[2] == "four" else r[2], *r[3:]) for r in moved]
+    assert found(changed) == [("text", 11, "four", "fore"), ("time", 3, "two", "two")]
+    assert found(rows[:-1]) == [("text", 19, "six", None)] and found([*rows, ("v", 9, "more", 9.0, 9.1)]) == [("text", 22, None, "more")]
+    segments = spark.createDataFrame([("v", 0, 0.0, 2.0, "a b"), ("v", 1, 1.5, 1.0, "c"), ("v", 2, 3.0, 4.0, "dd ee ff"), ("v", 3, 4.0, 5.0, "oneverylongword")], "video string, pos int, start double, end double, text string")
+    assert sorted((r.kind, r.pos) for r in R.segment_issues(segments, ["video"], 6).collect()) == [("inverted", 1), ("long", 2), ("overlap", 1)]
+    assert sorted((r.kind, r.before, r.after) for r in R.boundary_issues(segments, segments.where("pos < 3"), ["video"]).collect()) == [("end", 5.0, 4.0)]
+    halved = lambda d: d.withColumn("text", F.expr("substring(text, 1, length(text) div 2 + 1)"))
+    assert sorted((r.pos, r.first.text, r.second.text) for r in R.second_pass(segments, ["video"], [halved], ["text"]).collect()) == [(2, "dd ee", "dd "), (3, "oneveryl", "oneve")]
+    stable = lambda d: d.withColumn("text", F.upper("text"))
+    assert R.second_pass(segments, ["video"], [stable, stable], ["text"]).isEmpty()
