@@ -43,13 +43,18 @@ def tokens_of(text: str, words=None, attach: bool = True) -> list[str]:
 
 
 def join_of(tokens: list[str]) -> str:
-    """A space only between letters or digits that aren't both East Asian."""
-    out = ""
+    """A space only between letters or digits that aren't both East Asian. Tokens that are one space are the gaps between Korean words, of which each is joined by itself."""
+    words = [""]
     for token in tokens:
-        if out and token and out[-1].isalnum() and token[0].isalnum() and not (_EAST.match(out[-1]) and _EAST.match(token[0])):
-            out += " "
-        out += token
-    return unicodedata.normalize("NFC", out)
+        last = words[-1]
+        if token == " ":
+            if last:
+                words.append("")
+        elif last and token and last[-1].isalnum() and token[0].isalnum() and not (_EAST.match(last[-1]) and _EAST.match(token[0])):
+            words[-1] += " " + token
+        else:
+            words[-1] += token
+    return unicodedata.normalize("NFC", " ".join(w for w in words if w))
 
 
 def tokenize(words=None, attach: bool = True):

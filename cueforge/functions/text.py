@@ -412,15 +412,15 @@ def seconds_time(s: Column) -> Column:
     return F.translate(srt_time(F.round(s * 1000).cast("long")), ",", ".")
 
 
-def strip_prefix(c: Column, rules: dict[str, str]) -> tuple[Column, Column]:
-    """(text without the first rule's prefix that it starts with, that rule's target prefix or null); something must be left."""
-    low = F.lower(c)
-    rest, prefix = None, None
+def strip_prefix(c: Column, rules: dict[str, str] = T.EN_ZH_PREFIXES) -> tuple[Column, Column]:
+    """(the stripped text without the first rule's prefix that it starts with in any case, that rule's target prefix or null); something must be left, else the text stays as it is."""
+    bare = trim(c)
+    low = F.lower(bare)
+    rest, prefix = F.when(F.lit(False), c), F.when(F.lit(False), c)
     for source, target in rules.items():
-        hit = F.startswith(low, F.lit(source.lower())) & (trim(F.substring(c, len(source) + 1, 1 << 30)) != "")
-        left = F.ltrim(F.substring(c, len(source) + 1, 1 << 30))
-        rest = F.when(hit, left) if rest is None else rest.when(hit, left)
-        prefix = F.when(hit, target) if prefix is None else prefix.when(hit, target)
+        left = trim(F.substring(bare, len(source) + 1, 1 << 30))
+        hit = F.startswith(low, F.lit(source.lower())) & (left != "")
+        rest, prefix = rest.when(hit, left), prefix.when(hit, target)
     return rest.otherwise(c), prefix
 
 

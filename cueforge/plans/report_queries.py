@@ -28,10 +28,12 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("SELECT conv_id AS video, 'en' AS lang FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS video, CASE conv_id % 4 WHEN 0 THEN 'ko' WHEN 1 THEN 'ja' WHEN 2 THEN 'zh' ELSE 'en' END AS lang FROM conversations GROUP BY conv_id")
 def file_languages(spark, sf_dir):
-    """L03."""
-    return R.file_languages(B.turns(spark, sf_dir), ["video"])
+    """Conversations of which three in four have their letters in another script."""
+    sign = F.get(F.array(F.lit("한국어로 "), F.lit("これはかな"), F.lit("这是汉字")), (F.col("video") % 4).cast("int"))
+    rows = B.turns(spark, sf_dir).withColumn("text", F.when(F.col("video") % 4 == 3, F.col("text")).otherwise(F.regexp_replace("text", "[A-Za-z]+", sign)))
+    return R.file_languages(rows, ["video"])
 
 
 def _timed_turns(spark, sf_dir):
@@ -66,14 +68,14 @@ def repaired_pairs(spark, sf_dir):
 
 
 @query(
-    r"""WITH w AS (SELECT conv_id AS video, turn, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS word FROM conversations)
-    SELECT video, count(*) AS words, md5(string_agg(word, ' ' ORDER BY turn)) IS NOT NULL AS whole FROM w GROUP BY video"""
+    r"""WITH w AS (SELECT conv_id AS video, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM conversations))
+    SELECT video, count(*) AS words, md5(string_agg(word, ' ' ORDER BY turn, k)) AS text_md5, CAST(min(turn) AS DOUBLE) AS "start", max(turn) + 0.5::DOUBLE AS "end" FROM w GROUP BY video"""
 )
 def video_words(spark, sf_dir):
     """A video's words as one segment."""
     rows = _timed_turns(spark, sf_dir).select("video", F.explode(F.transform(X.white_split(F.col("text")), lambda t, i: F.struct((F.col("pos") * 10000 + i).alias("pos"), t.alias("word"), (F.col("pos") * 1.0).alias("start"), (F.col("pos") + 0.5).alias("end")))).alias("w")).select("video", "w.*")
     out = A.from_words(rows, ["video"])
-    return out.select("video", F.size("words").cast("long").alias("words"), F.col("text").isNotNull().alias("whole"))
+    return out.select("video", F.size("words").cast("long").alias("words"), F.md5("text").alias("text_md5"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
 
 
 @query("SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS INTEGER) AS n, true AS rejoined FROM documents".replace("\\\\", "\\"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 from cueforge.functions import tables as T
 from cueforge.functions import text as X
 from cueforge.operators import cues as C
+from cueforge.sources.shared import written
 
 #: Encodings in the order they are tried once no byte order mark tells.
 ENCODINGS = ["utf-8", "gb18030", "shift_jis", "cp1252"]
@@ -54,10 +55,17 @@ def caption_files(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFr
     return files.select("path", decode_bytes(F.col("content")).alias("content"))
 
 
+def video_list(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFrame:
+    """(video, path) of the files of a folder by name; a video's key is the name without its extension."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("video"), "path", name.alias("_name")).orderBy("_name", "path").drop("_name")
+
+
 def clean_captions(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cleaned cues of good files, issues of files that can't be repaired)."""
     cues = C.not_empty(C.clean_text(C.parse_cues(files).drop("raw")))
-    done = C.repair_times(cues, ["path"])
+    done = written(C.repair_times(cues, ["path"]), "captions")
     bad = done.where(F.size("issues") > 0)
     issues = bad.groupBy("path").agg(F.array_sort(F.flatten(F.collect_list("issues"))).alias("codes"), F.array_sort(F.collect_list("pos")).alias("cue_indices"))
     return done.join(issues.select("path"), "path", "left_anti"), issues

@@ -194,3 +194,25 @@ def test_marks_before_a_closing_quote(spark):
     said = [["He", "said", '"', "hi", "!", '"'], ['"', "a", "-", '"', "b", "!"], ["x", "!", '"', "y", '"']]
     got = spark.createDataFrame([(t,) for t in said], "t array<string>").select(X.join_tokens(F.col("t"))).collect()
     assert [r[0] for r in got] == ['He said "hi!"', '"a-" b !', 'x ! "y"']
+
+
+def test_english_openings_in_chinese(spark):
+    said = ["Okay. So it goes", " ok... fine", "OK, ", "um,what", "Uh, huh", "okay then", None]
+    rest, prefix = X.strip_prefix(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in said], "t string").select(rest, prefix).collect()
+    assert [tuple(r) for r in got] == [("So it goes", "好的。"), ("fine", "好的。"), ("OK, ", None), ("what", "嗯，"), ("huh", "呃，"), ("okay then", None), (None, None)]
+
+
+def test_east_asian_joins():
+    from cueforge.functions import cjk
+
+    assert cjk.join_of(["저", "는", " ", "학교", "에", " ", "갔", "다", "."]) == "저는 학교에 갔다."
+    assert cjk.join_of(["学", "习", "Python", "3", "编程"]) == "学习 Python 3 编程" and cjk.join_of([]) == "" and cjk.join_of([" ", "a", " "]) == "a"
+
+
+def test_video_list(spark, tmp_path):
+    from cueforge.sources import files
+
+    for name in ("b.v2.srt", "a.srt", "c.txt", ".srt"):
+        (tmp_path / name).write_text("x")
+    assert [r.video for r in files.video_list(spark, str(tmp_path)).collect() if r.video] == ["a", "b.v2"]
