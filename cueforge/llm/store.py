@@ -53,14 +53,17 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """(kept, paths): kept(df, name) works as stored(); what it stored, and all other folders put in the list, goes when the block ends."""
+    """(kept, paths): kept(df, name) works as stored(); what it stored, and all other folders put in the list, goes when the block ends, in whatever way."""
     paths = []
 
     def kept(df, name):
-        found, path = stored_at(df, name)
+        path = new_path(spark, name)
         paths.append(path)
-        return found
-
-    yield kept, paths
-    for path in paths:
-        discard(spark, path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield kept, paths
+    finally:
+        for path in paths:
+            discard(spark, path)
