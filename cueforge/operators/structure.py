@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cueforge.functions import tables as T
 from cueforge.functions import text as X
 from cueforge.operators import folds
+from cueforge.sources.shared import written
 
 
 def token_rows(segments: DataFrame, keys: list[str], text: str = "text", lang: str = "en") -> DataFrame:
@@ -242,7 +243,8 @@ def by_language(lang: Column, backends: dict) -> Column:
 def merged_records(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Q16: neighbours of a video merge while a + 1 + b is at most `most`; the second one's segments aren't kept. A null text counts as empty."""
     text = F.coalesce("src_text", F.lit(""))
-    rows = folds.packed(df, keys, F.length(text), folds.Packing(most=most))
+    # records are costly to make and read twice
+    rows = folds.packed(written(df, "records"), keys, F.length(text), folds.Packing(most=most))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))), lambda s: s["text"])
     first = {c: F.min_by(c, "pos") for c in df.columns if c not in (*keys, "pos")} | {"src_text": F.array_join(parts, " "), "end": F.max_by("end", "pos")}
     return rows.groupBy(*keys, "_group").agg(F.min("pos").alias("pos"), *[v.alias(c) for c, v in first.items()]).select(*df.columns)
