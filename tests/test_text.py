@@ -216,3 +216,13 @@ def test_video_list(spark, tmp_path):
     for name in ("b.v2.srt", "a.srt", "c.txt", ".srt"):
         (tmp_path / name).write_text("x")
     assert [r.video for r in files.video_list(spark, str(tmp_path)).collect() if r.video] == ["a", "b.v2"]
+
+
+def test_joined_lines_are_a_step(spark):
+    content = "1\n00:00:01,000 --> 00:00:02,000\none\ntwo  x\n\n2\n00:00:03,000 --> 00:00:04,000\nplain\n"
+    parsed = C.parse_cues(spark.createDataFrame([("f", content)], "path string, content string"))
+    cleaned = C.clean_text(parsed.drop("raw"), steps="steps")
+    got = {r.pos: [(x.rule_id, x.before, x.after) for x in r.steps] for r in C.with_joined_lines(parsed, cleaned, ["path"]).collect()}
+    assert got == {0: [("E2", "one\ntwo  x", "one two  x"), ("C8", "one two  x", "one two x")], 1: []}
+    counts = C.rule_counts(C.with_joined_lines(parsed, cleaned, ["path"]), ["path"]).collect()
+    assert sorted((r.rule_id, r.n) for r in counts) == [("C8", 1), ("E2", 1)]
