@@ -94,7 +94,7 @@ def variant_keys(spark, sf_dir):
     r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, regexp_replace(regexp_replace('<think>' || event_type || '</think> ```' || props || '```', '<think>.*?</think>', '', 'g'), '^\s*`+|`+\s*$', '', 'g') AS cleaned FROM events"""
 )
 def reply_parsing(spark, sf_dir):
-    """Cleaned replies and their JSON span."""
+    """Cleaned replies and their JSON span."""
     reply = F.concat(F.lit("<think>"), "event_type", F.lit("</think> ```"), "props", F.lit("```"))
     cleaned = X.clean_reply(reply)
     return B.table(spark, sf_dir, "events").select("event_id", F.get_json_object(X.json_span(cleaned), "$.k").alias("k"), cleaned.alias("cleaned"))
@@ -207,7 +207,7 @@ def translation_routes(spark, sf_dir):
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def pending_work(spark, sf_dir):
-    """Rows without a result yet."""
+    """Rows without a result yet."""
     done = B.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return B.table(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left_anti")
 
@@ -272,7 +272,7 @@ def speech_plan(spark, sf_dir):
     r"""WITH p AS (SELECT conv_id AS rec_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id) SELECT rec_id, CAST(len(texts) AS INTEGER) AS n, md5(array_to_string(list_filter(string_split_regex(array_to_string(texts, ' '), '\s+'), lambda x: x <> ''), ' ')) AS whole_md5 FROM p"""
 )
 def aligned_translations(spark, sf_dir):
-    """A record's translation is cut over its segments; joined again it is the same text."""
+    """A record's translation is cut over its segments; joined again it is the same text."""
     rows = B.turns(spark, sf_dir).groupBy(F.col("video").alias("rec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("segments"))
     out = G.aligned(rows.withColumn("translation", F.array_join("segments", " ")), "rec_id")
     return out.select("rec_id", F.size("pieces").alias("n"), F.md5(X.single_spaces(F.array_join(F.filter("pieces", lambda x: x != ""), " "))).alias("whole_md5"))
@@ -365,7 +365,7 @@ _RECORD_TOKENS = cue_queries._TOKENS.format(x="text")
     SELECT video, min(pos) AS pos, md5(string_agg(t, ' ' ORDER BY pos)) AS text_md5, CAST(min(a) AS DOUBLE) AS "start", CAST(arg_max(z, pos) AS DOUBLE) AS "end" FROM f GROUP BY video, g"""
 )
 def merged_records(spark, sf_dir):
-    """Q12, Q15, Q16: sentences as records, neighbours merged up to 120 characters."""
+    """Q12, Q16: sentences as records, neighbours merged up to 120 characters."""
     rows = B.turns(spark, sf_dir).withColumns({"start": F.col("pos") * 2.0, "end": F.col("pos") * 2.0 + 1.5})
     tokens = S.token_rows(rows, ["video"])
     recs = S.records(S.with_groups(tokens, ["video"], S.ends_sentence(F.col("token"))), ["video"])

@@ -80,7 +80,7 @@ def video_words(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS INTEGER) AS n, true AS rejoined FROM documents".replace("\\\\", "\\"))
 def east_asian_tokens(spark, sf_dir):
-    """The East Asian tokenizer keeps every character but white space."""
+    """The East Asian tokenizer keeps every character but white space."""
     docs = B.table(spark, sf_dir, "documents")
     tokens = cjk.tokenize()(F.col("text"))
     bare = lambda c: F.regexp_replace(c, r"(?U)\s", "")

@@ -153,7 +153,7 @@ def hydrated_records(spark, sf_dir):
     SELECT video, step, max(CASE WHEN old IS NULL OR old <> now THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY ord) = 1 AS stale FROM s"""
 )
 def stale_steps(spark, sf_dir):
-    """D04, D07."""
+    """Steps of videos from the first whose fingerprint differs."""
     docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video"), "source", F.posexplode(F.array(*[F.lit(s) for s in D.STEPS])).alias("k", "step"))
     value = lambda c: X.short_hash(F.concat(c, F.col("step")))
     now = docs.select("video", "step", value(F.when(F.col("video") % 11 == F.col("k") + 1, "new").otherwise(F.col("source"))).alias("value"))
@@ -172,7 +172,7 @@ def valid_outputs(spark, sf_dir):
 
 @query("SELECT d.doc_id, min(b.doc_id) AS first_doc FROM documents d JOIN documents b ON d.text = b.text WHERE b.source = 'src0' GROUP BY d.doc_id")
 def cache_hits(spark, sf_dir):
-    """Texts that a cache of one source's texts holds."""
+    """Texts that a cache of one source's texts holds."""
     docs = B.table(spark, sf_dir, "documents")
     cache = docs.where("source = 'src0'").groupBy("text").agg(F.min("doc_id").alias("first_doc"))
     return D.cached(docs.select("doc_id", "text"), cache)[0].select("doc_id", "first_doc")
@@ -203,7 +203,7 @@ def upgraded_documents(spark, sf_dir):
     SELECT video, row_number() OVER (PARTITION BY video ORDER BY turn, i) - 1 AS pos, word, round(s + (e - s) / n * i + 1e-7, 5) AS "start", round(CASE WHEN i = n - 1 THEN e ELSE s + (e - s) / n * (i + 1) END + 1e-7, 5) AS "end", role AS speaker FROM w"""
 )
 def asr_words(spark, sf_dir):
-    """Conversations as recognition dumps without words, read as words."""
+    """Conversations as recognition dumps without words, read as words."""
     turns = B.turns(spark, sf_dir).select("video", "pos", F.struct((F.col("pos") * 2.0).alias("start"), (F.col("pos") * 2.0 + 1.5).alias("end"), "text", "speaker").alias("s"))
     docs = turns.groupBy("video").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("segments"))).alias("content"))
     out = W.usable(S.asr_words(docs))
@@ -225,7 +225,7 @@ def manifests(spark, sf_dir):
     SELECT path, CASE page_id % 3 WHEN 0 THEN 'subs' WHEN 1 THEN 'audio' ELSE 'json' END AS folder, CAST(page_id AS VARCHAR) AS ident, CASE page_id % 2 WHEN 0 THEN 'en' ELSE 'fr' END AS lang_tail, regexp_extract(url, '//([^/]*)', 1) AS "key", CASE page_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'audio' ELSE 'whisperx' END AS kind FROM p"""
 )
 def workspace_files(spark, sf_dir):
-    """What the names of files tell."""
+    """What the names of files tell."""
     k, lang = F.col("page_id") % 3, F.when(F.col("page_id") % 2 == 0, "en").otherwise("fr")
     folder = F.when(k == 0, "subs").when(k == 1, "audio").otherwise("json")
     tail = F.when(k == 0, ".srt").when(k == 1, ".mp3").otherwise(".json")

@@ -107,7 +107,7 @@ def stream_gaps(spark, sf_dir):
 
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events WHERE event_type LIKE 'c%' GROUP BY event_type")
 def stream_events(spark, sf_dir):
-    """A feed that sends everything twice, filtered and without repeats."""
+    """A feed that sends everything twice, filtered and without repeats."""
     e = B.table(spark, sf_dir, "events").select("event_id", "ts", "event_type").where("event_type like 'c%'")
     # a repeat can be as late as the feed is long, and files come in any order
     at = F.col("ts").cast("timestamp").cast("long")
