@@ -39,7 +39,7 @@ MARK = "▁"
 SLICE_BYTES = 2 << 20
 #: Bytes whose ends are in the dictionaries together.
 STRETCH = 1 << 13
-KNOWN_WORDS, KNOWN_BYTES = 400_000, 32 << 20
+KNOWN_WORDS, KNOWN_BYTES = 800_000, 64 << 20
 #: A run of spaces and what follows it. No piece goes on after a space, so these encode each by itself.
 _WORDS = re.compile(" +[^ ]*")
 
@@ -166,8 +166,8 @@ class Aligned:
         told[np.arange(len(self.b)) + np.repeat(self.cut_a, size_b)] = 3 * self.b.astype(np.int64) + sign_b
         bounds, sign = self.first_a + self.first_b, self.signs.__getitem__
         out = []
-        for k in range(len(self.n_a)):
-            text = "".join(map(sign, told[bounds[k] : bounds[k + 1]].tolist()))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            text = "".join(map(sign, told[a:b].tolist()))
             out.append(hashlib.sha256(text[:-1].encode()).hexdigest() if text else "")
         return out
 
