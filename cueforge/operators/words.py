@@ -251,10 +251,10 @@ def word_stats(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def step_deltas(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Words and untimed words after each rule, and the change by it."""
+    """Words and untimed words after each rule, and the change by it. What a rule leaves is written, so that each runs once."""
     out, now = None, df
     for k, (name, rule) in enumerate([("raw", lambda d: d), *steps(keys)]):
-        now = rule(now)
+        now = written(rule(now), "step")
         row = now.agg(F.count("*").alias("words"), F.count_if(F.col("start").isNull()).alias("untimed")).select(F.lit(k).alias("step"), F.lit(name).alias("rule"), "words", "untimed")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("change", F.col("words") - F.lag("words").over(Window.orderBy("step")))
