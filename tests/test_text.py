@@ -226,3 +226,16 @@ def test_joined_lines_are_a_step(spark):
     assert got == {0: [("E2", "one\ntwo  x", "one two  x"), ("C8", "one two  x", "one two x")], 1: []}
     counts = C.rule_counts(C.with_joined_lines(parsed, cleaned, ["path"]), ["path"]).collect()
     assert sorted((r.rule_id, r.n) for r in counts) == [("C8", 1), ("E2", 1)]
+
+
+def test_traced_rules_run_once(spark):
+    """A filter on the steps, such as explode() brings, stays above the rules; fenced and marked texts are traced as they are shown."""
+    rows = spark.createDataFrame([("x , [? a , b ?] ,  y",), ("⟦0⟧ , z",), (None,), ("plain",)], "text string")
+    found = C.clean_text(rows, steps="steps").select("text", F.explode("steps").alias("s"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
+    got = sorted((r.text, r.s.rule_id, r.s.before, r.s.after) for r in found.collect())
+    assert got == [
+        ("x, [? a , b ?], y", "C7", "x , [? a , b ?] , y", "x, [? a , b ?], y"), ("x, [? a , b ?], y", "C8", "x , [? a , b ?] ,  y", "x , [? a , b ?] , y"),
+        ("⟦0⟧, z", "C7", "⟦0⟧ , z", "⟦0⟧, z"),
+    ]
