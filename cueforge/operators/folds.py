@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,48 @@ def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
     return df.join(other, on, how).drop(*[f"__{k}" for k in keys])
 
 
+#: Rows of whole videos that are folded together.
+TOGETHER = 1 << 16
+
+
+def in_order(df: DataFrame, keys: list[str], *steps: Callable[[pa.Table], pa.Table], order: str = "pos") -> DataFrame:
+    """The rows that the steps leave of many whole videos at a time, in order; `_new` marks the first row of each and must stay with it. Columns keep their types.
+
+    One pass over sorted partitions: the rows before are computed once, and no group of its own is handed over for a video.
+    """
+    rows = df.withColumn("_new", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1)
+
+    def run(batches):
+        waiting, size = [], 0
+
+        def folded():
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            for step in steps:
+                table = step(table)
+            return table.combine_chunks().to_batches()
+
+        for batch in batches:
+            begins = np.flatnonzero(batch.column(batch.schema.get_field_index("_new")).to_numpy(zero_copy_only=False))
+            if size >= TOGETHER and len(begins):
+                # all before the last video that begins here is whole
+                cut = int(begins[-1])
+                if cut:
+                    waiting.append(batch.slice(0, cut))
+                yield from folded()
+                waiting, size, batch = [], 0, batch.slice(cut)
+            waiting.append(batch)
+            size += batch.num_rows
+        if size:
+            yield from folded()
+
+    return rows.mapInArrow(run, rows.schema).drop("_new")
+
+
+def begins(rows: pa.Table) -> np.ndarray:
+    """The places where videos begin in a step of in_order()."""
+    return np.flatnonzero(rows.column("_new").to_numpy())
+
+
 def earlier(keys: list[str], by: str):
     """All rows of the key before this one."""
     return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,21 @@ def fill_gaps(start, end, n, following=np.inf, letters=1e-7, timed=0.0, filled=0
     letters = letters + np.append(0, np.cumsum(n))
     timed = timed + np.append(0.0, np.cumsum(np.where(bare, 0.0, end - start)))
     slope, edge = 1.0, np.diff(np.concatenate([[False], bare, [False]]).astype(np.int8))
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        limit = start[b] if b < len(start) else following
-        now, k = end[a - 1] if a else 0.0, a
+    begins, over = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # the words beside a gap are timed, so no other gap moves the times that it goes by
+    now_of = np.where(begins > 0, end[begins - 1], 0.0).tolist()
+    limit_of = np.append(start, following)[over].tolist()
+    gaps_ = zip(begins.tolist(), over.tolist(), now_of, limit_of, letters[begins].tolist(), timed[begins].tolist(), n[begins].tolist(), strict=True)
+    for a, b, now, limit, letters_a, timed_a, n_a in gaps_:
+        if b == a + 1 and abs(now - limit) >= TOUCH:
+            # one word, as below
+            at = min(now + n_a * ((timed_a + filled) / letters_a), limit)
+            start[a], end[a] = now, at
+            filled += at - now
+            if at < limit:
+                slope += slope / letters_a * n_a
+            continue
+        k = a
         if abs(now - limit) >= TOUCH:
             own = np.cumsum(n[a:b])
             at = now + own * ((timed[a] + filled) / letters[a])
@@ -79,11 +93,28 @@ def _fill(rows: pd.DataFrame) -> tuple[pd.DataFrame, tuple[float, float]]:
     return rows.assign(start=start, end=end, score=np.where(bare, 0.0, rows["score"].to_numpy(np.float64, na_value=np.nan))), found
 
 
+def _fill_all(rows: pa.Table) -> pa.Table:
+    """W2 on many videos."""
+    first = folds.begins(rows)
+    start, end, score = (rows.column(c).to_numpy().astype(np.float64) for c in ("start", "end", "score"))
+    n = pc.utf8_length(rows.column("word")).to_numpy().astype(np.int64)
+    untimed = rows.column("start").is_null().to_numpy()
+    gap = np.add.reduceat(untimed, first, dtype=np.int64) > 0
+    bounds = np.append(first, len(n))
+    changed = np.repeat(gap, np.diff(bounds))
+    score[changed & np.isnan(start)] = 0.0
+    for a, b in zip(bounds[:-1][gap].tolist(), bounds[1:][gap].tolist(), strict=True):
+        fill_gaps(start[a:b], end[a:b], n[a:b])
+    for name, done in (("start", start), ("end", end), ("score", score)):
+        at = rows.schema.get_field_index(name)
+        own = pa.chunked_array([pa.array(done, rows.schema.field(at).type, mask=np.isnan(done))])
+        rows = rows.set_column(at, rows.schema.field(at), pc.if_else(pa.array(changed), own, rows.column(at)))
+    return rows
+
+
 def fill_times(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Missing times from the running rate of characters. Videos without an untimed word skip the sequential part."""
-    df = df.withColumn("_gap", F.max(F.col("start").isNull()).over(Window.partitionBy(*keys)))
-    rows = df.where("_gap").drop("_gap")
-    return df.where("not _gap").drop("_gap").unionByName(rows.groupBy(*keys).applyInPandas(lambda pdf: _fill(pdf)[0], rows.schema))
+    """Missing times from the running rate of characters; videos without an untimed word stay as they are."""
+    return folds.in_order(df, keys, _fill_all)
 
 
 def fill_times_long(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,15 +161,23 @@ def fill_times_long(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def attach_ascii(df: DataFrame, keys: list[str]) -> DataFrame:
     """Words of ASCII punctuation join the word before and give it their end."""
-    w = _by(keys)
-    alone = _alone() & (F.row_number().over(w) > 1)
-    df = df.withColumn("_g", F.sum(F.when(alone, 0).otherwise(1)).over(w))
-    rest = [c for c in df.columns if c not in (*keys, "pos", "word", "end", "_g")]
-    part = F.struct("pos", "word")
-    return df.groupBy(*keys, "_g").agg(
-        F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["word"]), "").alias("word"),
-        F.max_by("end", "pos").alias("end"), *[F.min_by(c, "pos").alias(c) for c in rest],
-    ).drop("_g").select(*[c for c in df.columns if c != "_g"])
+    return folds.in_order(df.withColumn("_alone", _alone()), keys, _attach_all).drop("_alone")
+
+
+def _attach_all(rows: pa.Table) -> pa.Table:
+    """W5 on many videos; `_alone`: whether a word is of ASCII punctuation."""
+    alone = rows.column("_alone").to_numpy(zero_copy_only=False).astype(bool)
+    alone[folds.begins(rows)] = False
+    if not alone.any():
+        return rows
+    head = np.flatnonzero(~alone)
+    bounds = pa.array(np.append(head, len(alone)), pa.int32())
+    words = pc.binary_join(pa.ListArray.from_arrays(bounds, pc.fill_null(rows.column("word").combine_chunks(), "")), "")
+    ends = rows.column("end").take(pa.array(np.append(head[1:], len(alone)) - 1))
+    rows = rows.take(pa.array(head))
+    for name, column in (("word", words), ("end", ends)):
+        rows = rows.set_column(rows.schema.get_field_index(name), rows.schema.field(name), column)
+    return rows
 
 
 def kept_once(same: np.ndarray, size: int) -> np.ndarray:
@@ -161,20 +200,20 @@ def kept_once(same: np.ndarray, size: int) -> np.ndarray:
 
 
 def collapse_repeats(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """A pattern of `size` words repeated 4 times or more stays once. Only videos with a long enough run of equal words at that distance go through Python."""
-    w = _by(keys)
-    same = F.coalesce(F.col("word") == F.lag("word", size).over(w), F.lit(False))
-    df = df.withColumn("_same", same).withColumn("_island", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(w))
-    run = F.count_if(F.col("_same")).over(Window.partitionBy(*keys, "_island"))
-    df = df.withColumn("_run", run).withColumn("_most", F.max("_run").over(Window.partitionBy(*keys))).drop("_island", "_run")
-    rows = df.where(F.col("_most") >= size * (REPEATS - 1)).drop("_most")
+    """A pattern of `size` words repeated 4 times or more stays once."""
+    return folds.in_order(df, keys, lambda rows: _collapse_all(rows, size))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pdf[kept_once(pdf["_same"].to_numpy(bool), size)]
 
-    done = rows.groupBy(*keys).applyInPandas(fold, rows.schema)
-    return df.where(F.col("_most") < size * (REPEATS - 1)).drop("_most").unionByName(done).drop("_same")
+def _collapse_all(rows: pa.Table, size: int) -> pa.Table:
+    """W3 on many videos. The first words of each equal nothing before them, so no run goes over its end."""
+    word = rows.column("word")
+    same = np.zeros(len(word), bool)
+    same[size:] = pc.fill_null(pc.equal(word[size:], word[: max(len(word) - size, 0)]), False).to_numpy()
+    first = folds.begins(rows)
+    for k in range(size):
+        same[np.minimum(first + k, np.append(first[1:], len(same)) - 1)] = False
+    keep = kept_once(same, size)
+    return rows if keep.all() else rows.filter(pa.array(keep))
 
 
 def _no_repeat_across(size: int):
@@ -215,11 +254,16 @@ def steps(keys: list[str]):
     return [(name, lambda d, rule=rule: rule(d, keys)) for name, rule, _ in RULES]
 
 
+def attached_once(df: DataFrame, keys: list[str], *before) -> DataFrame:
+    """W5, W3, W4 and W-FIN in one pass over the rows in order, after the steps `before`."""
+    repeats = [lambda rows, size=size: _collapse_all(rows, size) for size in (2, 3)]
+    return finished(shorten_long(folds.in_order(df.withColumn("_alone", _alone()), keys, *before, _attach_all, *repeats).drop("_alone")))
+
+
 def clean_words(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All word rules. Videos of more than folds.CHUNK positions are cut into pieces, rule by rule, and written after each."""
+    """All word rules, in one pass. Videos of more than folds.CHUNK positions are cut into pieces, rule by rule, and written after each."""
     short, long = folds.split_long(df, keys)
-    for _, rule in steps(keys):
-        short = rule(short)
+    short = attached_once(drop_untimed_repeats(short, keys), keys, _fill_all)
     if long is None:
         return short
     for name, rule, fresh in RULES:

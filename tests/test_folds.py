@@ -130,3 +130,15 @@ def test_records_and_summaries_of_long_videos(spark, monkeypatch):
     assert all(len(r[2]) <= 60 for r in whole[0]) and all(r[5] >= 20 for r in whole[1])
     monkeypatch.setattr(folds, "CHUNK", 25)
     assert (rounded(S.merged_records(records, ["video"], 60)), rounded(G.summary_windows(df, ["video"], 20, 50))) == whole
+
+
+def test_word_rules_in_one_pass(spark):
+    """Short videos go through all word rules in one pass over their rows, with the same result as rule by rule; rows of many videos are folded together."""
+    rows = [(v if v else None, *r[1:]) for v in range(40) for r in word_rows(v, 60) if r[0]]
+    df = spark.createDataFrame(rows, "video long, pos long, word string, start double, end double, score double")
+    fused = W.clean_words(df, ["video"])
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan
+    for _, rule in W.steps(["video"]):
+        df = rule(df)
+    assert rounded(fused) == rounded(df) and 0 < df.count() < len(rows)
