@@ -36,16 +36,17 @@ from .bpe import Bpe, public_path
 from .store import scratch, stored
 
 MARK = "▁"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes whose ends are in the dictionaries together.
 STRETCH = 1 << 13
-KNOWN_WORDS, KNOWN_BYTES = 800_000, 64 << 20
+#: Different words a worker keeps between slices, and their characters.
+KNOWN_WORDS, KNOWN_BYTES = 200_000, 16 << 20
 #: A run of spaces and what follows it. No piece goes on after a space, so these encode each by itself.
 _WORDS = re.compile(" +[^ ]*")
 
 
 class Pieces:
-    """SentencePiece ids of whole texts; different words are encoded once and kept."""
+    """SentencePiece ids of whole texts; different words are encoded once and kept, the ones that come again longest."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -63,8 +64,21 @@ class Pieces:
         self.known: dict[str, int] = {}
         self.same = np.zeros(0, bool)
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int32)  # calls of encode() that a word was in
         self.bytes = 0
 
+    def keep_frequent(self):
+        """Words of one call only go, half of those known at least; what is left has to come again to stay the next time."""
+        keep = W.most_seen(self.seen, KNOWN_WORDS // 2)
+        words = list(itertools.compress(self.known, keep))
+        if sum(map(len, words)) > KNOWN_BYTES // 2:
+            return self.forget()
+        starts, lengths = self.ends[:-1][keep], np.diff(self.ends)[keep]
+        self.ids, self.ends = self.ids[W.ragged(starts, lengths)], np.append(0, np.cumsum(lengths))
+        self.same, self.seen = self.same[keep], self.seen[keep] // 2
+        self.known = dict(zip(words, range(len(words)), strict=True))
+        self.bytes = sum(map(len, words))
+
     def learn(self, words: set[str]):
         words = list(words)
         # the model puts the first space there itself
@@ -75,6 +89,7 @@ class Pieces:
         else:
             same = [b"".join(map(raw, ids)) == word.encode() for word, ids in zip(words, found, strict=True)]
         self.same = np.append(self.same, same)
+        self.seen = np.append(self.seen, np.zeros(len(words), np.int32))
         self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in found]))
         self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
@@ -83,12 +98,13 @@ class Pieces:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has, whether they give it back). Each text begins with a space."""
         if len(self.known) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
-            self.forget()
+            self.keep_frequent()
         split = [_WORDS.findall(t) for t in texts]
         found = list(itertools.chain.from_iterable(split))
         if fresh := set(found) - self.known.keys():
             self.learn(fresh)
         at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        self.seen += W.marked(at, len(self.seen))
         lengths = self.ends[at + 1] - self.ends[at]
         bounds = np.append(0, np.cumsum([len(ws) for ws in split]))
         ends, wrong = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(~self.same[at]))

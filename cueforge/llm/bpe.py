@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 
 import numpy as np
@@ -28,7 +29,7 @@ from . import words as W
 # Fixed value: the pattern of byte-level pre-tokenization.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces a worker keeps between batches, and their bytes.
-KNOWN_PIECES, KNOWN_BYTES = 400_000, 32 << 20
+KNOWN_PIECES, KNOWN_BYTES = 150_000, 16 << 20
 #: Bytes from which a piece merges by rank instead of in rounds with the others.
 LONG = 200
 
@@ -69,8 +70,23 @@ class Bpe:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int32)  # calls of encode() that a piece was in
         self.used = self.bytes = 0
 
+    def keep_frequent(self):
+        """Pieces of one call only go, half of those known at least; what is left has to come again to stay the next time."""
+        n = len(self.index)
+        keep = W.most_seen(self.seen[:n], KNOWN_PIECES // 2)
+        pieces, seen = list(itertools.compress(self.index, keep)), self.seen[:n][keep] // 2
+        size = sum(len(p.encode()) for p in pieces)
+        lengths = np.diff(self.ends[:n], prepend=0)
+        starts, lengths = (self.ends[:n] - lengths)[keep], lengths[keep]
+        ids = self.ids[W.ragged(starts, lengths)]
+        self.forget()
+        if size <= KNOWN_BYTES // 2:
+            self.add(pieces, ids, lengths, size)
+            self.seen[: len(pieces)] = seen
+
     def ranks_of(self, left, right):
         """Rank of each pair; len(self.merged) where it merges never."""
         keys = left << 32 | right
@@ -175,12 +191,17 @@ class Bpe:
             ids, counts = np.concatenate([ids, more]), np.concatenate([counts, more_counts])
         else:
             ids, counts = self.merge(raw)
-        self.bytes += sum(map(len, raw))
+        self.add(pieces, ids, counts, sum(map(len, raw)))
+
+    def add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray, size: int):
+        """Pieces of `size` bytes become known, with their ids one after another."""
+        self.bytes += size
         n, k = len(self.index), len(pieces)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
         if n + k > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), k), np.int64)])
+            self.seen = np.concatenate([self.seen, np.zeros(len(self.ends) - len(self.seen), np.int32)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.ends[n : n + k] = self.used + np.cumsum(counts)
         self.used += len(ids)
@@ -189,7 +210,7 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.index) > KNOWN_PIECES or self.bytes > KNOWN_BYTES:
-            self.forget()
+            self.keep_frequent()
         found, sizes, specials = [], [], []
         for text in texts:
             before = len(found)
@@ -207,6 +228,8 @@ class Bpe:
         index = self.index
         self.learn([p for p in dict.fromkeys(found) if p and p not in index])
         at = np.fromiter(map(index.get, found, [0] * len(found)), np.int64, len(found))
+        if len(index):
+            self.seen += W.marked(at, len(self.seen))
         if not len(index):
             lengths, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         else:

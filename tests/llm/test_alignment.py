@@ -110,3 +110,18 @@ def test_odd_rows(spark):
     assert got == [(0, 2, 6), (1, 0, 0), (1, 2, 6), (1, 2, 6)]
     assert alignment.scored(df.limit(0), A, B).count() == 0
     assert alignment.pair_counts(df.where("text is null"), A, B).count() == 0
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(alignment, "KNOWN_WORDS", 6)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 6)
+    pieces, coder = alignment.Pieces(B), bpe.Bpe(A)
+    whole = Tokenizer.from_file(A)
+    for k in range(12):
+        text = f" often again x{k} y{k} z{k}"
+        fresh = alignment.Pieces(B).encode([text])
+        assert all((a == b).all() for a, b in zip(pieces.encode([text]), fresh, strict=True))
+        assert coder.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+        if k:
+            assert {" often", " again"} <= pieces.known.keys() and {" often", " again"} <= coder.index.keys()
+        assert len(pieces.known) <= 12 and len(coder.index) <= 16
