@@ -1,16 +1,18 @@
 """Texts aligned with word times, and splits of a sentence put right.
 
-Where the letters and digits of a sentence's chunks are those of its words, words are dealt to chunks by cumulative
-length, natively. Otherwise each chunk is looked for from where the one before ended: as it is, without outer
-punctuation, whatever the case, and by letters and digits alone.
+Where a sentence's chunks are its words with single spaces between, the words are counted off. Otherwise each chunk is
+looked for from where the one before ended: as it is, without outer punctuation, whatever the case, and by letters and
+digits alone.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -27,6 +29,17 @@ def _letters(text: str) -> str:
 _OUTER = re.compile(rf"^[\s{X.chars(X.T.ALL_PUNCT)}]+|[\s{X.chars(X.T.ALL_PUNCT)}]+$")
 
 
+def _word_end(text: str, form: str, at: int) -> int:
+    """Where `form` ends in the text, from `at` on, with no letter or digit beside it; -1 if it isn't there."""
+    k = text.find(form, at)
+    while k >= 0:
+        end = k + len(form)
+        if not (k and text[k - 1].isalnum()) and not (end < len(text) and text[end].isalnum()):
+            return end
+        k = text.find(form, k + 1)
+    return -1
+
+
 def find_span(words: list[str], text: str, start: int = 0) -> tuple[int, int]:
     """The words from `start` on that come in the text one after another, as (first, stop); (start, start) if the first doesn't.
 
@@ -35,19 +48,23 @@ def find_span(words: list[str], text: str, start: int = 0) -> tuple[int, int]:
     """
     if not text or not text.strip():
         return start, start
-    letters = [(low, at + 1) for at, c in enumerate(text) if c.isalnum() for low in c.lower()]
-    bare, ends = "".join(c for c, _ in letters), [e for _, e in letters]
+    bare = ends = None
     at, first, stop = 0, None, start
     for k in range(start, len(words)):
         core = _OUTER.sub("", words[k])
         if not core:
             stop = stop if first is None else k + 1
             continue
-        tries = ((words[k].strip(), re.NOFLAG), (core, re.NOFLAG), (core, re.IGNORECASE))
-        hit = next((m for form, how in tries if (m := re.compile(rf"(?<![^\W_]){re.escape(form)}(?![^\W_])", how).search(text, at))), None)
-        if hit:
-            at = hit.end()
+        end = _word_end(text, words[k].strip(), at)
+        end = _word_end(text, core, at) if end < 0 else end
+        if end < 0 and (hit := re.compile(rf"(?<![^\W_]){re.escape(core)}(?![^\W_])", re.IGNORECASE).search(text, at)):
+            end = hit.end()
+        if end >= 0:
+            at = end
         else:
+            if bare is None:
+                letters = [(low, i + 1) for i, c in enumerate(text) if c.isalnum() for low in c.lower()]
+                bare, ends = "".join(c for c, _ in letters), [e for _, e in letters]
             own = _letters(core)
             place = bare.find(own, bisect.bisect_right(ends, at)) if own else -1
             if place < 0:
@@ -57,49 +74,48 @@ def find_span(words: list[str], text: str, start: int = 0) -> tuple[int, int]:
     return (start, start) if first is None else (first, stop)
 
 
-@F.pandas_udf(SPANS)
-def _spans(words: pd.Series, chunks: pd.Series) -> pd.Series:
-    def one(ws, cs):
-        if ws is None or cs is None:
-            return None
-        out, at = [], 0
-        for c in cs:
-            first, at = find_span(list(ws), c or "", at)
-            out.append({"first": first, "stop": at})
-        return out
+def spans_of(words: list[str], chunks: list[str | None]) -> list[tuple[int, int]]:
+    """For each chunk the span of words that it takes."""
+    spaced = " ".join(words)
+    if spaced == " ".join(c or "" for c in chunks) and len(spaced.split(" ")) == len(words) and all(w and any(map(str.isalnum, w)) for w in words):
+        stops = [0, *itertools.accumulate(c.count(" ") + 1 for c in chunks)]
+        return list(itertools.pairwise(stops))
+    out, at = [], 0
+    for c in chunks:
+        first, at = find_span(words, c or "", at)
+        out.append((first, at))
+    return out
+
 
-    return pd.Series([one(a, b) for a, b in zip(words, chunks, strict=True)])
+#: Rows whose words are Python objects together.
+_ROWS = 1 << 8
 
 
-def distributed(words: Column, chunks: Column) -> Column:
+@F.arrow_udf(SPANS)
+def distributed(words: pa.Array, chunks: pa.Array) -> pa.Array:
     """For each chunk the span of words that it takes: array of (first, stop). Both are arrays of strings.
 
     Chunks that are the words with single spaces between are counted off; all others go through find_span().
     """
-    key = lambda c: F.transform(c, lambda s: F.length(X.alnum_key(s)))
-    total = lambda c: F.aggregate(c, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-
-    def fast(lengths):
-        ends = total(lengths)
-        goals = total(key(chunks))
-        place = lambda g: F.array_position(ends, g)
-        return F.transform(F.sequence(F.lit(1), F.size(chunks)), lambda i: F.struct((place(F.element_at(goals, i)) - 1).cast("int").alias("first"), (place(F.element_at(goals, i + 1)) - 1).cast("int").alias("stop")))
-
-    # Spark leaves a Python function in place whose arguments hold lambdas, so the test has none
-    spaced = F.array_join(words, " ")
-    tidy = (spaced == F.array_join(chunks, " ")) & ~F.contains(F.array_join(words, ""), F.lit(" ")) & ~spaced.rlike(r"(?U)(^| )[^\p{IsAlphabetic}\p{N} ]*( |$)")
-    tidy = F.coalesce(tidy, F.lit(False))
-    return F.when(tidy, X.let(key(words), fast)).otherwise(_spans(F.when(~tidy, words), F.when(~tidy, chunks)))
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
+    parts = []
+    for k in range(0, len(words), _ROWS):
+        pairs = zip(words.slice(k, _ROWS).to_pylist(), chunks.slice(k, _ROWS).to_pylist(), strict=True)
+        parts.append(pa.array([None if ws is None or cs is None else [{"first": a, "stop": b} for a, b in spans_of([w or "" for w in ws], cs)] for ws, cs in pairs], kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def aligned_segments(rows: DataFrame, words: str = "words", chunks: str = "chunks") -> DataFrame:
     """One row per chunk with its words' first start and last end; 0.0 where no word was found. words: array of (word, start, end)."""
-    spans = distributed(F.transform(words, lambda w: w["word"]), F.col(chunks))
-    out = rows.withColumn("_s", spans).select(*rows.columns, F.posexplode(F.arrays_zip(F.col(chunks).alias("text"), F.col("_s").alias("span"))).alias("chunk_pos", "z"))
-    own = F.slice(words, F.col("z.span.first") + 1, F.col("z.span.stop") - F.col("z.span.first"))
+    out = rows.withColumn("_s", distributed(F.col(words)["word"], F.col(chunks)))
+    # each chunk takes its own words along, not all of the row
+    own = lambda span: F.slice(words, span["first"] + 1, span["stop"] - span["first"])
+    parts = F.transform(F.arrays_zip(F.col(chunks).alias("text"), F.col("_s").alias("span")), lambda z: F.struct(z["text"].alias("text"), own(z["span"]).alias("words")))
+    rest = [c for c in rows.columns if c not in (words, chunks)]
+    out = out.select(*rest, F.posexplode(parts).alias("chunk_pos", "z"))
     return out.select(
-        *[c for c in rows.columns if c not in (words, chunks)], "chunk_pos", F.col("z.text").alias("text"),
-        F.coalesce(F.array_min(F.transform(own, lambda w: w["start"])), F.lit(0.0)).alias("start"), F.coalesce(F.array_max(F.transform(own, lambda w: w["end"])), F.lit(0.0)).alias("end"), own.alias("words"),
+        *rest, "chunk_pos", F.col("z.text").alias("text"),
+        F.coalesce(F.array_min(F.col("z.words.start")), F.lit(0.0)).alias("start"), F.coalesce(F.array_max(F.col("z.words.end")), F.lit(0.0)).alias("end"), F.col("z.words").alias("words"),
     )
 
 
