@@ -32,3 +32,13 @@ def test_long_rows_take_their_words_apart(spark):
     got = A.aligned_segments(rows).orderBy("video", "chunk_pos").collect()
     assert [(r.chunk_pos, r.text, r.start, r.end, len(r.words)) for r in got[: n // 3]] == [(k, c, 3.0 * k, 3 * k + 2.5, 3) for k, c in enumerate(chunks)]
     assert [(r.video, r.text, r.start, r.end) for r in got[n // 3 :]] == [(2, "W0", 0.0, 0.5), (2, "- w1", 1.0, 1.5)]
+
+
+def test_pushed_cues_go_over_sorted_rows(spark):
+    rows = [(v, k, 100 * (k // 3), 100 * (k // 3), f"t{k} " * 60) for v in range(3) for k in range(9)]
+    df = spark.createDataFrame(rows, "video int, pos long, start_ms long, end_ms long, text string")
+    out = C.repair_times(df, ["video"])
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    got = {v: [(r.start_ms, r.end_ms, r.note) for r in out.where(f"video = {v}").orderBy("pos").collect()] for v in range(3)}
+    assert got[0] == got[1] == got[2] and len(got[0]) == 9
+    assert got[0][:4] == [(0, 33, "interpolated"), (33, 66, "interpolated"), (66, 99, "interpolated"), (100, 133, "interpolated")]
