@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from cueforge.functions import text as X
 from cueforge.operators import folds
@@ -306,29 +307,57 @@ def step_deltas(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def attach_punctuation(df: DataFrame, keys: list[str]) -> DataFrame:
     """Closing punctuation joins the word before, opening punctuation the word after; times widen."""
-    w = _by(keys)
-    close, opening = (f"^[{X.chars(c)}]+$" for c in (X.T.TRAILING + X.T.CLOSING + X.T.DASHES, X.T.OPENING))
+    close, opening = (rf"(?U)^\s*[{X.chars(c)}]+\s*$" for c in (X.T.TRAILING + X.T.CLOSING + X.T.DASHES, X.T.OPENING))
     other = [c for c in df.columns if c not in (*keys, "pos", "word", "start", "end")]
-    bare = X.trim(F.col("word"))
+    word = F.coalesce("word", F.lit(""))
+    marked = df.withColumns({"word": word, "_back": word.rlike(close), "_opens": word.rlike(opening)})
+    return folds.in_order(marked, keys, _widen_all).select(*keys, "pos", "word", "start", "end", *other)
 
-    def merged(d, group):
-        part = F.array_sort(F.collect_list(F.struct("pos", "word")))
-        whole = F.array_join(F.transform(part, lambda s, k: F.when(k == 0, s["word"]).otherwise(F.ltrim(s["word"]))), "")
-        return d.groupBy(*keys, group).agg(F.min("pos").alias("pos"), whole.alias("word"), F.min("start").alias("start"), F.max("end").alias("end"), *[F.max_by(c, "pos").alias(c) for c in other]).drop(group)
 
-    back = bare.rlike(close) & (F.row_number().over(w) > 1)
-    df = merged(df.withColumn("_g", F.sum(F.when(back, 0).otherwise(1)).over(w)), "_g")
-    glued = F.coalesce(F.lag(X.trim(F.col("word")).rlike(opening)).over(w), F.lit(False))
-    return merged(df.withColumn("_g", F.sum(F.when(glued, 0).otherwise(1)).over(w)), "_g")
+def _widen_all(rows: pa.Table) -> pa.Table:
+    """A01 on many videos. `_back`: closing punctuation; `_opens`: opening punctuation."""
+    back, opens = (rows.column(c).to_numpy().astype(bool) for c in ("_back", "_opens"))
+    joins = back | np.append(False, opens[:-1])
+    joins[folds.begins(rows)] = False
+    if not joins.any():
+        return rows
+    head = np.flatnonzero(~joins)
+    last = np.append(head[1:], len(joins)) - 1
+    words = rows.column("word").combine_chunks()
+    parts = pc.if_else(pa.array(joins), pc.utf8_ltrim(words, " "), words)
+    values = {"word": pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(head, len(joins)), pa.int32()), parts), "")}
+    for name, none, widest in (("start", np.nan, np.fmin), ("end", -np.inf, np.maximum)):
+        column = rows.column(name).combine_chunks()
+        bare = column.is_null().to_numpy(zero_copy_only=False)
+        own = np.where(bare, none, column.to_numpy(zero_copy_only=False).astype(np.float64))
+        values[name] = pa.array(widest.reduceat(own, head), mask=np.logical_and.reduceat(bare, head))
+    firsts = rows.take(pa.array(head))
+    rows = rows.take(pa.array(last))
+    for name in ("pos", "_new"):
+        values[name] = firsts.column(name)
+    for name, column in values.items():
+        at = rows.schema.get_field_index(name)
+        rows = rows.set_column(at, rows.schema.field(at), column.cast(rows.schema.field(at).type))
+    return rows
 
 
-def synthesized(tokens: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Times of a segment's tokens in proportion to their lengths. keys name the segment."""
-    w = _by(keys)
-    n = F.length("word")
-    done, whole = F.sum(n).over(w), F.sum(n).over(Window.partitionBy(*keys))
-    span = F.col(end) - F.col(start)
-    return tokens.withColumns({"w_start": F.col(start) + span * (done - n) / whole, "w_end": F.col(start) + span * done / whole})
+@F.arrow_udf(ArrayType(LongType()))
+def _letters_before(words: pa.Array) -> pa.Array:
+    """Characters before each word of an array, and in all of them."""
+    n = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.append(0, np.cumsum(n))
+    total = np.append(0, np.cumsum(pc.utf8_length(words.flatten()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = np.arange(first[-1] + len(n)) - np.repeat(np.arange(len(n)), n + 1)
+    return pa.ListArray.from_arrays(pa.array(first + np.arange(len(n) + 1), pa.int32()), pa.array(total[at] - np.repeat(total[first[:-1]], n + 1)))
+
+
+def synthesized(segments: DataFrame, words: str = "words", start: str = "start", end: str = "end") -> DataFrame:
+    """The segments' rows, one for each of their words, with pos, word, w_start and w_end: times in proportion to the words' lengths."""
+    span, rest = F.col(end) - F.col(start), [c for c in segments.columns if c != words]
+    done = segments.withColumn("_done", _letters_before(F.col(words)))
+    at = lambda k: F.col(start) + span * F.get("_done", k) / F.get("_done", F.size(words))
+    made = F.transform(words, lambda w, k: F.struct(w.alias("word"), at(k).alias("w_start"), at(k + 1).alias("w_end")))
+    return done.select(*rest, F.posexplode(made).alias("pos", "w")).select(*rest, F.col("pos").cast("long").alias("pos"), "w.*")
 
 
 def assign_to_segments(words: DataFrame, segments: DataFrame, keys: list[str], slack: float = 1e-6) -> DataFrame:
@@ -366,8 +395,8 @@ def reconciled(segments: DataFrame, words: DataFrame, keys: list[str]) -> DataFr
     has = words.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), "").alias("_joined"))
     both = segments.join(has, keys, "left")
     some = X.trim(F.coalesce("text", F.lit(""))) != ""
-    bare = both.where(some & F.col("_joined").isNull()).select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b"), F.posexplode(X.white_split(F.col("text"))).alias("pos", "word"))
-    made = synthesized(bare, keys, "_a", "_b").select(*keys, F.col("pos").cast("long").alias("pos"), "word", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    bare = both.where(some & F.col("_joined").isNull()).select(*keys, F.col("start").alias("_a"), F.col("end").alias("_b"), X.white_split(F.col("text")).alias("_words"))
+    made = synthesized(bare, "_words", "_a", "_b").select(*keys, "pos", "word", F.col("w_start").alias("start"), F.col("w_end").alias("end"))
     given = words.join(segments.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("pos").cast("long").alias("pos"), "word", "start", "end")
     rows = attach_punctuation(given.unionByName(made), keys)
     rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "start", "end"))).alias("words"))

@@ -42,3 +42,19 @@ def test_pushed_cues_go_over_sorted_rows(spark):
     got = {v: [(r.start_ms, r.end_ms, r.note) for r in out.where(f"video = {v}").orderBy("pos").collect()] for v in range(3)}
     assert got[0] == got[1] == got[2] and len(got[0]) == 9
     assert got[0][:4] == [(0, 33, "interpolated"), (33, 66, "interpolated"), (66, 99, "interpolated"), (100, 133, "interpolated")]
+
+
+def test_punctuation_joins_words_in_one_shuffle(spark):
+    rows = [(1, 0, ",", 0.0, 0.1, "a"), (1, 1, "(", 0.2, 0.3, "b"), (1, 2, " Hi", 0.3, None, "c"), (1, 3, " )", 0.5, 0.6, "d"), (1, 4, "(", None, None, "e"), (1, 5, ")", None, None, "f"), (1, 6, "x", 1.0, 2.0, "g"), (2, 0, "]", 0.0, 0.1, "h")]
+    out = W.attach_punctuation(spark.createDataFrame(rows, "video int, pos long, word string, start double, end double, who string"), ["video"])
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in out.orderBy("video", "pos").collect()] == [
+        (1, 0, ",", 0.0, 0.1, "a"), (1, 1, "(Hi)", 0.2, 0.6, "d"), (1, 4, "()", None, None, "f"), (1, 6, "x", 1.0, 2.0, "g"), (2, 0, "]", 0.0, 0.1, "h"),
+    ]
+
+
+def test_word_times_are_made_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0.0, 4.0, ["ab", "éé", "c"]), (2, 1.0, 2.0, []), (3, 1.0, 2.0, None), (4, 0.0, 1.0, ["x"])], "seg int, start double, end double, words array<string>")
+    out = W.synthesized(rows)
+    assert "Exchange" not in plan(out)
+    assert [(r.seg, r.pos, r.word, round(r.w_start, 9), round(r.w_end, 9)) for r in out.collect()] == [(1, 0, "ab", 0.0, 1.6), (1, 1, "éé", 1.6, 3.2), (1, 2, "c", 3.2, 4.0), (4, 0, "x", 0.0, 1.0)]
