@@ -58,3 +58,21 @@ def test_word_times_are_made_without_a_shuffle(spark):
     out = W.synthesized(rows)
     assert "Exchange" not in plan(out)
     assert [(r.seg, r.pos, r.word, round(r.w_start, 9), round(r.w_end, 9)) for r in out.collect()] == [(1, 0, "ab", 0.0, 1.6), (1, 1, "éé", 1.6, 3.2), (1, 2, "c", 3.2, 4.0), (4, 0, "x", 0.0, 1.0)]
+
+
+def test_sentences_shuffle_stretches_not_tokens(spark):
+    texts = ['He said "go . " " And Dr. Smith', "left at U.S.A. time. [? a b. ?] Then", '" so', "", None, "! ” ok"]
+    df = spark.createDataFrame([("v", k, t) for k, t in enumerate(texts)], "video string, pos long, text string")
+    tokens = S.token_rows(df, ["video"])
+    assert S.stretches(df, ["video"]).count() < tokens.count()
+    want = S.collected(S.with_groups(tokens, ["video"], S.ends_sentence(F.col("token"))), ["video"]).orderBy("sent_id").collect()
+    got = S.sentences(df, ["video"], n_segments="n").orderBy("sent_id").collect()
+    assert [(r.sent_id, r.tokens) for r in got] == [(r.sent_id, r.tokens) for r in want] and len(got) > 2
+    assert sum(r.n for r in got) == 4
+
+
+def test_cascades_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "one two. three four, five"), (2, "short"), (3, None)], "id int, t string")
+    out = S.cascade(rows, "t", 9, [S.split_sentences, S.split_clauses, lambda c: S.split_by_length(c, 9)])
+    assert "Exchange" not in plan(out) and "Join" not in plan(out)
+    assert [(r.id, r.chunk) for r in out.orderBy("id", "path").collect()] == [(1, "one two."), (1, "three"), (1, "four,"), (1, "five"), (2, "short"), (3, None)]
