@@ -76,3 +76,12 @@ def test_cascades_need_no_shuffle(spark):
     out = S.cascade(rows, "t", 9, [S.split_sentences, S.split_clauses, lambda c: S.split_by_length(c, 9)])
     assert "Exchange" not in plan(out) and "Join" not in plan(out)
     assert [(r.id, r.chunk) for r in out.orderBy("id", "path").collect()] == [(1, "one two."), (1, "three"), (1, "four,"), (1, "five"), (2, "short"), (3, None)]
+
+
+def test_content_keys_are_made_of_changed_texts_only(spark, monkeypatch):
+    seen = []
+    key = X.content_key
+    monkeypatch.setattr(X, "content_key", lambda c: seen.append(c) or key(c))
+    out = R.cleaning_invariants(spark.createDataFrame([(1, 0, "a  b"), (1, 1, "same"), (2, 0, None), (3, 0, "x")], "video int, pos long, text string"), ["video"])
+    assert len(seen) == 4 and all("CASE WHEN" in str(c) for c in seen)
+    assert [tuple(r) for r in out.orderBy("video").collect()] == [(1, True, True, True), (2, None, None, None), (3, True, True, True)]
