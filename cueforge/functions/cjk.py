@@ -10,11 +10,13 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import tables as T
+from .text import in_slices
 
 _CODES = lambda body: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), body)
 EAST = _CODES(T.IDEOGRAPHS + T.HANGUL + T.KANA)
@@ -60,9 +62,9 @@ def join_of(tokens: list[str]) -> str:
 def tokenize(words=None, attach: bool = True):
     """A column function: text -> array of tokens."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokens_of(t, words, attach))
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return in_slices(texts, lambda some: [tokens_of(t, words, attach) for t in some], pa.list_(pa.string()))
 
     return run
 

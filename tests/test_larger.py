@@ -85,3 +85,13 @@ def test_content_keys_are_made_of_changed_texts_only(spark, monkeypatch):
     out = R.cleaning_invariants(spark.createDataFrame([(1, 0, "a  b"), (1, 1, "same"), (2, 0, None), (3, 0, "x")], "video int, pos long, text string"), ["video"])
     assert len(seen) == 4 and all("CASE WHEN" in str(c) for c in seen)
     assert [tuple(r) for r in out.orderBy("video").collect()] == [(1, True, True, True), (2, None, None, None), (3, True, True, True)]
+
+
+def test_few_texts_are_objects_together(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(X, "SLICE_BYTES", 10)
+    texts = pa.array(["abcd", "ef", None, "", "x" * 25, "éé", "ghijkl"])
+    got = X.in_slices(texts, lambda some: sizes.append(some) or [t and t.upper() for t in some], pa.string())
+    assert got.to_pylist() == [t and t.upper() for t in texts.to_pylist()]
+    assert sizes == [["abcd", "ef", None, ""], ["x" * 25], ["éé", "ghijkl"]]
+    assert X.in_slices(texts[:0], lambda some: some, pa.string()).to_pylist() == []
