@@ -360,23 +360,34 @@ def synthesized(segments: DataFrame, words: str = "words", start: str = "start",
     return done.select(*rest, F.posexplode(made).alias("pos", "w")).select(*rest, F.col("pos").cast("long").alias("pos"), "w.*")
 
 
+#: Words are joined with segments by slabs of 2^SLAB seconds.
+SLAB = 5
+
+
 def assign_to_segments(words: DataFrame, segments: DataFrame, keys: list[str], slack: float = 1e-6) -> DataFrame:
     """Each word goes to the first segment that holds it; words that none holds are dropped.
 
-    An interval join whose bins fit the segments: one of up to 2^k seconds is listed in the bins of that width that it touches, which are two at most, whatever its
-    length. A word is looked up once in each width that its keys' segments have. Segments without times, or that end before they start, hold nothing.
+    An equi-join on slabs of 2^SLAB seconds: a word is in the slab of its start, a segment of up to that length in the slabs that it touches, which are two at most. Longer ones
+    are brought to the slabs that have words by bins that fit the segments: one of up to 2^k seconds is listed in the bins of that width that it touches, and a slab
+    is looked up once in each width that its keys' segments have. Words are shuffled once. Segments without times, or that end before they start, hold nothing.
     """
     a, b = F.col("seg_start") - slack, F.col("seg_end") + slack
-    level = F.greatest(F.lit(0), F.ceil(F.log2(b - a))).cast("int")
+    level = F.greatest(F.lit(SLAB), F.ceil(F.log2(b - a))).cast("int")
     bin_of = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level))
-    segs = segments.where("seg_end >= seg_start").withColumn("_level", level)
+    segs = segments.where("seg_end >= seg_start").select(*keys, "seg_pos", "seg_start", "seg_end", level.alias("_level"))
     segs = segs.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(a, F.col("_level")), bin_of(b, F.col("_level"))))))
-    levels = segs.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # a few dozen at most
-    found = words.join(levels, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
-    found = found.withColumn("_bin", bin_of(F.col("start"), F.col("_level"))).join(segs, [*keys, "_level", "_bin"])
-    found = found.where((F.col("seg_start") - slack <= F.col("start")) & (F.col("end") <= F.col("seg_end") + slack))
+    long, width = segs.where(F.col("_level") > SLAB), float(1 << SLAB)
+    slab = bin_of(F.col("start"), F.lit(SLAB)).alias("_slab")
+    levels = long.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))  # a few dozen at most
+    slabs = words.select(*keys, slab).distinct().join(levels, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
+    slabs = slabs.withColumn("_bin", bin_of(F.col("_slab"), F.col("_level") - SLAB)).join(long, [*keys, "_level", "_bin"])
+    slabs = slabs.where((a <= (F.col("_slab") + 1) * width) & (F.col("_slab") * width <= b))
+    columns = [*keys, "_slab", "seg_pos", "seg_start", "seg_end"]
+    held = segs.where(F.col("_level") == SLAB).withColumnRenamed("_bin", "_slab").select(*columns).unionByName(slabs.select(*columns))
+    found = words.withColumn("_slab", slab).join(held, [*keys, "_slab"]).where((a <= F.col("start")) & (F.col("end") <= b))
     rest = [c for c in words.columns if c not in (*keys, "pos")]
-    return found.groupBy(*keys, "pos").agg(F.min("seg_pos").alias("seg_pos"), *[F.first(c).alias(c) for c in rest])
+    # a word has one slab, so its rows are together already
+    return found.groupBy(*keys, "_slab", "pos").agg(F.min("seg_pos").alias("seg_pos"), *[F.first(c).alias(c) for c in rest]).drop("_slab")
 
 
 def with_whole_texts(segments: DataFrame, payloads: DataFrame, keys: list[str]) -> DataFrame:

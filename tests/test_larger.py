@@ -95,3 +95,12 @@ def test_few_texts_are_objects_together(monkeypatch):
     assert got.to_pylist() == [t and t.upper() for t in texts.to_pylist()]
     assert sizes == [["abcd", "ef", None, ""], ["x" * 25], ["éé", "ghijkl"]]
     assert X.in_slices(texts[:0], lambda some: some, pa.string()).to_pylist() == []
+
+
+def test_words_are_shuffled_once_to_their_segments(spark):
+    words = spark.createDataFrame([("v", k, k * 0.5, k * 0.5 + 0.4) for k in range(400)], "video string, pos long, start double, end double")
+    segs = spark.createDataFrame([("v", 0, 190.0, 1e6), ("v", 1, 31.9, 32.6), ("v", 2, 0.0, 100.0)], "video string, seg_pos int, seg_start double, seg_end double")
+    out = W.assign_to_segments(words, segs, ["video"])
+    assert not [x for x in plan(out).splitlines() if "Exchange hashpartitioning" in x and "pos#" in x.split("ENSURE")[0]]
+    got = {r.pos: r.seg_pos for r in out.collect()}
+    assert got == {k: 0 if k >= 380 else 1 if k == 64 else 2 for k in range(400) if k < 200 or k >= 380}
