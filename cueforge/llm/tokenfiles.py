@@ -16,9 +16,10 @@ an id keep no order among themselves. Extra columns aren't stored.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .bpe import byte_letters
 from .store import new_path
 
 SEGMENT_TOKENS = 1 << 20
@@ -36,6 +38,23 @@ END_ID = 1
 #: Words a worker keeps between batches; beyond that, those used once go first.
 KNOWN_WORDS = 1_000_000
 
+# How the tokenizer's file prepares texts and cuts them into pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: What a byte of a word is to that pattern; letters are those of ASCII and of U+00C0 to U+00FF. UNSURE: apostrophes, control and all other characters.
+SPACE, SIGN, LETTER, DIGIT, UNSURE = range(5)
+KINDS = np.full(256, UNSURE, np.uint8)
+KINDS[0x21:0x7F] = SIGN
+KINDS[0x30:0x3A] = DIGIT
+KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = KINDS[0x80:0xC0] = KINDS[0xC3] = LETTER
+KINDS[0x20], KINDS[0x27] = SPACE, UNSURE
+
 
 def scaled(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to sum to 2^PRECISION, each at least 1."""
@@ -58,14 +77,18 @@ def _shape(n: int) -> tuple[int, int]:
     return per_block, steps
 
 
-def _dealt(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each step and lane: the index of its id, and whether there is one."""
+def _dealt(values: np.ndarray, other: int) -> np.ndarray:
+    """The values by step and lane, with `other` where a lane has none."""
+    per_block, steps = _shape(len(values))
+    grid = np.full((BLOCKS, steps * LANES), other, values.dtype)
+    grid[:, :per_block] = np.append(values, np.full(BLOCKS * per_block - len(values), other, values.dtype)).reshape(BLOCKS, per_block)
+    return np.ascontiguousarray(grid.reshape(BLOCKS, steps, LANES).swapaxes(0, 1)).reshape(steps, BLOCKS * LANES)
+
+
+def _gathered(grid: np.ndarray, n: int) -> np.ndarray:
+    """The n values that _dealt() made the grid of."""
     per_block, steps = _shape(n)
-    block = np.repeat(np.arange(BLOCKS), LANES)
-    lane = np.tile(np.arange(LANES), BLOCKS)
-    inner = np.arange(steps)[:, None] * LANES + lane
-    index = block * per_block + inner
-    return index, (inner < per_block) & (index < n)
+    return grid.reshape(steps, BLOCKS, LANES).swapaxes(0, 1).reshape(BLOCKS, steps * LANES)[:, :per_block].ravel()[:n]
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -80,24 +103,20 @@ def pack(ids: np.ndarray) -> bytes:
     else:
         symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + (freq := scaled(counts) if n else np.zeros(0, np.int64)).astype("<u4").tobytes(), 6)
-    index, there = _dealt(n)
-    steps = len(index)
-    start = (np.cumsum(freq) - freq).astype(np.uint64)
-    freq = freq.astype(np.uint64)
+    # a lane without an id codes one that takes up all of the range, which leaves the state as it is
+    dealt = _dealt(dense, len(symbols))
+    start = np.append(np.cumsum(freq) - freq, 0).astype(np.uint64)
+    freq = np.append(freq, 1 << PRECISION).astype(np.uint64)
+    gap, limit = np.uint64(1 << PRECISION) - freq, freq * ((LOW >> np.uint64(PRECISION)) << np.uint64(32))
     state = np.full(BLOCKS * LANES, LOW, np.uint64)
-    words = np.zeros((steps, BLOCKS * LANES), np.uint32)
-    given = np.zeros((steps, BLOCKS * LANES), bool)
-    limit = (LOW >> np.uint64(PRECISION)) << np.uint64(32)
-    for t in range(steps - 1, -1, -1):
-        on = there[t]
-        s = dense[np.where(on, index[t], 0)] if n else np.zeros(len(on), np.int64)
-        f, c = freq[s], start[s]
-        out = on & (state >= limit * f)
-        words[t] = state.astype(np.uint32)
-        given[t] = out
-        x = np.where(out, state >> np.uint64(32), state)
-        q = x // f
-        state = np.where(on, (q << np.uint64(PRECISION)) + (x - q * f) + c, x)
+    words = np.zeros(dealt.shape, np.uint32)
+    given = np.zeros(dealt.shape, bool)
+    for t in range(len(dealt) - 1, -1, -1):
+        s = dealt[t]
+        out = state >= limit[s]
+        words[t], given[t] = state, out
+        x = state >> (out * np.uint64(32))
+        state = x + x // freq[s] * gap[s] + start[s]
     blocks = [words[:, b * LANES : (b + 1) * LANES][given[:, b * LANES : (b + 1) * LANES]].astype("<u4").tobytes() for b in range(BLOCKS)]
     states = state.astype("<u8").tobytes()
     head = struct.pack("<4sIIIII", b"RANS", n, len(symbols), len(table), PRECISION, zlib.crc32(table + states))
@@ -133,24 +152,39 @@ def unpack(raw: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     start = np.cumsum(freq) - freq
-    of_slot = np.repeat(np.arange(n_symbols), freq)
+    of_slot = np.repeat(np.arange(n_symbols, dtype=np.int32), freq)
     freq, start = freq.astype(np.uint64), start.astype(np.uint64)
-    index, there = _dealt(n)
-    out = np.zeros(n, np.int64)
+    there = _dealt(np.ones(n, bool), False)
+    full = there.all(axis=1).tolist()
+    out = np.zeros(there.shape, np.int32)
     mask = np.uint64((1 << precision) - 1)
-    for t in range(len(index)):
-        on = there[t]
+    for t in range(len(there)):
         slot = state & mask
-        s = of_slot[slot]
-        out[index[t][on]] = s[on]
-        x = np.where(on, freq[s] * (state >> np.uint64(precision)) + slot - start[s], state)
-        need = on & (x < LOW)
-        grid = need.reshape(BLOCKS, LANES)
-        nth = np.cumsum(grid, axis=1) - 1 + pointer[:, None]
-        word = stream[np.minimum(nth.ravel(), len(stream) - 1)]
-        state = np.where(need, (x << np.uint64(32)) | word, x)
-        pointer = pointer + grid.sum(axis=1)
-    return symbols[out]
+        s = out[t] = of_slot[slot]
+        x = freq[s] * (state >> np.uint64(precision)) + slot - start[s]
+        if not full[t]:
+            x = np.where(there[t], x, state)
+        need = np.flatnonzero(x < LOW)
+        taken = np.bincount(need // LANES, minlength=BLOCKS)
+        word = stream[np.arange(len(need)) + np.repeat(pointer - np.cumsum(taken) + taken, taken)]
+        x[need] = (x[need] << np.uint64(32)) | word
+        state = x
+        pointer = pointer + taken
+    return symbols[_gathered(out, n)]
+
+
+def pieces_of(words: list[bytes], kinds: np.ndarray = KINDS) -> np.ndarray:
+    """How many pieces the pattern cuts each word into; 0 for words with something UNSURE."""
+    raw = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    kind = kinds[raw]
+    # U+00D7 and U+00F7 are no letters
+    kind[1:][(raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))] = UNSURE
+    ends = np.flatnonzero(kind == SPACE)
+    heads = kind != SPACE
+    heads[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    pieces = np.diff(np.cumsum(heads)[ends], prepend=0)
+    pieces[np.diff(np.cumsum(kind == UNSURE)[ends], prepend=0) > 0] = 0
+    return pieces
 
 
 class WordIds:
@@ -168,8 +202,26 @@ class WordIds:
         self.mark_id, token = max(self.model.get_added_tokens_decoder().items())
         self.mark = token.content.encode()
         self.between = b" " + self.mark + b" "
+        self.kinds = KINDS.copy()
+        self.kinds[[t.content.encode()[0] for t in self.model.get_added_tokens_decoder().values()]] = UNSURE
+        self.closing = self._closing()
         self.forget()
 
+    def _closing(self) -> np.ndarray | None:
+        """By id, whether the token ends a piece; None if the file isn't known to cut pieces in the way of pieces_of()."""
+        model, suffix = self.model.model, getattr(self.model.model, "end_of_word_suffix", None)
+        if any(t.normalized for t in self.model.get_added_tokens_decoder().values()):
+            return None
+        for part, known in ((self.model.normalizer, NORMALIZER), (self.model.pre_tokenizer, PIECES)):
+            if part is None or json.loads(part.__getstate__()) != known:
+                return None
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        if not suffix or model.continuing_subword_prefix or not all(c in vocab and c + suffix in vocab for c in byte_letters()):
+            return None
+        closing = np.zeros(max(vocab.values()) + 1, bool)
+        closing[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+        return closing
+
     def forget(self):
         self.index: dict[bytes, int] = {}
         self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -187,23 +239,35 @@ class WordIds:
         room = lambda x: np.concatenate([x, np.zeros(1 << 16, x.dtype)])
         self.ids, self.ends, self.uses = room(ids), room(ends), room(uses)
 
+    def joined(self, words: list[bytes], between: bytes) -> np.ndarray:
+        """The ids of many words in few texts, with `between` after each word."""
+        rows = self.model.encode_batch_fast([between.join([*words[k : k + 1000], b""]).decode() for k in range(0, len(words), 1000)], add_special_tokens=False)
+        return np.concatenate([np.array(row.ids, np.uint32) for row in rows])
+
     def learn(self, fresh: list[bytes]):
-        """Encode new words, many in one text: a special token between two of them shows where each ends."""
+        """Encode new words, many in one text. A word ends with the last of its pieces where their number is known; else a special token between two words shows it."""
         if not fresh:
             return
-        odd = [w for w in fresh if self.mark in w]
-        plain = [w for w in fresh if self.mark not in w] if odd else fresh
-        rows = self.model.encode_batch_fast([self.between.join(plain[k : k + 1000]).decode() for k in range(0, len(plain), 1000)], add_special_tokens=False)
+        pieces = pieces_of(fresh, self.kinds) if self.closing is not None else np.zeros(len(fresh), np.int64)
+        easy, rest = list(compress(fresh, (pieces > 0).tolist())), list(compress(fresh, (pieces == 0).tolist()))
+        plain, odd = [w for w in rest if self.mark not in w], [w for w in rest if self.mark in w]
         parts, counts = [], []
-        for row in rows:
-            ids = np.array(row.ids, np.uint32)
+        if easy:
+            ids = self.joined(easy, b" ")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != pieces.sum():
+                raise ValueError("the tokenizer's pieces aren't those counted")
+            parts.append(ids)
+            counts.append(np.diff(ends[np.cumsum(pieces[pieces > 0]) - 1], prepend=0))
+        if plain:
+            ids = self.joined(plain, self.between)
             ends = np.flatnonzero(ids == self.mark_id)
             parts.append(np.delete(ids, ends))
-            counts.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
+            counts.append(np.diff(ends, prepend=-1) - 1)
         for w in odd:
             parts.append(np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
             counts.append(np.array([len(parts[-1])]))
-        new, counts, fresh = np.concatenate(parts), np.concatenate(counts), plain + odd if odd else fresh
+        new, counts, fresh = np.concatenate(parts), np.concatenate(counts), easy + plain + odd
         n, k = len(self.index), len(fresh)
         used = int(self.ends[n - 1]) if n else 0
         if used + len(new) > len(self.ids):
@@ -219,19 +283,22 @@ class WordIds:
         """(ids one after another with the end id of each text, how many each text has)."""
         if len(self.index) > KNOWN_WORDS:
             self.shrink()
-        found, sizes = [], []
-        for text in texts:
+        index, found, sizes, places, new = self.index, [], [], [], []
+        for k, text in enumerate(texts, 1):
             # the tokenizer lower-cases, but not the special tokens that it looks for first
             parts = text.split() if b"<|" in text else text.lower().split()
             found += parts
             sizes.append(len(parts))
-        index = self.index
-        at = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = [found[k] for k in missing.tolist()]
+            # a few texts at a time, so that their words are still in the processor's cache
+            if len(found) > 1 << 12 or k == len(texts):
+                here = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
+                new += [found[j] for j in np.flatnonzero(here < 0).tolist()]
+                places.append(here)
+                found = []
+        at = np.concatenate(places)
+        if new:
             self.learn(list(dict.fromkeys(new)))
-            at[missing] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+            at[at < 0] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
         self.uses[: len(index)] += np.bincount(at, minlength=len(index))
         starts = np.where(at > 0, self.ends[at - 1], 0)
         lengths = self.ends[at] - starts

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -381,6 +382,56 @@ def test_token_files(spark, tmp_path):
     assert tokenfiles.read_ids(spark, to + "0").count() == 0
 
 
+def test_new_words_cost_the_library_little_more_than_their_letters():
+    path = bpe.public_path("word_bpe_49k.json")
+    ids, sent = tokenfiles.WordIds(path), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    library, ids.model = ids.model, Counted()
+    rnd = random.Random(62)
+    words = ["".join(rnd.choice("abcdefghiéßü") for _ in range(9)) + rnd.choice(["", ",", ".", "###", "42"]) for _ in range(3000)]
+    ids.encode([" ".join(words).encode()])
+    assert sum(map(len, sent)) <= sum(len(w) + 1 for w in set(words))
+
+
+@pytest.mark.parametrize("closing", [True, False])
+def test_words_of_any_characters_have_the_ids_of_their_text(closing):
+    path = bpe.public_path("word_bpe_49k.json")
+    library, ids = Tokenizer.from_file(path), tokenfiles.WordIds(path)
+    library.no_truncation()
+    library.no_padding()
+    assert ids.closing is not None
+    if not closing:
+        ids.closing = None
+    rnd = random.Random(63)
+    bits = [chr(c) for c in range(1, 0x180)] + ["'s", "'ve", "''", "<|endoftext|>", "<|startoftext|>", "<|", "\u0301", "\u00a0", "\u2028", "²", "Ⅷ", "日本", "İ", "😀", "</w>", "e" * 300]
+    texts = ["".join(rnd.choice(bits) + rnd.choice(["", "", " ", "a"]) for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    for few in (texts[:700], texts[700:], texts[:50]):
+        got, counts = ids.encode([t.encode() for t in few])
+        want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in few]
+        assert counts.tolist() == list(map(len, want))
+        assert got.tolist() == [k for row in want for k in row]
+
+
+def test_pieces_are_counted_as_the_pattern_cuts_them():
+    pattern = regex.compile(tokenfiles.PIECES["pretokenizers"][0]["pattern"]["Regex"])
+    bits = [chr(c) for c in range(33, 0x17F) if c not in range(0x7F, 0xA1)]
+    rnd = random.Random(64)
+    words = [*bits, *("".join(rnd.choices(bits, k=rnd.randrange(1, 12))) for _ in range(3000)), *("".join(rnd.choices("ab1é×.#", k=rnd.randrange(1, 12))) for _ in range(3000))]
+    pieces = tokenfiles.pieces_of([w.encode() for w in words]).tolist()
+    assert sum(n > 0 for n in pieces) > 1500
+    for w, n in zip(words, pieces, strict=True):
+        assert n in (0, len(pattern.findall(w)))
+        assert n or any(c in "'×÷" or not (33 <= ord(c) <= 126 or 192 <= ord(c) <= 255) for c in w)
+
+
 # --- 7: quality ----------------------------------------------------------------------------------------
 
 
