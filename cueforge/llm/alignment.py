@@ -6,9 +6,10 @@ time, and the sorted common keys cut both id lists into groups. Inside the group
 neighbouring ends belongs to one token of each: that is a link.
 
 Counts of id pairs are over the whole corpus. Documents are worked on in slices of about SLICE_BYTES of text. A slice is
-written once as a row: its different pairs, in how many of its documents each is, and which pairs each document has
-how often. Only a slice's different pairs are shuffled, summed by pair and brought back to the slice, so a pair that
-every document has moves once a slice, and nothing that grows with the corpus is broadcast.
+written once, packed: its different pairs with the number of its documents that have each, one row for each part that holds some of them, and
+one row with what each document has of them. A part has whole A ids, so it knows which pairs are their most frequent ones. Each row of a
+slice goes to its part's counts and comes back as one row; rows go by in order, so a task holds a part's counts and one slice, whatever the
+corpus. Nothing that grows with the corpus is broadcast, and no pair is a row of its own.
 
 Special tokens have no special meaning in a text. Null and empty texts, and texts whose tokens don't give space + text back
 (as with U+2581 in the text), have no tokens: all figures are zero and the digest is an empty string. Whole texts count,
@@ -36,7 +37,11 @@ from .bpe import Bpe, public_path
 from .store import scratch, stored
 
 MARK = "▁"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Parts of the id pairs, by their A id; and slices whose sums one task adds up.
+PARTS, TOGETHER = 64, 32
+#: Pairs that are summed at once.
+SUMMED = 1 << 20
 #: Bytes whose ends are in the dictionaries together.
 STRETCH = 1 << 13
 #: Different words a worker keeps between slices, and their characters.
@@ -205,9 +210,32 @@ def groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Dat
     return docs.select(*kept).mapInArrow(run, ", ".join([schema, *[f"{c} array<int>" for c in added]]))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs, their number first; all first bytes, then all second bytes and so on."""
+    x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+    return bytes([x.itemsize]) + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    size = blob[0]
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, offset=1).reshape(size, -1).T).view(f"u{size}").reshape(-1).astype(np.int64)
+
+
+def _parts(pairs: np.ndarray) -> np.ndarray:
+    """The part of each pair."""
+    return (W.mix((pairs >> 32).astype(np.uint64)) % np.uint64(PARTS)).astype(np.int64)
+
+
+def _runs(part: np.ndarray):
+    """(part, start, stop) of parts in order."""
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    return zip(part[heads].tolist(), heads.tolist(), np.append(heads, len(part))[1:].tolist(), strict=True)
+
+
 def _slices(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str) -> DataFrame:
-    """One row a slice: figures of its documents, its different pairs, and what each document has of them."""
+    """Of each slice, one row with the figures of its documents and how often each has which pairs (part -1), and one for each part with its different pairs and how many documents hold each."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["slice", "part", "id", "n_a", "n_b", "n_groups", "n_links", "digest", "has", "times", "pairs", "holders"]
 
     def run(batches):
         for batch in W.slices(batches, text, SLICE_BYTES):
@@ -221,61 +249,184 @@ def _slices(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str) -
             each, has = pd.factorize(row * max(len(pairs), 1) + kind)
             times = np.bincount(each, minlength=len(has))
             row, kind = np.divmod(has, max(len(pairs), 1))
-            columns = {
-                "slice": np.frombuffer(os.urandom(8), np.int64), "id": batch.column(id_col), "n_a": x.n_a, "n_b": x.n_b, "n_groups": np.diff(x.groups_of()), "n_links": n_links,
-                "digest": pa.array(x.digests(), pa.string()), "n_pairs": np.bincount(row, minlength=n), "kinds": kind.astype(np.int32), "times": times.astype(np.int32),
-                "pairs": pairs, "holders": np.bincount(kind, minlength=len(pairs)),
+            # pairs in order of their parts
+            part = _parts(pairs)
+            order = np.lexsort((pairs, part))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            # what each document has, in order: steps are small numbers
+            has = row * max(len(pairs), 1) + rank[kind]
+            by = np.argsort(has)
+            holders, pairs, part = np.bincount(kind, minlength=len(pairs))[order], pairs[order], part[order]
+            runs = list(_runs(part))
+            own = {
+                "id": batch.column(id_col), "n_a": x.n_a, "n_b": x.n_b, "n_groups": np.diff(x.groups_of()), "n_links": n_links, "digest": pa.array(x.digests(), pa.string()),
+                "has": _packed(np.diff(has[by], prepend=0)), "times": _packed(times[by]),
             }
-            whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v))
-            yield pa.RecordBatch.from_arrays([pa.array(v) if c == "slice" else whole(v) for c, v in columns.items()], names=list(columns))
+            size = 1 + len(runs)
+            columns = {"slice": pa.array(np.repeat(np.frombuffer(os.urandom(8), np.int64), size)), "part": pa.array([-1, *(p for p, _, _ in runs)], pa.int32())}
+            for c, v in own.items():
+                if isinstance(v, bytes):
+                    columns[c] = pa.array([v, *[None] * len(runs)], pa.binary())
+                else:
+                    v = v if isinstance(v, pa.Array) else pa.array(v)
+                    columns[c] = pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), v), pa.nulls(len(runs), pa.list_(v.type))])
+            columns["pairs"] = pa.array([None, *(pairs[i:j].tobytes() for _, i, j in runs)], pa.binary())
+            columns["holders"] = pa.array([None, *(_packed(holders[i:j]) for _, i, j in runs)], pa.binary())
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     longs = ", ".join(f"{c} array<bigint>" for c in ("n_a", "n_b", "n_groups", "n_links"))
-    schema = f"slice bigint, id array<{id_type}>, {longs}, digest array<string>, n_pairs array<bigint>, kinds array<int>, times array<int>, pairs array<bigint>, holders array<bigint>"
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    blobs = ", ".join(f"{c} binary" for c in ("has", "times", "pairs", "holders"))
+    return docs.select(id_col, text).mapInArrow(run, f"slice bigint, part int, id array<{id_type}>, {longs}, digest array<string>, {blobs}")
+
+
+def _summed(pairs: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(different pairs in order, their sums)."""
+    pairs, n = np.concatenate(pairs), np.concatenate(n)
+    order = np.argsort(pairs, kind="stable")
+    pairs, n = pairs[order], n[order]
+    heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    return pairs[heads], np.add.reduceat(n, heads)
+
+
+def _columns(rows: list[tuple], schema: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.values(), strict=True)], names=list(schema))
+
+
+_COUNTED = {"part": pa.int32(), "pairs": pa.binary(), "docs": pa.binary(), "best": pa.binary()}
+
+
+def _counts(slices: DataFrame, tasks: int) -> DataFrame:
+    """One row a part: its pairs, how many documents have each, and whether that is the most of all pairs of its A id; packed."""
 
+    def count(batches):
+        """Sums of what a task has of each part; emitted whenever they are many."""
+        found, size = {}, 0
 
-def _counts(slices: DataFrame) -> DataFrame:
-    """(pair, docs, best): how many documents have each pair, and whether that is the most of all pairs of its A id."""
-    each = slices.select(F.explode(F.arrays_zip("pairs", "holders")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.holders").alias("n"))
-    docs = each.groupBy("pair").agg(F.sum("n").alias("docs"))
-    a = F.shiftright("pair", 32)
-    most = docs.groupBy(a.alias("a")).agg(F.max("docs").alias("most"))
-    return docs.withColumn("a", a).join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
+        def rows():
+            return [(p, x.tobytes(), _packed(n), None) for p, (x, n) in ((p, _summed(*zip(*found[p], strict=True))) for p in sorted(found))]
+
+        for batch in batches:
+            for p, pairs, holders in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found.setdefault(p, []).append((np.frombuffer(pairs, np.int64), _unpacked(holders)))
+                size += len(pairs) // 8
+                if size > SUMMED:
+                    found = {p: [_summed(*zip(*x, strict=True))] for p, x in found.items()}
+                    size = sum(len(x[0][0]) for x in found.values())
+                    if size > SUMMED // 2:
+                        yield _columns(rows(), _COUNTED)
+                        found, size = {}, 0
+        if found:
+            yield _columns(rows(), _COUNTED)
+
+    def merge(batches):
+        now, found, size = None, [], 0
+
+        def row():
+            pairs, docs = _summed(*zip(*found, strict=True))
+            a = pairs >> 32
+            heads = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            most = np.repeat(np.maximum.reduceat(docs, heads), np.diff(np.append(heads, len(a))))
+            return _columns([(now, pairs.tobytes(), _packed(docs), (docs == most).tobytes())], _COUNTED)
+
+        for batch in batches:
+            for p, pairs, docs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if p != now and found:
+                    yield row()
+                    found, size = [], 0
+                now = p
+                found.append((np.frombuffer(pairs, np.int64), _unpacked(docs)))
+                size += len(found[-1][0])
+                if size > max(SUMMED, 2 * len(found[0][0])):
+                    found = [_summed(*zip(*found, strict=True))]
+                    size = len(found[0][0])
+        if found:
+            yield row()
+
+    schema = "part int, pairs binary, docs binary, best binary"
+    some = slices.where("part >= 0").select("part", "pairs", "holders").mapInArrow(count, schema)
+    return some.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, schema)
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(a_id, b_id, docs, best): every pair of linked ids of the corpus, how many documents have it, and whether no pair of its A id is in more."""
+
+    def rows(batches):
+        for batch in batches:
+            for pairs, docs, best in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                pairs = np.frombuffer(pairs, np.int64)
+                columns = [(pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), _unpacked(docs), np.frombuffer(best, bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a_id", "b_id", "docs", "best"])
+
     with scratch(docs.sparkSession) as (kept, _):
-        found = _counts(kept(_slices(docs, a_path, b_path, id_col, text), "slices"))
-        low = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-        return stored(found.select(F.shiftright("pair", 32).cast("int").alias("a_id"), low.cast("int").alias("b_id"), "docs", "best"), "pair-counts")
+        slices = kept(_slices(docs, a_path, b_path, id_col, text), "slices")
+        return stored(_counts(slices, PARTS).mapInArrow(rows, "a_id int, b_id int, docs bigint, best boolean"), "pair-counts")
+
+
+def _answers(slices: DataFrame, tasks: int) -> DataFrame:
+    """(slice, part, docs, best): the counts of the pairs of each slice and part, in their order."""
+    asked = slices.where("part >= 0").select("part", F.lit(1).alias("kind"), "slice", "pairs")
+    counts = _counts(slices, tasks).select("part", F.lit(0).alias("kind"), "pairs", "docs", "best")
+    rows = counts.unionByName(asked, allowMissingColumns=True).select("part", "kind", "slice", "pairs", "docs", "best")
+    schema = {"slice": pa.int64(), "part": pa.int32(), "docs": pa.binary(), "best": pa.binary()}
+
+    def answer(batches):
+        known = docs = best = None
+        for batch in batches:
+            out = []
+            # row by row, so that only one part's counts are there at a time
+            columns = [batch.column(i) for i in range(6)]
+            for k in range(batch.num_rows):
+                part, kind, place, pairs = (columns[i][k].as_py() for i in range(4))
+                pairs = np.frombuffer(pairs, np.int64)
+                if not kind:
+                    known, docs, best = pairs, _unpacked(columns[4][k].as_py()), np.frombuffer(columns[5][k].as_py(), bool)
+                    continue
+                at = np.searchsorted(known, pairs)
+                out.append((place, part, _packed(docs[at]), best[at].tobytes()))
+            if out:
+                yield _columns(out, schema)
+
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "slice bigint, part int, docs binary, best binary")
 
 
 def scored(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row per row."""
     id_type = docs.schema[id_col].dataType.simpleString()
     figures = ["n_a", "n_b", "n_groups", "n_links"]
+    names = [id_col, *figures, "n_best", "count_sum", "groups_sha256"]
 
     def total(batches):
+        """The sums of each slice, whose own row comes before the answers of the parts in order."""
+        own, told = None, []
+
+        def summed():
+            docs_of, best_of = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.int64),) * 2
+            row, kind = np.divmod(np.cumsum(_unpacked(own["has"])), max(len(docs_of), 1))
+            bounds, times = np.searchsorted(row, np.arange(len(own["id"]) + 1)), _unpacked(own["times"])
+            sums = [np.append(0, np.cumsum(times * x[kind])) for x in (best_of, docs_of)]
+            made = [pa.array(s[bounds[1:]] - s[bounds[:-1]], pa.int64()) for s in sums]
+            return pa.RecordBatch.from_arrays([own["id"], *(own[c] for c in figures), *made, own["digest"]], names=names)
+
         for batch in batches:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
-                of = {c: batch.column(i).slice(k, 1).flatten() for i, c in enumerate(batch.schema.names)}
-                values = {c: of[c].to_numpy(zero_copy_only=False) for c in ("n_pairs", "kinds", "times", "at", "docs", "best")}
-                docs_of, best_of = np.zeros(len(values["at"]), np.int64), np.zeros(len(values["at"]), np.int64)
-                docs_of[values["at"]], best_of[values["at"]] = values["docs"], values["best"]
-                bounds = np.append(0, np.cumsum(values["n_pairs"]))
-                sums = [np.append(0, np.cumsum(values["times"] * x[values["kinds"]])) for x in (best_of, docs_of)]
-                made = [pa.array(s[bounds[1:]] - s[bounds[:-1]], pa.int64()) for s in sums]
-                yield pa.RecordBatch.from_arrays([of["id"], *(of[c] for c in figures), *made, of["digest"]], names=[id_col, *figures, "n_best", "count_sum", "groups_sha256"])
+                if col["part"][k].as_py() < 0:
+                    if own:
+                        yield summed()
+                    lists = {c: pa.concat_arrays([col[c].slice(k, 1).flatten()]) for c in ("id", *figures, "digest")}
+                    own, told = lists | {c: col[c][k].as_py() for c in ("has", "times")}, []
+                else:
+                    told.append((_unpacked(col["docs"][k].as_py()), np.frombuffer(col["best"][k].as_py(), np.uint8).astype(np.int64)))
+        if own:
+            yield summed()
 
     with scratch(docs.sparkSession) as (kept, _):
         slices = kept(_slices(docs, a_path, b_path, id_col, text), "slices")
-        counts = _counts(slices)
-        asked = slices.select("slice", F.posexplode("pairs").alias("at", "pair"))
-        told = asked.join(counts, "pair").groupBy("slice").agg(F.collect_list(F.struct("at", "docs", "best")).alias("told"))
-        rows = slices.drop("pairs", "holders").join(told, "slice", "left")
-        empty = F.array().cast("array<struct<at:int,docs:bigint,best:boolean>>")
-        rows = rows.withColumn("told", F.coalesce("told", empty)).select("id", *figures, "digest", "n_pairs", "kinds", "times", F.col("told.at").alias("at"), F.col("told.docs").alias("docs"), F.col("told.best").alias("best"))
+        whole = slices.where("part < 0").drop("pairs", "holders")
+        tasks = 1 + whole.count() // TOGETHER
+        rows = whole.unionByName(_answers(slices, min(tasks, PARTS)), allowMissingColumns=True)
+        rows = rows.repartition(tasks, "slice").sortWithinPartitions("slice", "part")
         longs = ", ".join(f"{c} bigint" for c in [*figures, "n_best", "count_sum"])
         return stored(rows.mapInArrow(total, f"{id_col} {id_type}, {longs}, groups_sha256 string"), "alignment")
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -125,3 +126,23 @@ def test_frequent_words_stay_known(monkeypatch):
         if k:
             assert {" often", " again"} <= pieces.known.keys() and {" often", " again"} <= coder.index.keys()
         assert len(pieces.known) <= 12 and len(coder.index) <= 16
+
+
+def test_counts_go_by_packed_and_in_pieces(spark, monkeypatch):
+    """Many slices, parts and partial sums give the same, and no pair is a row of its own in joins or lists of the JVM."""
+    texts = [*mixed_texts(300, 16), None, ""]
+    want, holders, _ = brute(texts)
+    plans, keep = [], alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    for name, value in (("SLICE_BYTES", 500), ("TOGETHER", 3), ("SUMMED", 40)):
+        monkeypatch.setattr(alignment, name, value)
+    got = {r.doc_id: tuple(r[c] for c in NAMES) for r in alignment.scored(rows(spark, texts).repartition(3), A, B).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert not [x for x in ("Join", "Generate", "collect_list") if x in plans[0]]
+    assert alignment.pair_counts(rows(spark, texts), A, B).count() == len(holders)
+
+
+def test_numbers_are_packed_as_small_as_they_are():
+    for x, size in (([], 1), ([0, 255], 1), ([256, 3], 2), ([1 << 16], 4), ([1 << 40, 0], 8)):
+        blob = alignment._packed(np.array(x, np.int64))
+        assert blob[0] == size and len(blob) == 1 + size * len(x) and alignment._unpacked(blob).tolist() == x
