@@ -257,8 +257,15 @@ def steps(keys: list[str]):
 
 def attached_once(df: DataFrame, keys: list[str], *before) -> DataFrame:
     """W5, W3, W4 and W-FIN in one pass over the rows in order, after the steps `before`."""
-    repeats = [lambda rows, size=size: _collapse_all(rows, size) for size in (2, 3)]
-    return finished(shorten_long(folds.in_order(df.withColumn("_alone", _alone()), keys, *before, _attach_all, *repeats).drop("_alone")))
+    return finished(shorten_long(folds.in_order(df.withColumn("_alone", _alone()), keys, *before, joined).drop("_alone")))
+
+
+def joined(rows: pa.Table) -> pa.Table:
+    """W5 and W3 on many videos, or pieces: a step of folds.in_order() with `_alone`."""
+    rows = _attach_all(rows)
+    for size in (2, 3):
+        rows = _collapse_all(rows, size)
+    return rows
 
 
 def clean_words(df: DataFrame, keys: list[str]) -> DataFrame:

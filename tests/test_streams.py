@@ -98,3 +98,23 @@ def test_a_batch_written_twice_is_there_once(spark):
     write(first, 0)
     write(spark.createDataFrame([(4, "permanent")], "id int, category string"), 1)
     assert sorted((r.batch, r.category, r.id) for r in spark.read.json(to).collect()) == [(0, "degraded", 2), (0, "permanent", 1), (1, "permanent", 4)]
+
+
+def test_videos_share_a_group(spark):
+    """Large ids and the null video, all in one state or each in its own, give what batch gives; W5 and W3 done in the stream too."""
+    large = (1 << 60) + 1
+    rows = [r for v, seed in ((large, 11), (large + 1, 12), (None, 13)) for r in [(v, *x[1:]) for x in word_rows(seed, 90) if x[0]]]
+    schema = "video long, pos long, word string, start double, end double, score double"
+    batch = rounded(W.clean_words(spark.createDataFrame(rows, schema), ["video"]))
+    top = {}
+    for r in rows:
+        top[r[0]] = max(top.get(r[0], -1), r[1])
+    batches = [[(*r, r[1] == top[r[0]]) for r in rows if r[1] // 40 == k] for k in range(max(top.values()) // 40 + 1)]
+    for groups, joined in ((1, True), (1, False), (64, True)):
+        stream = V.settled_words(fed(spark, batches, schema + ", last boolean"), joined=joined, groups=groups)
+        assert rounded(V.by_batch(stream, "words", lambda df, j=joined: V.finished_words(df, joined=j))) == batch
+
+
+def test_pieces_are_finished_in_one_shuffle(spark):
+    pieces = spark.createDataFrame([(1, 0, "a", 0.0, 0.1, 0.5, 0)], "video long, pos long, word string, start double, end double, score double, _piece long")
+    assert V.finished_words(pieces)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
