@@ -49,8 +49,8 @@ def joined(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
 TOGETHER = 1 << 16
 
 
-def in_order(df: DataFrame, keys: list[str], *steps: Callable[[pa.Table], pa.Table], order: str = "pos") -> DataFrame:
-    """The rows that the steps leave of many whole videos at a time, in order; `_new` marks the first row of each and must stay with it. Columns keep their types.
+def in_order(df: DataFrame, keys: list[str], *steps: Callable[[pa.Table], pa.Table], order: str = "pos", schema: str | None = None) -> DataFrame:
+    """The rows that the steps leave of many whole videos at a time, in order; `_new` marks the first row of each and must stay with it. Columns keep their types, or are those of `schema`.
 
     One pass over sorted partitions: the rows before are computed once, and no group of its own is handed over for a video.
     """
@@ -79,7 +79,7 @@ def in_order(df: DataFrame, keys: list[str], *steps: Callable[[pa.Table], pa.Tab
         if size:
             yield from folded()
 
-    return rows.mapInArrow(run, rows.schema).drop("_new")
+    return rows.mapInArrow(run, schema or rows.schema).drop("_new")
 
 
 def begins(rows: pa.Table) -> np.ndarray:

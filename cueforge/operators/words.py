@@ -28,9 +28,13 @@ def _by(keys):
 
 def drop_untimed_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
     """An untimed word equal to the untimed word before it goes."""
+    return df.withColumn("_same", _untimed_repeat(keys)).where("not _same").drop("_same")
+
+
+def _untimed_repeat(keys: list[str]):
     w = _by(keys)
     same = F.col("start").isNull() & F.lag("start").over(w).isNull() & (F.lag("word").over(w) == F.col("word"))
-    return df.withColumn("_same", F.coalesce(same, F.lit(False))).where("not _same").drop("_same")
+    return F.coalesce(same, F.lit(False))
 
 
 #: Seconds within which a time counts as the next word's, and the share of the word before that is taken then.
@@ -231,7 +235,11 @@ def shorten_long(df: DataFrame) -> DataFrame:
 
 def finished(df: DataFrame) -> DataFrame:
     """W-FIN: stripped words with times."""
-    return df.withColumn("word", X.trim(F.col("word"))).where((F.col("word") != "") & F.col("start").isNotNull() & F.col("end").isNotNull())
+    return df.withColumn("word", X.trim(F.col("word"))).where(_timed_word(F.col("word")))
+
+
+def _timed_word(word):
+    return (word != "") & F.col("start").isNotNull() & F.col("end").isNotNull()
 
 
 def _alone(word="word"):
@@ -302,14 +310,30 @@ def word_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _counted(rows: pa.Table) -> pa.Table:
+    """The words that W1 to W3 leave of many videos, and a row for each step so far with its number, words and untimed words. `_same`: what W1 takes; `_alone`: see _attach_all()."""
+    rows, told = rows.append_column("score", pa.nulls(rows.num_rows, pa.float64())), []
+    rules = [lambda x: x, lambda x: x.filter(pc.invert(x.column("_same"))), _fill_all, _attach_all, lambda x: _collapse_all(x, 2), lambda x: _collapse_all(x, 3)]
+    for step, rule in enumerate(rules):
+        rows = rule(rows)
+        told.append((step, rows.num_rows, rows.column("start").null_count))
+    schema = pa.schema([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("step", pa.int32()), ("words", pa.int64()), ("untimed", pa.int64())])
+    table = lambda columns, n: pa.table([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+    counts = {c: pa.array(x) for c, x in zip(("step", "words", "untimed"), zip(*told, strict=True), strict=True)}
+    return pa.concat_tables([table({c: rows.column(c) for c in ("word", "start", "end")}, rows.num_rows), table(counts, len(told))])
+
+
 def step_deltas(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Words and untimed words after each rule, and the change by it. What a rule leaves is written, so that each runs once."""
-    out, now = None, df
-    for k, (name, rule) in enumerate([("raw", lambda d: d), *steps(keys)]):
-        now = written(rule(now), "step")
-        row = now.agg(F.count("*").alias("words"), F.count_if(F.col("start").isNull()).alias("untimed")).select(F.lit(k).alias("step"), F.lit(name).alias("rule"), "words", "untimed")
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("change", F.col("words") - F.lag("words").over(Window.orderBy("step")))
+    """Words and untimed words after each rule, and the change by it. All rules run in one pass over the rows in order, which counts as it goes: nothing is written."""
+    rows = df.select(*keys, "pos", "word", "start", "end").withColumn("_same", _untimed_repeat(keys)).withColumn("_alone", _alone())
+    found = shorten_long(folds.in_order(rows, keys, _counted, schema="word string, start double, end double, step int, words bigint, untimed bigint"))
+    left, none = F.col("step").isNull(), F.col("start").isNull()
+    of = lambda c, k: F.coalesce(F.sum(F.when(F.col("step") == k, F.col(c))), F.lit(0))
+    names = ["raw", *(name for name, _, _ in RULES)]
+    sums = [(of("words", k), of("untimed", k)) for k in range(len(names) - 2)]
+    sums += [(F.count_if(left & test), F.count_if(left & test & none)) for test in (F.lit(True), _timed_word(X.trim(F.col("word"))))]
+    row = found.agg(F.array(*[F.struct(F.lit(k).alias("step"), F.lit(name).alias("rule"), words.alias("words"), untimed.alias("untimed")) for k, (name, (words, untimed)) in enumerate(zip(names, sums, strict=True))]).alias("steps"))
+    return row.select(F.inline("steps")).withColumn("change", F.col("words") - F.lag("words").over(Window.orderBy("step")))
 
 
 def attach_punctuation(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from cueforge.operators import cues as C
 from cueforge.operators import reports as R
 from cueforge.operators import structure as S
 from cueforge.operators import words as W
+from tests.test_folds import word_rows
 
 
 def plan(df):
@@ -104,3 +105,23 @@ def test_words_are_shuffled_once_to_their_segments(spark):
     assert not [x for x in plan(out).splitlines() if "Exchange hashpartitioning" in x and "pos#" in x.split("ENSURE")[0]]
     got = {r.pos: r.seg_pos for r in out.collect()}
     assert got == {k: 0 if k >= 380 else 1 if k == 64 else 2 for k in range(400) if k < 200 or k >= 380}
+
+
+def test_words_are_counted_after_each_rule_in_one_pass(spark, monkeypatch):
+    rows = [(v if v else None, *r[1:]) for v in range(20) for r in word_rows(v, 60) if r[0]] + [(99, k, w, None, None, 0.5) for k, w in enumerate(["\u00a0", " ", "x" * 60, "x" * 60])]
+    df = spark.createDataFrame(rows, "video long, pos long, word string, start double, end double, score double")
+    want, now = [], df
+    for name, rule in [("raw", lambda d: d), *W.steps(["video"])]:
+        now = rule(now)
+        want.append((len(want), name, now.count(), now.where("start is null").count()))
+
+    def no(*_):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(W, "written", no)
+    out = W.step_deltas(df, ["video"])
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    got = out.orderBy("step").collect()
+    assert [tuple(r)[:4] for r in got] == want and [r.change for r in got] == [None, *(b[2] - a[2] for a, b in zip(want, want[1:], strict=False))]
+    assert len({r.words for r in got}) > 4
+    assert [(r.words, r.untimed) for r in W.step_deltas(df.limit(0), ["video"]).collect()] == [(0, 0)] * 8
